@@ -458,7 +458,7 @@ def repair(texts: DataFrame, keys: list[str], fitted: Repairer | None = None) ->
     Defects are among hyphen, chars, header, pageno, sorted; clean texts have none and come back unchanged. Null texts have no row; empty texts have no defects;
     long texts are processed whole; repeated rows give repeated results. Nothing is shuffled but word counts.
     """
-    src = texts.select(*keys, "text", "is_table").where(F.col("text").isNotNull())
+    src = texts.select(*dict.fromkeys([*keys, "text", "is_table"])).where(F.col("text").isNotNull())
     model = fitted or fit(src.select("text", "is_table"))
     shared = src.sparkSession.sparkContext.broadcast((model.lines, model.chars, model.lexicon))
 
