@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm import leakage, repetition, scans, truncation
+from folia.llm import canonical, leakage, repetition, scans, truncation
 from folia.runtime import table
 
 _SECTIONS = ("introduction", "methods", "results", "discussion")
@@ -70,5 +70,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_share, p4_common_lines, p6_found, p6_shares, p7_found, p7_spans)}
+def _canon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "scimago_journals").select(F.col("sourceid").alias("entry"), F.col("title").alias("name"))
+    own = table(spark, sf_dir, "match_statuses").select(F.col("status").alias("entry"), F.col("status").alias("name"))
+    other = spark.createDataFrame([(k, x) for k, names in canonical.STATUS_NAMES.items() for x in names], "entry string, name string").join(F.broadcast(own.select("entry")), "entry", "left_semi")
+    index = table(spark, sf_dir, "stage1_ga_index")
+    got = canonical.map_values(index, "row_id", {"journal": titles, "scimago_title": titles, "scimago_match_status": own.unionByName(other)})
+    listed = titles.select(F.lit("t").alias("kind"), F.col("name").alias("value")).union(own.select(F.lit("s"), "name")).distinct()
+    kind = F.when(F.col("field") == "scimago_match_status", "s").otherwise("t")
+    return got.withColumn("kind", kind).join(F.broadcast(listed.withColumn("listed", F.lit(True))), ["kind", "value"], "left").drop("kind")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _canon(spark, sf_dir).where("listed IS NULL").select("row_id", "field", F.coalesce("canon", F.lit("none")).alias("canon"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that mean no entry, with their number of rows."""
+    return _canon(spark, sf_dir).where("canon IS NULL").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_repaired, p4_found, p4_share, p4_common_lines, p6_found, p6_shares, p7_found, p7_spans)}
 SQL: dict[str, str] = {}
