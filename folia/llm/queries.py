@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm import canonical, leakage, repetition, scans, truncation
+from folia.llm import canonical, leakage, mixture, repetition, scans, subjects, truncation
 from folia.runtime import table
 
 _SECTIONS = ("introduction", "methods", "results", "discussion")
@@ -90,5 +90,25 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canon(spark, sf_dir).where("canon IS NULL").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_repaired, p4_found, p4_share, p4_common_lines, p6_found, p6_shares, p7_found, p7_spans)}
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_list"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_areas(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(p9_areas(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_repaired, p4_found, p4_share, p4_common_lines, p6_found, p6_shares, p7_found, p7_spans, p8_mix, p8_shares, p9_found, p9_areas, p9_composition)}
 SQL: dict[str, str] = {}
