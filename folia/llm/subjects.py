@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,47 +60,71 @@ class Terms:
         m = np.clip(np.log(p / p.mean(1, keepdims=True)), -4.0, 4.0)
         return Terms(subjects, stop, {t: i for i, t in enumerate(keep)}, m * np.minimum(1.0, c.sum(1, keepdims=True) / 3.0))
 
-    def scores(self, sentence: str) -> np.ndarray:
-        rows = [i for t in sentence_terms(sentence, self.stop) if (i := self.index.get(t)) is not None]
-        return self.matrix[rows].sum(0) if rows else np.zeros(len(self.subjects))
+    def posteriors(self, docs: list[list[set[str]]], prior: np.ndarray | None = None, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+        """``(posteriors of all sentences, shares of each document)`` for documents given as lists of the terms of their sentences (at least one each).
 
-    def posteriors(self, sents: list[str], prior: np.ndarray | None = None, rounds: int = 6) -> np.ndarray:
-        """``(sentences, subjects)`` under the document's own mixture, found by expectation-maximisation."""
+        Each document has its own mixture, found by expectation-maximisation from ``prior`` (one row per document, or flat). A batch is one set of array operations.
+        """
         k = len(self.subjects)
-        s = np.stack([self.scores(x) for x in sents]) if sents else np.zeros((0, k))
-        base = np.full(k, 1.0 / k) if prior is None else prior
+        sizes = np.array([len(d) for d in docs])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        of = np.repeat(np.arange(len(docs)), sizes)
+        get = self.index.get
+        rows = [[i for t in terms if (i := get(t)) is not None] for d in docs for terms in d]
+        s = np.zeros((len(rows), k))
+        filled = [i for i, r in enumerate(rows) if r]
+        if filled:
+            flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
+            cuts = np.concatenate([[0], np.cumsum([len(rows[i]) for i in filled])[:-1]])
+            s[filled] = np.add.reduceat(self.matrix[flat], cuts, axis=0)
+        base = np.full((len(docs), k), 1.0 / k) if prior is None else prior
         mix = base
-        post = np.zeros_like(s)
+        post = s
         for _ in range(rounds):
-            z = s + np.log(mix)
+            z = s + np.log(mix)[of]
             z -= z.max(1, keepdims=True)
             post = np.exp(z)
             post /= post.sum(1, keepdims=True)
-            mix = (post.sum(0) + 0.3 * base) / (len(sents) + 0.3)
-        return post
+            mix = (np.add.reduceat(post, starts, axis=0) + 0.3 * base) / (sizes + 0.3)[:, None]
+        return post, np.add.reduceat(post, starts, axis=0) / sizes[:, None]
+
+    def terms_of(self, text: str) -> list[set[str]]:
+        return [sentence_terms(x, self.stop) for x in sentences_of(text)]
 
 
 def fit_terms(labelled: list[tuple[str, set[str]]], subjects: list[str], stop: frozenset[str], rounds: int = 4, trust: float = 0.9) -> Terms:
     """Term weights from labelled documents. A label is trusted to ``trust``: sentences may turn out to belong elsewhere."""
     k = len(subjects)
     at = {s: i for i, s in enumerate(subjects)}
-    docs = [(sentences_of(t), {at[x] for x in ls if x in at}) for t, ls in labelled]
+    docs = [(d, {at[x] for x in ls if x in at}) for t, ls in labelled if (d := [sentence_terms(x, stop) for x in sentences_of(t)])]
+    docs = [(d, ls) for d, ls in docs if ls]
+    if not docs:
+        return Terms(subjects, stop, {}, np.zeros((0, k)))
+    prior = np.full((len(docs), k), (1 - trust) / k)
+    for i, (_, ls) in enumerate(docs):
+        prior[i, list(ls)] += trust / len(ls)
+    flat = [d for d, _ in docs]
     model = None
     for _ in range(rounds):
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        totals = np.zeros(k)
-        for sents, ls in docs:
-            if not ls or not sents:
-                continue
-            prior = np.full(k, (1 - trust) / k)
-            prior[list(ls)] += trust / len(ls)
-            post = np.tile(prior, (len(sents), 1)) if model is None else model.posteriors(sents, prior)
-            for x, p in zip(sents, post, strict=True):
-                totals += p
-                for t in sentence_terms(x, stop):
-                    counts[t] += p
+        post = np.repeat(prior, [len(d) for d in flat], axis=0) if model is None else model.posteriors(flat, prior)[0]
+        counts, totals = _count_terms(flat, post)
         model = Terms.of(subjects, stop, counts, totals)
-    return model or Terms(subjects, stop, {}, np.zeros((0, k)))
+    return model
+
+
+def _count_terms(docs: list[list[set[str]]], post: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Expected counts of each term by subject over the sentences of ``docs``, and of sentences."""
+    number: dict[str, int] = {}
+    ids, of = [], []
+    for i, terms in enumerate(t for d in docs for t in d):
+        for t in terms:
+            ids.append(number.setdefault(t, len(number)))
+            of.append(i)
+    if not ids:
+        return {}, post.sum(0)
+    ids_, of_ = np.array(ids), np.array(of)
+    c = np.stack([np.bincount(ids_, weights=post[of_, j], minlength=len(number)) for j in range(post.shape[1])], axis=1)
+    return dict(zip(number, c, strict=True)), post.sum(0)
 
 
 def language_of(lang):
@@ -125,21 +148,20 @@ def widen_terms(docs: DataFrame, model: Terms, min_share: float = 1e-6) -> Terms
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        cols = [f"c{i}" for i in range(k)]
         for b in batches:
-            counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-            for text in b["text"]:
-                sents = sentences_of(text)
-                if not sents:
-                    continue
-                for x, p in zip(sents, m.posteriors(sents), strict=True):
-                    if p.max() > 0.8:
-                        counts[""] += p  # all sentences
-                        for t in sentence_terms(x, m.stop):
-                            counts[t] += p
-            yield pd.DataFrame({"term": list(counts), "c": [v.tolist() for v in counts.values()]})
-
-    got = docs.select("text").mapInPandas(count, "term string, c array<double>")
-    sums = got.groupBy("term").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(k)])
+            docs_ = [d for t in b["text"] if (d := m.terms_of(t))]
+            if not docs_:
+                continue
+            post, _ = m.posteriors(docs_)
+            sure = post.max(1) > 0.8
+            counts, totals = _count_terms([[t for t, ok in zip([t for d in docs_ for t in d], sure, strict=True) if ok]], post[sure])
+            out = pd.DataFrame(np.stack([totals, *counts.values()]), columns=cols)
+            out.insert(0, "term", ["", *counts])
+            yield out
+
+    got = docs.select("text").mapInPandas(count, "term string, " + ", ".join(f"c{i} double" for i in range(k)))
+    sums = got.groupBy("term").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
     sums = cut_lineage(sums.withColumn("n", sum(F.col(f"c{i}") for i in range(k))))
     total = sums.where("term <> ''").agg(F.sum("n")).first()[0] or 0.0
     rows = sums.where((F.col("n") >= max(2.5, total * min_share)) | (F.col("term") == "")).collect()
@@ -166,27 +188,43 @@ class Chain:
     own: np.ndarray
     scale: tuple[float, float]
 
-    def features(self, share: np.ndarray, k: int, n: int, source: str | None, section: str | None, on: int) -> np.ndarray:
-        s = share[k]
-        rest = np.delete(share[:-1], k)
-        base = [1.0, s, min(s, 0.5), float(s >= 0.25), float(s >= 0.2), float(s >= 0.3), float(s >= 0.5), float(s >= rest.max(initial=0.0)), float((rest > s).sum() >= 2), share[-1], math.log1p(n), float(on), float(on >= 2), s * n, float(s * n < 1.5), float(section is None), float(section == "abstract")]
-        return np.array(base + [float(source == x) for x in self.sources])
-
-    def decode(self, share: np.ndarray, n: int, source: str | None, section: str | None, width: int = 8) -> list[tuple[tuple[int, ...], float]]:
-        """Combinations of subjects with their log probabilities, likeliest first."""
-        alone = np.stack([self.features(share, k, n, source, section, 0) for k in range(len(self.subjects))]) @ self.w + self.own
+    def features(self, shares: np.ndarray, ns: list[int], sources: list, sections: list) -> np.ndarray:
+        """``(documents, subjects, features)`` with no subject set yet; the features at ``_ON`` count those set."""
+        s, k = shares[:, :-1], len(self.subjects)
+        n = np.array(ns, float)[:, None] * np.ones((1, k))
+        greater = (s[:, None, :] > s[:, :, None]).sum(2)
+        top = np.sort(s, axis=1)[:, ::-1]
+        rest = np.where((greater == 0) & ((s == top[:, :1]).sum(1, keepdims=True) == 1), top[:, 1:2] if k > 1 else 0.0, top[:, :1])
+        ones, none = np.ones_like(s), np.array([[x is None] for x in sections], float)
+        base = [ones, s, np.minimum(s, 0.5), s >= 0.25, s >= 0.2, s >= 0.3, s >= 0.5, s >= rest, greater >= 2, shares[:, -1:] * ones, np.log1p(n), 0 * ones, 0 * ones, s * n, s * n < 1.5, none * ones, np.array([[x == "abstract"] for x in sections], float) * ones]
+        base += [np.array([[x == y] for x in sources], float) * ones for y in self.sources]
+        return np.stack([x.astype(float) for x in base], axis=2)
+
+    def decode(self, shares: np.ndarray, ns: list[int], sources: list, sections: list, width: int = 8) -> list[tuple[tuple[int, ...], float]]:
+        """The likeliest combination of subjects of each document, with its log probability."""
+        if not self.subjects or not len(shares):
+            return [((), 0.0)] * len(shares)
         a, b = self.scale
-        beam: list[tuple[tuple[int, ...], float]] = [((), 0.0)]
-        for k, z0 in enumerate(alone.tolist()):
-            new = []
-            for chosen, lp in beam:
-                z = z0
-                if chosen:
-                    z += self.w[_ON] * len(chosen) + self.w[_ON + 1] * (len(chosen) >= 2) + sum(self.pairs[k, j] for j in chosen)
-                z = max(-50.0, min(50.0, a * z + b))
-                new += [(chosen, lp - math.log1p(math.exp(z))), ((*chosen, k), lp - math.log1p(math.exp(-z)))]
-            beam = sorted(new, key=lambda x: -x[1])[:width]
-        return beam
+        alone = (self.features(shares, ns, sources, sections) @ self.w + self.own) * a + b
+        on1, on2, pairs = float(self.w[_ON]) * a, float(self.w[_ON + 1]) * a, (self.pairs * a).tolist()
+        exp, log1p = math.exp, math.log1p
+        out = []
+        for zs in alone.tolist():
+            beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+            for k, z0 in enumerate(zs):
+                new = []
+                for lp, chosen in beam:
+                    z = z0
+                    if chosen:
+                        z += on1 * len(chosen) + on2 * (len(chosen) >= 2)
+                        for j in chosen:
+                            z += pairs[k][j]
+                    z = max(-50.0, min(50.0, z))
+                    new.append((lp - log1p(exp(z)), chosen))
+                    new.append((lp - log1p(exp(-z)), (*chosen, k)))
+                beam = sorted(new, reverse=True)[:width]
+            out.append((beam[0][1], beam[0][0]))
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -207,26 +245,22 @@ def fit_chain(examples: list[tuple[np.ndarray, int, str | None, str | None, set[
     """Fits the chain on ``(shares, sentences, source, section, labels)``; a Platt scale is fitted on held-out folds."""
     k = len(subjects)
     sources = sorted({e[2] for e in examples if e[2]})[:32]
-    at = {s: i for i, s in enumerate(subjects)}
     probe = Chain(subjects, sources, np.zeros(0), np.zeros((k, k)), np.zeros(k), (1.0, 0.0))
 
     def rows(part):
-        xs, ys = [], []
-        for share, n, source, section, ls in part:
-            truth = {at[x] for x in ls if x in at}
-            chosen: list[int] = []
+        x = probe.features(np.stack([e[0] for e in part]), [e[1] for e in part], [e[2] for e in part], [e[3] for e in part])
+        own, pair = np.tile(np.eye(k), (len(part), 1, 1)), np.zeros((len(part), k, k, k))
+        y = np.zeros((len(part), k))
+        for d, e in enumerate(part):
+            on: list[int] = []
             for i in range(k):
-                base = probe.features(share, i, n, source, section, len(chosen))
-                own = np.zeros(k)
-                own[i] = 1
-                pair = np.zeros((k, k))
-                for j in chosen:
-                    pair[i, j] = 1
-                xs.append(np.concatenate([base, own, pair.ravel()]))
-                ys.append(float(i in truth))
-                if i in truth:
-                    chosen.append(i)
-        return np.array(xs), np.array(ys)
+                x[d, i, _ON], x[d, i, _ON + 1] = len(on), len(on) >= 2
+                pair[d, i, i, on] = 1
+                if subjects[i] in e[4]:
+                    y[d, i] = 1
+                    on.append(i)
+        full = np.concatenate([x, own, pair.reshape(len(part), k, k * k)], axis=2)
+        return full.reshape(len(part) * k, -1), y.ravel()
 
     def solve(part):
         x, y = rows(part)
@@ -234,7 +268,7 @@ def fit_chain(examples: list[tuple[np.ndarray, int, str | None, str | None, set[
         l2 = np.concatenate([np.full(d, 0.5), np.full(k, 4.0), np.full(k * k, 8.0)])
         return _logistic(x, y, l2), d
 
-    if len(examples) < 8:  # too few labels for a model: the measured share decides
+    if len(examples) < 8 or not subjects:  # too few labels for a model: the measured share decides
         w = np.zeros(17 + len(sources))
         w[0], w[3] = -6.0, 12.0
         return Chain(subjects, sources, w, np.zeros((k, k)), np.zeros(k), (1.0, 0.0))
@@ -250,7 +284,7 @@ def fit_chain(examples: list[tuple[np.ndarray, int, str | None, str | None, set[
     return Chain(subjects, sources, w[:d], w[d + k :].reshape(k, k), w[d : d + k], (float(max(0.2, a)), float(b)))
 
 
-def subject_areas(docs: DataFrame, labels: DataFrame, subject_list: DataFrame, key: str = "doc_id", text: str = "text", min_share: float = 0.25, max_labelled: int = 4000, widen: int = 1) -> DataFrame:
+def subject_areas(docs: DataFrame, labels: DataFrame, subject_list: DataFrame, key: str = "doc_id", text: str = "text", min_share: float = 0.25, max_labelled: int = 4000, widen: int = 1, stop_share: float = 0.1) -> DataFrame:
     """``(key, subject, share, log_prob)``: the subjects of each document with the measured share of its sentences and the log probability of the combination.
 
     Null and blank texts, and documents without a subject, have no row; null source, section and language are values of their own; repeated rows give repeated results;
@@ -264,16 +298,14 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subject_list: DataFrame, k
     src = spread(src)
     lab = labels.select(labels["doc_id"].alias("_key"), labels["subject"].alias("s")).where(F.col("s").isin([*subjects, NONE])).groupBy("_key").agg(F.collect_set("s").alias("ls"))
     sample = src.join(lab, "_key").orderBy(F.xxhash64("_key"), "_key").limit(max_labelled).collect()
-    stop = stop_terms(src)
+    stop = stop_terms(src, stop_share)
     classes = [*subjects, NONE]
     model = fit_terms([(r["text"], set(r["ls"])) for r in sample], classes, stop)
     for _ in range(widen):
         model = widen_terms(src, model)
-    examples = []
-    for r in sample:
-        sents = sentences_of(r["text"])
-        if sents:
-            examples.append((model.posteriors(sents).mean(0), len(sents), r["source"], r["section"], set(r["ls"]) - {NONE}))
+    known_docs = [(d, r) for r in sample if (d := model.terms_of(r["text"]))]
+    shares = model.posteriors([d for d, _ in known_docs])[1] if known_docs else []
+    examples = [(x, len(d), r["source"], r["section"], set(r["ls"]) - {NONE}) for x, (d, r) in zip(shares, known_docs, strict=True)]
     chain = fit_chain(examples, subjects)
     shared = spark.sparkContext.broadcast((model, chain))
 
@@ -281,13 +313,11 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subject_list: DataFrame, k
         m, ch = shared.value
         for b in batches:
             rows = []
-            for k, t, source, section in zip(b["_key"], b["text"], b["source"], b["section"], strict=True):
-                sents = sentences_of(t)
-                if not sents:
-                    continue
-                share = m.posteriors(sents).mean(0)
-                chosen, lp = ch.decode(share, len(sents), source, section)[0]
-                rows += [(k, ch.subjects[i], float(share[i]), lp) for i in chosen if share[i] >= min_share - 0.5 / max(4, len(sents))]
+            found = [(d, *x) for x in zip(b["_key"], b["text"], b["source"], b["section"], strict=True) if (d := m.terms_of(x[1]))]
+            shares = m.posteriors([x[0] for x in found])[1] if found else []
+            best = ch.decode(shares, [len(x[0]) for x in found], [x[3] for x in found], [x[4] for x in found]) if found else []
+            for share, (chosen, lp), (d, k, *_) in zip(shares, best, found, strict=True):
+                rows += [(k, ch.subjects[i], float(share[i]), lp) for i in chosen if share[i] >= min_share - 0.5 / max(4, len(d))]
             yield pd.DataFrame(rows, columns=[key, "subject", "share", "log_prob"])
 
     return src.select("_key", "text", "source", "section").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, subject string, share double, log_prob double")
