@@ -340,16 +340,16 @@ def a17_quantiles(t):
     return a.join(b, "l_returnflag").select("l_returnflag", r6(F.col("l_quantity")[0], "p5"), r6(F.col("l_quantity")[1], "p95"), r6(F.col("l_extendedprice")[0], "t1"), r6(F.col("l_extendedprice")[1], "t2"))
 
 
-@query("SELECT y, count(*) AS n, round(avg(x), 4) AS mean, round(coalesce(stddev_samp(x), 0), 4) AS sd, round(avg(x) - 1.96 * coalesce(stddev_samp(x), 0) / sqrt(count(*)), 4) AS lo, round(avg(x) + 1.96 * coalesce(stddev_samp(x), 0) / sqrt(count(*)), 4) AS hi FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_totalprice AS x FROM orders) GROUP BY y")
+@query("SELECT y, count(*) AS n, round(avg(x), 2) AS mean, round(coalesce(stddev_samp(x), 0), 2) AS sd, round(avg(x) - 1.96 * coalesce(stddev_samp(x), 0) / sqrt(count(*)), 2) AS lo, round(avg(x) + 1.96 * coalesce(stddev_samp(x), 0) / sqrt(count(*)), 2) AS hi FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_totalprice AS x FROM orders) GROUP BY y")
 def a18_mean_ci(t):
     g = aggregates.mean_ci(t("orders").select(F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("x")), ["y"], "x")
-    return g.select("y", "n", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "lo", "hi")])
+    return g.select("y", "n", *[F.round(c, 2).alias(c) for c in ("mean", "sd", "lo", "hi")])
 
 
-@query("SELECT o_orderpriority, count(*) AS n, round(regr_slope(x, y), 4) AS slope FROM (SELECT o_orderpriority, CAST(year(o_orderdate) AS DOUBLE) AS y, o_totalprice AS x FROM orders) GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) AS n, round(regr_slope(x, y), 2) AS slope FROM (SELECT o_orderpriority, CAST(year(o_orderdate) AS DOUBLE) AS y, o_totalprice AS x FROM orders) GROUP BY 1")
 def a20_slopes(t):
     g = aggregates.slope(t("orders").select("o_orderpriority", F.year("o_orderdate").cast("double").alias("y"), F.col("o_totalprice").alias("x")), ["o_orderpriority"], "y", "x")
-    return g.select("o_orderpriority", "n", F.round("slope", 4).alias("slope"))
+    return g.select("o_orderpriority", "n", F.round("slope", 2).alias("slope"))
 
 
 @query("WITH d AS (SELECT model, CAST(output_tokens AS DOUBLE) AS x, inference_time AS y FROM results WHERE output_tokens IS NOT NULL AND inference_time IS NOT NULL), r AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY x) + (count(*) OVER (PARTITION BY model, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY model ORDER BY y) + (count(*) OVER (PARTITION BY model, y) - 1) / 2.0 AS b FROM d) SELECT model, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY model")
@@ -463,9 +463,9 @@ def a38_zero_filled(t):
 # ---------------------------------------------------------------- models
 
 
-@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) + avg(o_totalprice) OVER (), 4) AS adjusted FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) + avg(o_totalprice) OVER (), 2) AS adjusted FROM orders")
 def m01_residualise(t):
-    return models.residualise_one(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice", "adj").select("o_orderkey", F.round("adj", 4).alias("adjusted"))
+    return models.residualise_one(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice", "adj").select("o_orderkey", F.round("adj", 2).alias("adjusted"))
 
 
 @query()
@@ -487,19 +487,19 @@ def m03_ridge(t):
     return li.select("l_orderkey", "l_linenumber", F.round(models.predict(coef, 0.0, 100_000.0), 3).alias("predicted"))
 
 
-@query("SELECT b.y AS y, b.n_name, b.n, round(b.m - a.m, 4) AS jump FROM (SELECT *, lag(y) OVER (PARTITION BY n_name ORDER BY y) AS py FROM (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20)) b JOIN (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20) a ON a.n_name = b.n_name AND a.y = b.py WHERE abs(b.m - a.m) >= 10000")
+@query("SELECT b.y AS y, b.n_name, b.n, round(b.m - a.m, 2) AS jump FROM (SELECT *, lag(y) OVER (PARTITION BY n_name ORDER BY y) AS py FROM (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20)) b JOIN (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20) a ON a.n_name = b.n_name AND a.y = b.py WHERE abs(b.m - a.m) >= 10000")
 def m12_jumps(t):
     c, n = t("customer"), t("nation")
     o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
     y = o.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"))
-    return models.jumps(y, "n_name", "y", "m", "n", 20, 10_000.0).where("flag").select("y", "n_name", "n", F.round("jump", 4).alias("jump"))
+    return models.jumps(y, "n_name", "y", "m", "n", 20, 10_000.0).where("flag").select("y", "n_name", "n", F.round("jump", 2).alias("jump"))
 
 
-@query("SELECT n_name, y, n, CASE WHEN n < 30 THEN 'thin' END AS flag, round(m, 4) AS m FROM (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)")
+@query("SELECT n_name, y, n, CASE WHEN n < 30 THEN 'thin' END AS flag, round(m, 2) AS m FROM (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)")
 def m13_thin_cells(t):
     c, n = t("customer"), t("nation")
     o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
-    return o.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("m")).select("n_name", "y", "n", F.when(F.col("n") < 30, "thin").alias("flag"), "m")
+    return o.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("m")).select("n_name", "y", "n", F.when(F.col("n") < 30, "thin").alias("flag"), "m")
 
 
 @query()

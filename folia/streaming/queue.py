@@ -44,13 +44,13 @@ def queue_status(tasks: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, ts: str, keys: list[str], size: str, late: str | None = None, slide: str | None = None) -> DataFrame:
     """Tumbling or sliding counts and sums; with ``late`` a watermark, so that the same plan runs on a stream."""
-    e = events.withWatermark(ts, late) if late else events
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     return e.groupBy(F.window(ts, size, slide) if slide else F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str | None = None) -> DataFrame:
     """Sessions that end after a gap."""
-    e = events.withWatermark(ts, late) if late else events
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     return e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
