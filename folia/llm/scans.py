@@ -28,16 +28,27 @@ CONFUSIONS = [("e", "c"), ("i", "l"), ("o", "0"), ("n", "ri"), ("l", "1"), ("s",
 _EDITS: dict[str, set[str]] = {}
 for _a, _b in CONFUSIONS[:19]:
     _EDITS.setdefault(_b[0], set()).add("R:" + _a[0])
+_BACK: dict[str, list[tuple[str, str]]] = {}
+for _a, _b in CONFUSIONS[:19]:
+    _BACK.setdefault(_b[0], []).append((_a, _b))
 HYPHENS = "-­¬‐‑"
 _EOL = re.compile(r"\r\n|\n|\r")
 _WORD = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-_PAGE = re.compile(r"[\W_]*(?:page|p\.|pp\.|seite|s\.)?[\W_]*(?:[A-Z]?\d{1,5}|[ivxlcdm]+)[\W_]*(?:(?:of|/|von)\s*\d+)?[\W_]*", re.I)
+_PAGE = re.compile(r"[\s·•~*|\-–—\[\]()]*(?:page|p\.|pp\.|seite|s\.)?\s*(?:[A-Z]?\d{1,5}|([ivxlcdm]+))\s*(?:(?:of|/|von)\s*\d+)?[\s·•~*|\-–—\[\]()]*", re.I)
+_ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _MARK = re.compile(r"\s*\([a-z0-9]{1,3}\)\s")
 _SEPARATOR = re.compile(r"\t| \| |\|$| {2,}")
 _STAMP = re.compile(r"(?:[A-Z] ){3,}")
 
 
+def is_page(line: str) -> bool:
+    """A line that could be a page number. A roman number stands without hyphen at its end and isn't a list mark."""
+    s = line.strip()
+    m = _PAGE.fullmatch(s) if s and not re.search(r"\s{2}|[\t|]", s) else None
+    return m is not None and (not m[1] or (_ROMAN.fullmatch(m[1]) is not None and (s == m[1] or len(m[1]) > 1) and s[-1] not in HYPHENS and not s.startswith("(")))
+
+
 class Perceptron:
     """Multi-class averaged perceptron over string features."""
 
@@ -102,10 +113,10 @@ def line_features(lines: list[str], i: int, table: bool, lexicon: dict[str, int]
     caps = sum(w[0].isupper() for w in alpha)
     known = sum(lexicon.get(w, 0) > 0 for w in alpha)
     k = i - 1
-    while k > 0 and re.fullmatch(_PAGE, lines[k].strip() or "1"):
+    while k > 0 and (not lines[k].strip() or is_page(lines[k])):
         k -= 1
     above, below = lines[k].rstrip() if i else "", lines[i + 1].strip() if not last else ""
-    page = re.fullmatch(_PAGE, s) is not None and bool(s)
+    page = is_page(s)
     plain = bool(re.fullmatch(r"\d+", s))
     kind = "t" if table else "c"
     where = "first" if i == 0 else "last" if last else "mid"
@@ -173,7 +184,7 @@ def join_features(left: str, right: str, gap: str, lexicon: dict[str, int]) -> l
     hyphen = end[-1:] if end[-1:] and end[-1:] in HYPHENS else ""
     a, b = re.search(r"[^\W\d_]+$", end[: -1 if hyphen else None] or ""), re.match(r"\s*([^\W\d_]+)", right)
     whole = ((a[0] if a else "") + (b[1] if b else "")).lower()
-    known, halves = lexicon.get(whole, 0) > 0, bool(a) and bool(b) and lexicon.get(a[0].lower(), 0) > 0 and lexicon.get(b[1].lower(), 0) > 0
+    known, halves = lexicon.get(whole, 0) + lexicon.get(whole.capitalize(), 0) > 0, bool(a) and bool(b) and lexicon.get(a[0].lower(), 0) > 0 and lexicon.get(b[1].lower(), 0) > 0
     return ["b", f"h:{hyphen}", f"h:{bool(hyphen)}:{bool(a)}:{bool(b)}", f"k:{bool(hyphen)}:{known}:{halves}", f"l:{bool(hyphen)}:{right.lstrip()[:1].islower()}", f"g:{bool(hyphen)}:{gap != ''}"]
 
 
@@ -223,11 +234,31 @@ def explains(clean: str, seen: str, most: int = 3) -> bool:
     return 1 <= front.get((len(clean), len(seen)), 99) <= most
 
 
+def reachable(word: str, prefixes: set[str], most: int = 3) -> bool:
+    """Whether one to ``most`` edits lead from a word to something the lexicon begins with: most words need no scoring."""
+    stack = [(0, "", 0)]
+    while stack:
+        i, y, n = stack.pop()
+        if i == len(word):
+            if n:
+                return True
+            continue
+        if (z := y + word[i].lower()) in prefixes:
+            stack.append((i + 1, z, n))
+        if n < most:
+            for a, b in _BACK.get(word[i], ()):
+                if word.startswith(b, i) and (z := y + a.lower()) in prefixes:
+                    stack.append((i + len(b), z, n + 1))
+    return False
+
+
 def word_correction(word: str, m: CharModel, lexicon: dict[str, int], prefixes: set[str], ratio: float = 6.0) -> str | None:
     """The word meant, if ``word`` is a misreading: the best predicted reading that known confusions explain and that the lexicon knows ``ratio`` times better than the word as it is written."""
     own = max(lexicon.get(word, 0), lexicon.get(word.lower(), 0) if word[:1].isupper() else 0)
     if len(word) < 3 or word.isdigit():
         return None
+    if not reachable(word, prefixes):
+        return None
     best = None
     for score, v in m.readings(word, prefixes):
         if len(v) > 2 and v.isalpha() | any(ch.isdigit() for ch in word):
@@ -387,7 +418,7 @@ def _break(s: str, rng: random.Random) -> tuple[str, str] | None:
     return s[:k], s[k:] if rng.random() < 0.3 else s[k + 1 :]
 
 
-def train_lines(texts: list[tuple[str, bool]], lexicon: dict[str, int], seed: int = 11, rounds: int = 3) -> LineModel:
+def train_lines(texts: list[tuple[str, bool]], lexicon: dict[str, int], seed: int = 11, rounds: int = 5) -> LineModel:
     """Fits the line labeller on clean texts with artificial furniture; furniture never stands first or last, and may break another furniture line."""
     rng = random.Random(seed)
     p = Perceptron(list(LineModel.labels))
@@ -429,7 +460,8 @@ def train_lines(texts: list[tuple[str, bool]], lexicon: dict[str, int], seed: in
 def learn_lexicon(texts: DataFrame, min_share: float = 2e-7) -> dict[str, int]:
     """Words (runs of letters or digits, as written, and those joined by hyphens) with their counts over *all* texts; those of at least ``min_share`` of all words, so at most ``1 / min_share``."""
     words, compounds = (F.regexp_extract_all("text", F.lit(x), F.lit(0)) for x in (r"[\p{L}\p{N}]+", r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]*[\p{L}][\p{L}\p{N}]*)+"))
-    counts = cut_lineage(texts.select(F.explode(F.concat(words, compounds)).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    joined = texts.select(F.regexp_replace("text", r"(?<=\p{L})[-\x{AD}\x{AC}\x{2010}\x{2011}][ \t]*\r?\n[ \t]*(?=\p{Ll})", "").alias("text"))  # halves of broken words are no words
+    counts = cut_lineage(joined.select(F.explode(F.concat(words, compounds)).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(2.0, total * min_share)).collect()}
 
@@ -446,7 +478,7 @@ def fit(texts: DataFrame, sample: int = 1500) -> Repairer:
     clean = []
     for t, kind in picked:
         words = _WORD.findall(t)
-        odd = any(re.fullmatch(_PAGE, x.strip()) or _STAMP.search(x) or re.search(r"et al|MANUSCRIPT|Vol\.|\bcite\b|\((?:19|20)\d\d\)|[A-Z]\w+ and [A-Z]\w+ {3}", x) or x.rstrip()[-1:] in HYPHENS for x in _EOL.split(t) if x.strip())
+        odd = any(is_page(x) or _STAMP.search(x) or re.search(r"et al|MANUSCRIPT|Vol\.|\bcite\b|\((?:19|20)\d\d\)|[A-Z]\w+ and [A-Z]\w+ {3}", x) or x.rstrip()[-1:] in HYPHENS for x in _EOL.split(t) if x.strip())
         if words and not odd:
             clean.append((t, kind))
     return Repairer(train_lines(clean, lexicon), train_chars(lexicon), lexicon)
