@@ -163,3 +163,80 @@ def beta_regression(df: DataFrame, x: Sequence[Column], y: str, rounds: int = 40
         if np.abs(step).max() < 1e-8:
             break
     return {"beta": beta, "phi": phi, "n": n}
+
+
+def rank_correlation_grid(df: DataFrame, parts: Sequence[str], target: str, steps: int = 20) -> DataFrame:
+    """``(weights, spearman)`` of weighted sums of ``parts`` with ``target`` for all weights on a simplex grid, best first; the first weights win ties (M4).
+
+    The fit set is a bounded sample of labelled rows by nature; rows times grid points are ranked by one window per point.
+    """
+    spark = df.sparkSession
+    grid = spark.createDataFrame([(i, [float(v) for v in w]) for i, w in enumerate(simplex_grid(len(parts), steps))], "i int, w array<double>")
+    rows = df.where(F.col(target).isNotNull() & sum((F.col(c).isNull().cast("int") for c in parts), F.lit(0)).eqNullSafe(0))
+    score = sum((F.col("w")[j] * F.col(c) for j, c in enumerate(parts)), F.lit(0.0))
+    x = rows.crossJoin(F.broadcast(grid)).select("i", "w", F.round(score, 9).alias("s"), F.col(target).alias("t"))
+    rank = lambda c: F.rank().over(Window.partitionBy("i").orderBy(c)) + (F.count("*").over(Window.partitionBy("i", c)) - 1) / 2.0
+    r = x.select("i", "w", rank("s").alias("a"), rank("t").alias("b"))
+    g = r.groupBy("i").agg(F.first("w").alias("weights"), F.try_divide(F.covar_pop("a", "b"), F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))).alias("spearman"))
+    return g.orderBy(F.desc("spearman"), "i").select("weights", "spearman")
+
+
+def fold_of(key: str, k: int, seed: int = 42) -> Column:
+    """A row's fold by hash: the same whatever the partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int")
+
+
+def cross_validated_ridge(df: DataFrame, key: str, x: Sequence[str], y: str, lams: Sequence[float] = (0.1, 1.0, 10.0, 100.0), folds: int = 5) -> dict[str, float]:
+    """Held-out R squared of a ridge, the penalty chosen by held-out error (M3)."""
+    d = df.withColumn("_f", fold_of(key, folds))
+    best = None
+    for lam in lams:
+        sse = sst = 0.0
+        for f in range(folds):
+            coef = ridge(d.where(F.col("_f") != f), x, y, lam)
+            r = d.where((F.col("_f") == f) & F.col(y).isNotNull()).select(((F.col(y) - predict({c: v for c, v in coef.items()})) ** 2).alias("e"), F.col(y).alias("y")).agg(F.sum("e"), F.var_pop("y") * F.count("y")).first()
+            sse, sst = sse + (r[0] or 0.0), sst + (r[1] or 0.0)
+        if best is None or sse < best[1]:
+            best = (lam, sse, sst)
+    return {"lambda": best[0], "r2": 1 - best[1] / best[2] if best[2] else float("nan")}
+
+
+def ablation(df: DataFrame, key: str, families: dict[str, Sequence[str]], y: str, lam: float = 1.0, folds: int = 3) -> list[tuple[str, float]]:
+    """Held-out R squared of each family of features, best first."""
+    got = [(n, cross_validated_ridge(df, key, c, y, (lam,), folds)["r2"]) for n, c in families.items()]
+    return sorted(got, key=lambda x: -x[1])
+
+
+def trend_table(df: DataFrame, key: str, year: str, y: str, least_cell: int = 20, least_group: int = 100) -> DataFrame:
+    """Slopes of yearly means per group, over cells and groups that are large enough, steepest first."""
+    ok = df.where(F.col(year).isNotNull() & F.col(y).isNotNull())
+    cells = ok.groupBy(key, year).agg(F.count("*").alias("n"), F.avg(y).alias("m")).where(F.col("n") >= least_cell)
+    g = cells.groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("years"), F.covar_pop(year, "m").alias("c"), F.var_pop(year).alias("v")).where((F.col("n") >= least_group) & (F.col("years") >= 3))
+    return g.select(key, "n", "years", F.try_divide("c", F.nullif("v", F.lit(0.0))).alias("slope")).orderBy(F.desc(F.abs("slope")), key)
+
+
+def global_trend(df: DataFrame, year: str, y: str, lo: int, hi: int, least: int = 100) -> DataFrame:
+    """Yearly means within a window of years, thin years left out."""
+    return df.where(F.col(year).between(lo, hi) & F.col(y).isNotNull()).groupBy(year).agg(F.count("*").alias("n"), F.avg(y).alias("mean")).where(F.col("n") >= least)
+
+
+def robustness(df: DataFrame, key: str, year: str, y: str, group: str, permutations: int = 5) -> list[tuple[str, float]]:
+    """The slope of ``y`` on the year under variations: trimmed, by band, without the largest group, adjusted, and with years permuted (M9)."""
+
+    def slope_of(d: DataFrame) -> float:
+        r = d.where(F.col(y).isNotNull() & F.col(year).isNotNull()).agg(F.covar_pop(year, y), F.var_pop(year)).first()
+        return (r[0] / r[1]) if r[1] else float("nan")
+
+    q = df.agg(F.percentile(y, [0.05, 0.95])).first()[0]
+    top = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).first()[0]
+    out = [("all", slope_of(df)), ("trimmed", slope_of(df.where(F.col(y).between(*q)))), ("without_largest", slope_of(df.where(~F.col(group).eqNullSafe(top)))), ("adjusted", slope_of(residualise_one(df, group, y, "_a").drop(y).withColumnRenamed("_a", y)))]
+    years = df.where(F.col(year).isNotNull()).groupBy(year).count().orderBy(year).collect()
+    total = sum(r["count"] for r in years)
+    for p in range(permutations):
+        # a year drawn by hash from the years' own distribution: a permutation without moving rows
+        u, e, acc = F.pmod(F.xxhash64(F.lit(p), F.col(key)), F.lit(1_000_003)) / 1_000_003.0, None, 0
+        for r in years:
+            acc += r["count"]
+            e = F.when(u < acc / total, F.lit(r[year])) if e is None else e.when(u < acc / total, F.lit(r[year]))
+        out.append((f"permuted_{p}", slope_of(df.withColumn(year, e.otherwise(F.lit(years[-1][year]))))))
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import geometry, replies, text, values
-from folia.operators import aggregates, agreement, duplicates, joins, models, windows
+from folia.operators import aggregates, agreement, duplicates, joins, labelling, models, windows
 from folia.runtime import table
 from folia.sources import readers, writers
 from folia.streaming import queue
@@ -750,3 +750,206 @@ def ev_tumbling(t):
 def ev_sessions(t):
     s = queue.sessions(t("events"), "ts", "user_id", "30 minutes")
     return s.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# ---------------------------------------------------------------- further families
+
+
+@query("SELECT row_id FROM stage1_ga_index WHERE has_ga = 1 AND has_pdf = 1 AND doi_normalized IS NOT NULL")
+def prj08_valid_rows(t):
+    x = t("stage1_ga_index")
+    return x.where(values.flag(F.col("has_ga")) & values.flag(F.col("has_pdf")) & F.col("doi_normalized").isNotNull()).select("row_id")
+
+
+@query()
+def prj13_report_rounding(t):
+    return t("results").select("result_id", values.py_round(F.col("avg_visual_proxies_per_entity"), 2).alias("rounded"))
+
+
+@query("SELECT coalesce(a.doi, b.doi) AS doi, CASE WHEN b.doi IS NULL THEN 'no_result' ELSE 'no_profile' END AS missing FROM (SELECT DISTINCT doi FROM srp WHERE doi IS NOT NULL) a FULL JOIN (SELECT DISTINCT doi FROM results WHERE doi IS NOT NULL) b ON a.doi = b.doi WHERE a.doi IS NULL OR b.doi IS NULL")
+def j14_missing_on_either_side(t):
+    a = t("srp").where("doi IS NOT NULL").select("doi").distinct()
+    b = t("results").where("doi IS NOT NULL").select("doi").distinct()
+    return a.join(b, "doi", "left_anti").select("doi", F.lit("no_result").alias("missing")).unionByName(b.join(a, "doi", "left_anti").select("doi", F.lit("no_profile").alias("missing")))
+
+
+@query("SELECT srp_id, CAST(section_summaries.introduction IS NOT NULL AS INTEGER) + CAST(section_summaries.methods IS NOT NULL AS INTEGER) + CAST(section_summaries.results IS NOT NULL AS INTEGER) + CAST(section_summaries.discussion IS NOT NULL AS INTEGER) AS level FROM srp")
+def a03_present_count(t):
+    s = F.col("section_summaries")
+    return t("srp").select("srp_id", aggregates.present_count(*[s[x].isNotNull() for x in replies.SECTIONS]).alias("level"))
+
+
+@query(f"SELECT section, round(avg(cov), 6) AS mean_coverage, round(100.0 * sum(e) / greatest(sum(e + i + a), 1), 6) AS explicit_pct, round(100.0 * sum(i) / greatest(sum(e + i + a), 1), 6) AS implied_pct, count(*) AS n FROM (SELECT doc, section, avg(CASE verdict WHEN 'explicit' THEN 1.0 WHEN 'implied' THEN 0.5 ELSE 0.0 END) AS cov, count(*) FILTER (verdict = 'explicit') AS e, count(*) FILTER (verdict = 'implied') AS i, count(*) FILTER (verdict = 'absent') AS a FROM (SELECT l_orderkey AS doc, l_linenumber % 4 AS section, {_VERDICT} AS verdict FROM lineitem) GROUP BY 1, 2) GROUP BY section")
+def a05_coverage_breakdown(t):
+    c = aggregates.section_coverage(_entities(t), ["doc", "section"], "verdict")
+    total = F.greatest(F.sum(F.col("n_explicit") + F.col("n_implied") + F.col("n_absent")), F.lit(1))
+    return c.groupBy("section").agg(r6(F.avg("coverage"), "mean_coverage"), r6(100.0 * F.sum("n_explicit") / total, "explicit_pct"), r6(100.0 * F.sum("n_implied") / total, "implied_pct"), F.count("*").alias("n"))
+
+
+@query("SELECT n_name, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def a08_largest_domains(t):
+    c, n = t("customer"), t("nation")
+    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    return o.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean")).orderBy(F.desc("n"), "n_name").limit(10)
+
+
+@query("SELECT coalesce(nullif(trim(source, ' '), ''), 'unknown') AS source, count(*) AS n, round(avg(bounding_box.w), 6) AS width, round(avg(bounding_box.h), 6) AS height, round(avg(CASE WHEN extraction_quality = 'good' THEN 100.0 ELSE 0 END), 6) AS good_pct FROM figures GROUP BY 1")
+def a12_visual_summary(t):
+    b = F.col("bounding_box")
+    return t("figures").groupBy(aggregates.group_key(F.col("source"), "unknown").alias("source")).agg(F.count("*").alias("n"), r6(F.avg(b["w"]), "width"), r6(F.avg(b["h"]), "height"), r6(F.avg(F.when(F.col("extraction_quality") == "good", 100.0).otherwise(0.0)), "good_pct"))
+
+
+@query("WITH p AS (SELECT quantile_cont(o_totalprice, 0.3333) AS a, quantile_cont(o_totalprice, 0.6667) AS b FROM orders) SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, round(100 * avg(CAST(o_totalprice < a AS INTEGER)), 6) AS low_pct, round(100 * avg(CAST(o_totalprice >= b AS INTEGER)), 6) AS high_pct FROM orders, p GROUP BY 1")
+def a19_yearly_bands(t):
+    o = t("orders")
+    p = o.agg(F.percentile("o_totalprice", [0.3333, 0.6667]).alias("q"))
+    x = o.crossJoin(F.broadcast(p))
+    return x.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), r6(100 * F.avg((F.col("o_totalprice") < F.col("q")[0]).cast("int")), "low_pct"), r6(100 * F.avg((F.col("o_totalprice") >= F.col("q")[1]).cast("int")), "high_pct"))
+
+
+@query()
+def m04_simplex_weights(t):
+    p = t("part").select((F.col("p_retailprice") / 2000).alias("a"), (F.col("p_size") / 50).alias("b"), ((F.col("p_partkey") % 97) / 97).alias("c"), (F.col("p_retailprice") + 5 * F.col("p_size")).alias("t")).where("p_partkey IS NOT NULL")
+    return models.rank_correlation_grid(p, ["a", "b", "c"], "t", 4)
+
+
+@query()
+def m05_screened(t):
+    r = t("results")
+    kept = models.screen(r, ["input_tokens", "output_tokens", "inference_time", "entity_count", "total_visual_proxies"])
+    return r.agg(*[F.count(c).alias(c) for c in kept])
+
+
+@query()
+def m09_robustness(t):
+    spark = t("region").sparkSession
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.year("o_orderdate").cast("double").alias("y"), "o_totalprice", "c_mktsegment")
+    return spark.createDataFrame(models.robustness(o, "o_orderkey", "y", "o_totalprice", "c_mktsegment", 2), "variant string, slope double")
+
+
+@query()
+def m11_ablation(t):
+    spark = t("region").sparkSession
+    return spark.createDataFrame(models.ablation(t("lineitem"), "l_orderkey", {"quantity": ["l_quantity"], "rates": ["l_discount", "l_tax"], "all": ["l_quantity", "l_discount", "l_tax"]}, "l_extendedprice"), "family string, r2 double")
+
+
+@query("WITH c AS (SELECT n_name, CAST(year(o_orderdate) AS DOUBLE) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20) SELECT n_name, CAST(sum(n) AS BIGINT) AS n, count(*) AS years, round(regr_slope(m, y), 2) AS slope FROM c GROUP BY 1 HAVING sum(n) >= 100 AND count(*) >= 3")
+def m14_trend_table(t):
+    c, n = t("customer"), t("nation")
+    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select("n_name", F.year("o_orderdate").cast("double").alias("y"), "o_totalprice")
+    return models.trend_table(o, "n_name", "y", "o_totalprice").select("n_name", "n", "years", F.round("slope", 2).alias("slope"))
+
+
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 2000 GROUP BY 1 HAVING count(*) >= 100")
+def m15_global_trend(t):
+    return models.global_trend(t("orders").select(F.year("o_orderdate").alias("y"), "o_totalprice"), "y", "o_totalprice", 1996, 2000).select("y", "n", F.round("mean", 2).alias("mean"))
+
+
+@query("SELECT doi, figure_id, CAST(row_number() OVER (PARTITION BY doi ORDER BY CASE WHEN label ILIKE 'tab%' THEN 1 WHEN label ILIKE 'sch%' THEN 2 ELSE 0 END, try_cast(regexp_extract(label, '(\\d+)', 1) AS INTEGER) NULLS FIRST, fig_row_id) AS INTEGER) AS place, fig_row_id FROM figures WHERE doi IS NOT NULL")
+def t01_natural_order(t):
+    lab = F.lower(F.coalesce("label", F.lit("")))
+    kind = F.when(lab.startswith("tab"), 1).when(lab.startswith("sch"), 2).otherwise(0)
+    num = F.regexp_extract("label", r"(\d+)", 1).try_cast("int")
+    return t("figures").where("doi IS NOT NULL").select("doi", "figure_id", F.row_number().over(Window.partitionBy("doi").orderBy(kind, num, "fig_row_id")).alias("place"), "fig_row_id")
+
+
+@query("SELECT doi FROM srp WHERE doi IS NOT NULL UNION SELECT doi FROM results WHERE doi IS NOT NULL")
+def u01_union(t):
+    return t("srp").select("doi").unionByName(t("results").select("doi")).where("doi IS NOT NULL").distinct()
+
+
+@query("SELECT tab_row_id, CAST(len(list_distinct(list_concat(coalesce(list_transform(tables, lambda x: x.section), []), coalesce(list_transform(tables, lambda x: x.source), [])))) AS INTEGER) AS n FROM paper_tables")
+def u04_distinct_merge(t):
+    names = lambda f: F.coalesce(F.transform("tables", lambda x: x[f]), F.array().cast("array<string>"))
+    return t("paper_tables").select("tab_row_id", F.size(F.array_compact(F.array_union(names("section"), names("source")))).alias("n"))
+
+
+@query()
+def f02_glyphs(t):
+    return t("documents").select("doc_id", F.size(text.private_use(F.coalesce("text", F.lit("")))).alias("unmapped"), F.length(text.nfkc(F.col("text"))).alias("n"))
+
+
+@query()
+def f03_equations(t):
+    line = F.concat(F.col("p_name"), F.lit(" = "), F.col("p_size"), F.lit("  ("), F.col("p_partkey") % 99, F.lit(")"))
+    return t("part").select("p_partkey", text.equation_number(line).alias("number"), text.clean_equation(line).alias("clean"), F.array_join(text.equation_reasons(line), ";").alias("reasons"))
+
+
+@query("SELECT doc_id, coalesce(len(regexp_extract_all(text, '(?i)\\b(?:fig(?:ure|s)?|tab(?:le|les)?|sch(?:eme|emes)?)\\b\\s*\\.?\\s*\\d{1,3}')), 0) AS n FROM documents WHERE text IS NOT NULL")
+def f07_anchors(t):
+    return t("documents").where("text IS NOT NULL").select("doc_id", F.size(text.anchors(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query("SELECT tab_row_id, pos, len(list_filter(regexp_split_to_array(x, '\\r?\\n'), lambda l: trim(l, ' ') <> '')) AS rows FROM (SELECT tab_row_id, unnest(tables).text AS x, unnest(range(len(tables))) AS pos FROM paper_tables) WHERE x IS NOT NULL AND trim(x, ' ') <> ''")
+def f18_table_rows(t):
+    x = t("paper_tables").select("tab_row_id", F.posexplode("tables").alias("pos", "t")).where("t.text IS NOT NULL AND trim(t.text) <> ''")
+    return x.select("tab_row_id", F.col("pos").cast("bigint").alias("pos"), text.table_stats(F.col("t.text"))["rows"].cast("bigint").alias("rows"))
+
+
+@query()
+def f13_label_sections(t):
+    d = t("documents").where("doi IS NOT NULL AND text IS NOT NULL").select("doi", "doc_id", F.when(F.col("doc_id") % 3 > 0, F.initcap("section")).alias("heading"), "text")
+    return labelling.label_sections(d, "doi", "doc_id", "heading", "text").select("doc_id", "role", "role_source", "role_confidence")
+
+
+@query()
+def f13_label_report(t):
+    d = t("documents").where("doi IS NOT NULL AND text IS NOT NULL").select("doi", "doc_id", F.initcap("section").alias("heading"), "text")
+    return labelling.label_report(labelling.label_sections(d, "doi", "doc_id", "heading", "text"), "doi")
+
+
+@query()
+def f15_prompts(t):
+    s = F.col("section_summaries")
+    p = labelling.assemble_prompt({"title": F.col("title"), **{x: s[x] for x in replies.SECTIONS}}, 400, ("title", "methods"))
+    return t("srp").select("srp_id", F.length(p["prompt"]).alias("n"), p["prompt"].endswith("[TRUNCATED]").alias("cut"), p["error"].alias("error"))
+
+
+@query()
+def f16_capture_tables(t):
+    x = t("paper_tables").select(F.col("tab_row_id").alias("doc"), F.posexplode("tables").alias("page", "t")).select("doc", "page", F.concat_ws("\n", F.lit("Running text stands above the table and ends here."), F.concat(F.lit("Table "), F.col("page") + 1, F.lit(". "), F.col("t.caption")), F.col("t.text")).alias("body"))
+    return labelling.capture_tables(x, "doc", "page", "body")
+
+
+@query("SELECT tab_row_id, pos, substr(coalesce(c, ''), 1, 400) AS kept FROM (SELECT tab_row_id, unnest(tables).caption AS c, unnest(range(len(tables))) AS pos FROM paper_tables) WHERE length(c) <= 400")
+def f35_trim_captions(t):
+    x = t("paper_tables").select("tab_row_id", F.posexplode("tables").alias("pos", "t")).where(F.length("t.caption") <= 400)
+    return x.select("tab_row_id", F.col("pos").cast("bigint").alias("pos"), text.trim_caption(F.col("t.caption")).alias("kept"))
+
+
+@query("SELECT result_id, CASE WHEN replace(lower(trim(status, ' ')), ' ', '_') IN ('success', 'api_error', 'schema_error') THEN replace(lower(trim(status, ' ')), ' ', '_') WHEN status = 'json_parse_error' THEN 'schema_error' END AS kind, CAST(least(greatest(entity_count, 1), 5) AS INTEGER) AS score FROM results WHERE entity_count IS NOT NULL")
+def f23_coercion(t):
+    r = t("results").where("entity_count IS NOT NULL")
+    return r.select("result_id", replies.enum_value(F.col("status"), ["success", "api_error", "schema_error"], {"json_parse_error": "schema_error"}).alias("kind"), replies.score_value(F.col("entity_count"), 1, 5).alias("score"))
+
+
+@query()
+def f25_simhash(t):
+    return duplicates.simhash(t("documents"), "doc_id", "text")
+
+
+@query("SELECT fig_row_id, round((least(bounding_box.w * bounding_box.h / 200000, 1) + least(page / 10.0, 1)) / 2, 3) AS clutter FROM figures")
+def f29_clutter(t):
+    b = F.col("bounding_box")
+    return t("figures").select("fig_row_id", F.round(geometry.clutter(geometry.area(b) / 200000, F.col("page") / 10.0), 3).alias("clutter"))
+
+
+@query("SELECT fig_row_id, CASE WHEN lower(coalesce(label, '')) LIKE 'scheme%' THEN 'scheme' WHEN lower(coalesce(label, '')) LIKE 'tab%' THEN 'table' WHEN lower(coalesce(label, '')) LIKE 'fig%' THEN 'figure' ELSE coalesce(lower(type), 'figure') END AS kind FROM figures")
+def f33_asset_kind(t):
+    return t("figures").select("fig_row_id", values.asset_kind(F.col("label"), F.col("type")).alias("kind"))
+
+
+@query()
+def f40_markdown_tables(t):
+    x = t("paper_tables").select("tab_row_id", F.posexplode("tables").alias("pos", "t")).where("t.text IS NOT NULL AND trim(t.text) <> ''")
+    return x.select("tab_row_id", "pos", F.length(text.markdown_table(F.col("t.text"))).alias("n"))
+
+
+@query("SELECT fig_row_id FROM figures WHERE assigned_section IN ('introduction', 'methods', 'results', 'discussion') AND coalesce(extraction_quality, '') <> 'bad'")
+def f44_main_evidence(t):
+    return t("figures").where(labelling.main_evidence(F.coalesce("label", F.lit("")), F.col("assigned_section"), F.col("extraction_quality"))).select("fig_row_id")
+
+
+@query()
+def x01_score_rows(t):
+    return labelling.score_rows(t("srp").select("srp_id", "title"), "srp_id", "title", lambda ps: [None if len(p) % 7 == 0 else '{"title": "' + p[:20] + '"}' for p in ps]).groupBy("status").agg(F.count("*").alias("n"))
