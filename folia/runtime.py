@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def broadcast_if_small(df: DataFrame, limit_rows: int) -> tuple[DataFrame, bool]
     return (F.broadcast(df) if small else df), small
 
 
+_BUILT: dict[str, object] = {}
+
+
+def per_worker(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, once per Python worker and ``name``: workers outlive tasks, so models are set up and caches filled once. A few of the last are kept."""
+    if name not in _BUILT:
+        while len(_BUILT) >= 4:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = build()
+    return _BUILT[name]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a *scan* of a few small files over all cores before work that is heavy on CPU.
 
