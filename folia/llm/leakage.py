@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.runtime import not_blank, spread
+from folia.runtime import not_blank, per_worker, spread
 
 #: Tags are blanked out at equal length, so that offsets stay those of the original text.
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->|&(?:nbsp|shy|amp|lt|gt|quot|#\d{1,7}|#x[0-9A-Fa-f]{1,6});", re.S)
@@ -95,8 +96,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
     for block in item_blocks(items, item_key, item_text, window, max_windows) or [[]]:
         shared = src.sparkSession.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = Automaton(shared.value, window)
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            machine = per_worker(name, lambda: Automaton(shared.value, window))
             for b in batches:
                 rows = [(k, *hit) for k, t in zip(b[doc_key], b["_text"], strict=True) for hit in machine.find(t)]
                 yield pd.DataFrame(rows, columns=[doc_key, item_key, "start_char", "end_char", "n_words"])

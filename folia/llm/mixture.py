@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folia.runtime import cut_lineage, not_blank, spread
+from folia.runtime import cut_lineage, not_blank, per_worker, spread
 
 #: A public byte-level BPE vocabulary; the path is a parameter everywhere.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -29,7 +29,7 @@ def count_tokens(df: DataFrame, columns: list[str], text: str, tokenizer: str =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = per_worker("tokenizer " + tokenizer, lambda: Tokenizer.from_file(tokenizer))
         t.encode_special_tokens = True
         for b in batches:
             out = b[columns].copy()

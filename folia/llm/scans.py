@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.runtime import cut_lineage, spread
+from folia.runtime import cut_lineage, per_worker, spread
 
 #: What a misread character looks like, clean to misread: fixed values, from the shapes of letters.
 CONFUSIONS = [("e", "c"), ("i", "l"), ("o", "0"), ("n", "ri"), ("l", "1"), ("s", "5"), ("u", "ii"), ("g", "q"), ("d", "cl"), ("m", "rn"), ("h", "li"), ("b", "6"), ("w", "vv"), ("i", "1"), ("S", "5"), ("O", "0"), ("B", "8"), ("l", "i"), ("c", "e"), ("rn", "m"), ("cl", "d")]
@@ -359,7 +360,7 @@ def _spoil_word(w: str, rng: random.Random) -> tuple[str, list[str]] | None:
     return noisy, ops
 
 
-def train_chars(lexicon: dict[str, int], seed: int = 7, max_words: int = 3000, rounds: int = 4) -> CharModel:
+def train_chars(lexicon: dict[str, int], seed: int = 7, max_words: int = 3000, rounds: int = 2) -> CharModel:
     """Fits the character editor on at most ``max_words`` of the most frequent words, spoilt artificially; the rest of the lexicon only serves the exact check."""
     rng = random.Random(seed)
     top = sorted(((n, w) for w, n in lexicon.items() if n > 0 and not w.isdigit()), reverse=True)
@@ -457,7 +458,7 @@ def train_lines(texts: list[tuple[str, bool]], lexicon: dict[str, int], seed: in
     return LineModel(p.average())
 
 
-def learn_lexicon(texts: DataFrame, min_share: float = 2e-7) -> dict[str, int]:
+def learn_lexicon(texts: DataFrame, min_share: float = 1e-6) -> dict[str, int]:
     """Words (runs of letters or digits, as written, and those joined by hyphens) with their counts over *all* texts; those of at least ``min_share`` of all words, so at most ``1 / min_share``."""
     words, compounds = (F.regexp_extract_all("text", F.lit(x), F.lit(0)) for x in (r"[\p{L}\p{N}]+", r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]*[\p{L}][\p{L}\p{N}]*)+"))
     joined = texts.select(F.regexp_replace("text", r"(?<=\p{L})[-\x{AD}\x{AC}\x{2010}\x{2011}][ \t]*\r?\n[ \t]*(?=\p{Ll})", "").alias("text"))  # halves of broken words are no words
@@ -494,8 +495,10 @@ def repair(texts: DataFrame, keys: list[str], fitted: Repairer | None = None) ->
     model = fitted or fit(src.select("text", "is_table"))
     shared = src.sparkSession.sparkContext.broadcast((model.lines, model.chars, model.lexicon))
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Repairer(*shared.value)
+        r = per_worker(name, lambda: Repairer(*shared.value))
         for b in batches:
             got = [r(t, bool(k)) for t, k in zip(b["text"], b["is_table"], strict=True)]
             out = b[keys].copy()

@@ -141,7 +141,7 @@ def stop_terms(docs: DataFrame, max_share: float = 0.1) -> frozenset[str]:
     return frozenset(r["w"] for r in common.select("w").distinct().collect())
 
 
-def widen_terms(docs: DataFrame, model: Terms, min_share: float = 1e-6) -> Terms:
+def widen_terms(docs: DataFrame, model: Terms, min_share: float = 2e-6) -> Terms:
     """Term weights from the sentences of all documents, each counted under the posterior of its subject. Terms of at least ``min_share`` of all counts go back to the tasks."""
     k = len(model.subjects)
     shared = docs.sparkSession.sparkContext.broadcast(model)
