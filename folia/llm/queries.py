@@ -111,4 +111,17 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_repaired, p4_found, p4_share, p4_common_lines, p6_found, p6_shares, p7_found, p7_spans, p8_mix, p8_shares, p9_found, p9_areas, p9_composition)}
-SQL: dict[str, str] = {}
+
+def _grams(words: str, key: str, n: int) -> str:
+    """Windows of ``n`` words with their place, from a table of ``(key, w)``."""
+    return f"SELECT {key}, k, list_slice(w, k, k + {n - 1}) AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS k FROM {words} WHERE len(w) >= {n})"
+
+
+SQL: dict[str, str] = {
+    "p4_found": "WITH t AS (SELECT 'srp' AS tbl, srp_id AS rec_id, concat_ws(chr(10), section_summaries.introduction, section_summaries.methods, section_summaries.results, section_summaries.discussion) AS x FROM srp UNION ALL SELECT 'results', result_id, raw_output FROM results WHERE raw_output IS NOT NULL), "
+    "w AS (SELECT {'t': tbl, 'i': rec_id} AS r, regexp_extract_all(lower(x), '\\p{L}+') AS w FROM t WHERE x IS NOT NULL), "
+    f"g AS ({_grams('w', 'r', 8)}), late AS (SELECT r, k FROM (SELECT r, k, row_number() OVER (PARTITION BY r, g ORDER BY k) AS nth FROM g) WHERE nth > 1), "
+    "c AS (SELECT r, count(DISTINCT k + o) AS n FROM late, (SELECT unnest(range(8)) AS o) GROUP BY r) SELECT w.r.t AS tbl, w.r.i AS rec_id FROM w JOIN c ON w.r = c.r WHERE c.n >= 0.3 * len(w.w)",
+    "p7_found": "WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]{0,200}>', ' ', 'g')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL), "
+    f"dg AS ({_grams('d', 'doc_id', 12)}), ig AS ({_grams('i', 'item_id', 12)}) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g",
+}
