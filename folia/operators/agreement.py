@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.operators.windows import average_ranks
+
 
 def pearson(x: str, y: str) -> Column:
     """Correlation; null where a side is constant."""
@@ -16,16 +18,12 @@ def pearson(x: str, y: str) -> Column:
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson of average ranks within each group.
 
-    Ranks come from counts of distinct values with running sums, so that equal values are never gathered: only distinct values are sorted.
+    Ranks come from counts of distinct values with distributed prefix sums: equal values are never gathered, and no task sorts a whole group.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
-    def ranks(c: str, out: str) -> DataFrame:
-        n = both.groupBy(*keys, c).agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        return n.select(*keys, c, (before + (F.col("_n") + 1) / 2.0).alias(out))
-
-    pairs = both.groupBy(*keys, x, y).agg(F.count("*").alias("_w")).join(ranks(x, "_rx"), [*keys, x]).join(ranks(y, "_ry"), [*keys, y])
+    rx, ry = average_ranks(both, keys, x, "_rx").drop("n"), average_ranks(both, keys, y, "_ry").drop("n")
+    pairs = both.groupBy(*keys, x, y).agg(F.count("*").alias("_w")).join(rx, [*keys, x]).join(ry, [*keys, y])
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     s = pairs.groupBy(*keys).agg(F.sum(w).alias("n"), *[F.sum(w * e).alias(n) for n, e in {"sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b}.items()])
     n = F.col("n")

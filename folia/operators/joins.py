@@ -83,35 +83,37 @@ def hamming_pairs(df: DataFrame, key: str, h: str, most: int) -> DataFrame:
     return pairs.select(F.least("a._rep", "b._rep").alias("a"), F.greatest("a._rep", "b._rep").alias("b"), d.alias("distance")).distinct()
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: str, order: str, forward_first: bool = False) -> DataFrame:
+def _salted_union(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: Column, salts: int) -> DataFrame:
+    """Left rows spread over ``salts``, right rows (one per group and place) copied to each: a group with a third of all left rows is that many tasks."""
+    cols = left.columns
+    u = left.select("*", F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_v"), F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side"), F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int").alias("_s"))
+    r = right.select(F.col(by), F.col(right_at).cast("double").alias("_at"), value.alias("_v")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return u.unionByName(r.select(*[F.col(by) if c == by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], "_v", "_at", F.lit(0).alias("_side"), "_s"))
+
+
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: str, order: str, forward_first: bool = False, salts: int = 8) -> DataFrame:
     """``left`` with ``value`` of the latest right row at or before it; among equals the first by ``order``.
 
-    ``forward_first``: where there is none, the earliest right row of the group (J12). Runs as a union and one window, so each group is sorted once and no pairs are built.
+    ``forward_first``: where there is none, the earliest right row of the group (J12). A union and one window: no pairs are built; left rows are salted against hot groups.
     """
-    l = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_o"))  # noqa: E741
-    cols = left.columns
-    r = right.groupBy(by, F.col(right_at).cast("double").alias("_at")).agg(F.min_by(value, order).alias("_v"))
-    r = r.select(*[F.col(by) if c == by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], "_v", "_at", F.lit(0).alias("_side"), F.lit(None).cast("double").alias("_o"))
-    w = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = l.unionByName(r).withColumn(value, F.last("_v", ignorenulls=True).over(w))
+    r = right.groupBy(by, right_at).agg(F.min_by(value, order).alias("_x"))
+    u = _salted_union(left, r, by, at, right_at, F.col("_x"), salts)
+    w = Window.partitionBy(by, "_s").orderBy("_at", "_side")
+    out = u.withColumn(value, F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if forward_first:
-        every = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        out = out.withColumn(value, F.coalesce(value, F.first("_v", ignorenulls=True).over(every)))
-    return out.where("_side = 1").select(*cols, value)
+        out = out.withColumn(value, F.coalesce(value, F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    return out.where("_side = 1").select(*left.columns, value)
 
 
-def nearest(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: str) -> DataFrame:
-    """``left`` with the value of the right row nearest to it; the later one on ties (J13). One sort per group: the last row before and the first row after are enough."""
-    cols = left.columns
-    l = left.select("*", F.lit(None).cast("struct<p:double,v:string>").alias("_v"), F.col(at).cast("double").alias("_at"), F.lit(1).alias("_side"))  # noqa: E741
-    r = right.groupBy(by, F.col(right_at).cast("double").alias("_at")).agg(F.min(F.col(value).cast("string")).alias("_x"))
-    r = r.select(*[F.col(by) if c == by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.struct(F.col("_at").alias("p"), F.col("_x").alias("v")).alias("_v"), "_at", F.lit(0).alias("_side"))
-    u = l.unionByName(r)
-    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_v", ignorenulls=True).over(Window.partitionBy(by).orderBy("_at", F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
+def nearest(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: str, salts: int = 8) -> DataFrame:
+    """``left`` with the value of the right row nearest to it; the later one on ties (J13): the last row before and the first row after are enough."""
+    r = right.groupBy(by, right_at).agg(F.min(F.col(value).cast("string")).alias("_x"))
+    u = _salted_union(left, r, by, at, right_at, F.struct(F.col(right_at).cast("double").alias("p"), F.col("_x").alias("v")), salts)
+    before = F.last("_v", ignorenulls=True).over(Window.partitionBy(by, "_s").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_v", ignorenulls=True).over(Window.partitionBy(by, "_s").orderBy("_at", F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
     u = u.withColumn("_b", before).withColumn("_a", after)
     pick = F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_a.p") - F.col("_at") <= F.col("_at") - F.col("_b.p"), F.col("_a.v")).otherwise(F.col("_b.v"))
-    return u.where("_side = 1").select(*cols, pick.alias(value))
+    return u.where("_side = 1").select(*left.columns, pick.alias(value))
 
 
 def merge_detections(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.runtime import cut_lineage
 
-def average_rank(by: list[str], x: str) -> Column:
-    """Ranks with ties at their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2.0
 
+def prefix_sums(df: DataFrame, by: Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the group that come before in ``order`` (which has no ties within a group).
 
-def fill_forward(df: DataFrame, by: str, pos: str, label: str, reset: Column, out: str) -> DataFrame:
-    """The nearest label above, but not over a reset row."""
-    w = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    g = df.withColumn("_g", F.sum(F.when(reset, 1).otherwise(0)).over(w))
-    return g.withColumn(out, F.last(label, ignorenulls=True).over(Window.partitionBy(by, "_g").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))).drop("_g")
+    Rows are range-partitioned once and cut off reliably; partition sums are a table of partitions, their running sums the offsets; what is left is a running
+    sum within (group, partition). A group of any size is spread over as many tasks as its rows need.
+    """
+    r = cut_lineage(df.repartitionByRange(*by, order).withColumn("_p", F.spark_partition_id()))
+    sums = r.groupBy(*by, "_p").agg(F.sum(value).alias("_s"))
+    above = sums.withColumn("_off", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col("l._p") == F.col("r._p")]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    j = r.alias("l").join(above.alias("r"), cond).select("l.*", "r._off")
+    local = F.sum(value).over(Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return j.withColumn(out, F.col("_off") + local).drop("_p", "_off")
+
+
+def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
+    """``(by, x, n, out)``: each distinct value's count and its rank with ties at their mean (W1). Only distinct values are sorted, and those by prefix sums."""
+    counts = df.groupBy(*by, x).agg(F.count("*").alias("n"))
+    return prefix_sums(counts, by, x, "n", "_before").select(*by, x, "n", (F.col("_before") + (F.col("n") + 1) / 2.0).alias(out))
+
+
+def fill_forward(df: DataFrame, by: str, pos: str, label: str, reset: Column, out: str, chunk: int = 100_000) -> DataFrame:
+    """The nearest label above, but not over a reset row.
+
+    Positions are cut into chunks of ``chunk``: the last mark of each chunk is carried over by a window over chunks, so a long group is no single task. Positions are numbers.
+    """
+    mark = F.when(reset | F.col(label).isNotNull(), F.struct(F.col(label).alias("v")))
+    m = df.withColumn("_m", mark).withColumn("_c", F.floor(F.col(pos) / chunk))
+    last = m.where(F.col("_m").isNotNull()).groupBy(F.col(by).alias("_by"), F.col("_c").alias("_cc")).agg(F.max_by("_m", pos).alias("_last"))
+    chunks = m.groupBy(F.col(by).alias("_by"), F.col("_c").alias("_cc")).agg(F.count("*").alias("_n")).join(last, ["_by", "_cc"], "left")
+    carry = chunks.select("_by", "_cc", F.last("_last", ignorenulls=True).over(Window.partitionBy("_by").orderBy("_cc").rowsBetween(Window.unboundedPreceding, -1)).alias("_in"))
+    j = m.join(carry, (m[by] == carry["_by"]) & (m["_c"] == carry["_cc"]), "left").drop("_by", "_cc")
+    here = F.last("_m", ignorenulls=True).over(Window.partitionBy(by, "_c").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    return j.withColumn(out, F.coalesce(here, F.col("_in"))["v"]).drop("_m", "_c", "_in")
 
 
 def propagate_bounded(df: DataFrame, by: str, pos: str, label: str, out: str, most: int = 4, only: tuple[str, ...] = ("methods", "results", "discussion")) -> DataFrame:

@@ -522,7 +522,8 @@ def m08_beta_regression(t):
 
 @query("SELECT p_partkey, round(rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0, 6) AS r FROM part")
 def w01_average_rank(t):
-    return t("part").select("p_partkey", r6(windows.average_rank(["p_brand"], "p_size"), "r"))
+    p = t("part").select("p_partkey", "p_brand", "p_size")
+    return p.join(windows.average_ranks(p, ["p_brand"], "p_size", "r"), ["p_brand", "p_size"]).select("p_partkey", r6(F.col("r"), "r"))
 
 
 _SEQ = "(SELECT event_id, user_id, CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE event_type END AS label, event_type = 'error' AS reset FROM events)"
