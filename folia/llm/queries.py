@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.llm import canonical, leakage, mixture, repetition, scans, subjects, truncation
-from folia.runtime import table
+from folia.runtime import broadcast_if_small, table
 
 _SECTIONS = ("introduction", "methods", "results", "discussion")
 
@@ -73,12 +73,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "scimago_journals").select(F.col("sourceid").alias("entry"), F.col("title").alias("name"))
     own = table(spark, sf_dir, "match_statuses").select(F.col("status").alias("entry"), F.col("status").alias("name"))
-    other = spark.createDataFrame([(k, x) for k, names in canonical.STATUS_NAMES.items() for x in names], "entry string, name string").join(F.broadcast(own.select("entry")), "entry", "left_semi")
+    other = spark.createDataFrame([(k, x) for k, names in canonical.STATUS_NAMES.items() for x in names], "entry string, name string").join(own.select("entry"), "entry", "left_semi")
     index = table(spark, sf_dir, "stage1_ga_index")
     got = canonical.map_values(index, "row_id", {"journal": titles, "scimago_title": titles, "scimago_match_status": own.unionByName(other)})
-    listed = titles.select(F.lit("t").alias("kind"), F.col("name").alias("value")).union(own.select(F.lit("s"), "name")).distinct()
+    listed = titles.select(F.lit("t").alias("kind"), F.col("name").alias("value")).union(own.select(F.lit("s"), "name")).distinct().withColumn("listed", F.lit(True))
+    listed, _ = broadcast_if_small(listed, 100_000)
     kind = F.when(F.col("field") == "scimago_match_status", "s").otherwise("t")
-    return got.withColumn("kind", kind).join(F.broadcast(listed.withColumn("listed", F.lit(True))), ["kind", "value"], "left").drop("kind")
+    return got.withColumn("kind", kind).join(listed, ["kind", "value"], "left").drop("kind")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

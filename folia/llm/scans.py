@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.runtime import cut_lineage, per_worker, spread
@@ -470,12 +470,10 @@ def learn_lexicon(texts: DataFrame, min_share: float = 1e-6) -> dict[str, int]:
 def fit(texts: DataFrame, sample: int = 1500) -> Repairer:
     """Learns the lexicon from all of ``texts(text, is_table)`` and fits both perceptrons on at most ``sample`` clean texts of each kind (those of smallest hash)."""
     lexicon = learn_lexicon(texts)
-    usual = sorted(lexicon.values(), reverse=True)[: max(1, len(lexicon) // 4)][-1] if lexicon else 0
     picked = []
     for kind in (False, True):
         rows = texts.where((F.col("is_table") == kind) & (F.length("text") < 4000)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
         picked += [(r["text"], kind) for r in rows]
-    del usual
     clean = []
     for t, kind in picked:
         words = _WORD.findall(t)
@@ -513,9 +511,5 @@ def repair(texts: DataFrame, keys: list[str], fitted: Repairer | None = None) ->
 def page_texts(figures: DataFrame, tables: DataFrame) -> DataFrame:
     """``(tbl, rec_id, item_pos, text, is_table)`` of the captions and of the bodies in the tables files."""
     a = figures.select(F.lit("figures").alias("tbl"), F.col("fig_row_id").alias("rec_id"), F.lit(0).alias("item_pos"), F.col("caption").alias("text"), F.lit(False).alias("is_table"))
-    b = tables.select(F.col("tab_row_id").alias("rec_id"), F.posexplode("tables").alias("item_pos", "t")).select(F.lit("paper_tables").alias("tbl"), "rec_id", "item_pos", F.col("t.text").alias("text"), F.lit(True).alias("is_table"))
+    b = tables.select(F.col("tab_row_id").alias("rec_id"), F.posexplode("tables.text").alias("item_pos", "text")).select(F.lit("paper_tables").alias("tbl"), "rec_id", "item_pos", "text", F.lit(True).alias("is_table"))
     return a.unionByName(b).where(F.col("text").isNotNull())
-
-
-def column_or_null(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None)

@@ -137,7 +137,7 @@ def stop_terms(docs: DataFrame, max_share: float = 0.1) -> frozenset[str]:
     lang = docs.select(language_of(F.col("lang")).alias("lang"), "text")
     sizes = lang.groupBy("lang").agg(F.count("*").alias("size"))
     words = lang.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"), F.lit(0)))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    common = words.join(F.broadcast(sizes.where("size >= 20").orderBy(F.desc("size")).limit(1000)), "lang").where(F.col("n") > F.col("size") * max_share)
+    common = words.join(sizes.where("size >= 20"), "lang").where(F.col("n") > F.col("size") * max_share)
     return frozenset(r["w"] for r in common.select("w").distinct().collect())
 
 

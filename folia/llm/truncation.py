@@ -153,7 +153,7 @@ def _counts(text: str, usual: frozenset[str], into: Counter) -> None:
             into["k", tokens[i]] += 0 if last and not end else 1
 
 
-def learn_ends(texts: DataFrame, usual_share: float = 0.002, min_share: float = 2e-6) -> EndModel:
+def learn_ends(texts: DataFrame, usual_share: float = 0.002, min_share: float = 2e-6, max_sources: int = 100_000) -> EndModel:
     """Counts sentence ends over *all* of ``texts(source, length, text)``. Contexts of less than ``min_share`` of all counts are left out, so at most ``3 / min_share`` go to the tasks."""
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+(?:-[\p{L}]+)*"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     words = cut_lineage(words)
@@ -174,9 +174,11 @@ def learn_ends(texts: DataFrame, usual_share: float = 0.002, min_share: float =
     known = frozenset(r["key"] for r in kept if r["k"])
     by_len = texts.where(F.col("source").isNotNull()).groupBy("source", "length").agg(F.count("*").alias("n"))
     top = by_len.groupBy("source").agg(F.max("length").alias("most"))
-    pile = by_len.join(F.broadcast(top.limit(10_000)), "source").where(F.col("length") >= F.col("most") - 20).groupBy("source", "most").agg(F.sum(F.when(F.col("length") == F.col("most"), F.col("n"))).alias("at"), F.sum(F.when(F.col("length") < F.col("most"), F.col("n"))).alias("below"))
-    limits = {r["source"]: r["most"] for r in pile.where((F.col("at") >= 4) & (F.col("at") > 3 * F.coalesce("below", F.lit(0)) / 20)).limit(10_000).collect()}
-    return EndModel(usual, ends, known, limits)
+    pile = by_len.join(top, "source").where(F.col("length") >= F.col("most") - 20).groupBy("source", "most").agg(F.sum(F.when(F.col("length") == F.col("most"), F.col("n"))).alias("at"), F.sum(F.when(F.col("length") < F.col("most"), F.col("n"))).alias("below"))
+    limited = pile.where((F.col("at") >= 4) & (F.col("at") > 3 * F.coalesce("below", F.lit(0)) / 20)).limit(max_sources + 1).collect()
+    if len(limited) > max_sources:
+        raise ValueError(f"more than {max_sources} sources with a field limit")
+    return EndModel(usual, ends, known, {r["source"]: r["most"] for r in limited})
 
 
 def cut_captions(figures: DataFrame, key: str = "fig_row_id", source: str = "source", text: str = "caption") -> DataFrame:
