@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folia.functions import geometry, replies, text, values
 from folia.operators import aggregates, agreement, duplicates, joins, labelling, models, windows
-from folia.runtime import table
+from folia.runtime import scratch, table
 from folia.sources import readers, writers
 from folia.streaming import queue
 
@@ -638,7 +638,7 @@ def f09_figure_sections(t):
     return t("figures").select("fig_row_id", F.coalesce(d, F.col("assigned_section")).alias("section"), F.when(d.isNotNull(), "mention").otherwise("stored").alias("method"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN section IS NULL THEN '2.1' ELSE lower(section) END AS heading, CASE WHEN section IN ('introduction', 'methods', 'results', 'discussion') THEN section END AS label, CASE WHEN section IN ('introduction', 'methods', 'results', 'discussion') THEN 'exact' ELSE 'none' END AS source FROM documents")
 def f11_headings(t):
     h = F.initcap(F.concat_ws(" ", F.lit("2.1"), F.col("section")))
     c = text.classify_heading(h)
@@ -663,7 +663,7 @@ def f21_token_densities(t):
     return t("documents").where("lang = 'en' AND text IS NOT NULL").select("doc_id", d["n"].cast("bigint").alias("n"), F.when(d["n"] > 0, r6(d["acronym"])).alias("acronym"))
 
 
-@query()
+@query("WITH r AS (SELECT result_id, raw_output AS x, trim(regexp_replace(regexp_replace(raw_output, '(?is)<think>.*?</think>', '', 'g'), '(?i)```(?:json)?', '', 'g'), ' ') AS s FROM results WHERE raw_output IS NOT NULL), c AS (SELECT *, CASE WHEN contains(s, '{') AND contains(s, '}') AND length(s) - instr(reverse(s), '}') + 1 >= instr(s, '{') THEN substr(s, instr(s, '{'), length(s) - instr(reverse(s), '}') + 2 - instr(s, '{')) ELSE s END AS v FROM r) SELECT result_id, CASE WHEN trim(x, ' ') = '' THEN 'empty' WHEN json_valid(x) AND starts_with(trim(x, ' '), '{') THEN 'direct' WHEN json_valid(v) AND starts_with(v, '{') THEN 'salvaged' WHEN json_valid(regexp_replace(v, ',(\\s*[}\\]])', '\\1', 'g')) AND starts_with(v, '{') THEN 'repaired' ELSE 'failed' END AS mode FROM c")
 def f22_salvage(t):
     return t("results").where("raw_output IS NOT NULL").select("result_id", replies.parse_reply(F.col("raw_output"))["mode"].alias("mode"))
 
@@ -814,7 +814,7 @@ def m04_simplex_weights(t):
     return models.rank_correlation_grid(p, ["a", "b", "c"], "t", 4)
 
 
-@query()
+@query('SELECT count(input_tokens) AS input_tokens, count(output_tokens) AS output_tokens, count(inference_time) AS inference_time, count(entity_count) AS entity_count, count(total_visual_proxies) AS total_visual_proxies FROM results')
 def m05_screened(t):
     r = t("results")
     kept = models.screen(r, ["input_tokens", "output_tokens", "inference_time", "entity_count", "total_visual_proxies"])
@@ -899,7 +899,7 @@ def f13_label_report(t):
     return labelling.label_report(labelling.label_sections(d, "doi", "doc_id", "heading", "text"), "doi")
 
 
-@query()
+@query("WITH p AS (SELECT srp_id, title, section_summaries.methods AS m, concat_ws(chr(10) || chr(10), CASE WHEN trim(coalesce(title, ''), ' ') <> '' THEN '# title' || chr(10) || title END, CASE WHEN trim(coalesce(section_summaries.introduction, ''), ' ') <> '' THEN '# introduction' || chr(10) || section_summaries.introduction END, CASE WHEN trim(coalesce(section_summaries.methods, ''), ' ') <> '' THEN '# methods' || chr(10) || section_summaries.methods END, CASE WHEN trim(coalesce(section_summaries.results, ''), ' ') <> '' THEN '# results' || chr(10) || section_summaries.results END, CASE WHEN trim(coalesce(section_summaries.discussion, ''), ' ') <> '' THEN '# discussion' || chr(10) || section_summaries.discussion END) AS b FROM srp) SELECT srp_id, CAST(CASE WHEN length(b) > 400 THEN 412 ELSE length(b) END AS INTEGER) AS n, length(b) > 400 AS cut, CASE WHEN trim(coalesce(title, ''), ' ') = '' THEN 'title is missing' WHEN trim(coalesce(m, ''), ' ') = '' THEN 'methods is missing' END AS error FROM p")
 def f15_prompts(t):
     s = F.col("section_summaries")
     p = labelling.assemble_prompt({"title": F.col("title"), **{x: s[x] for x in replies.SECTIONS}}, 400, ("title", "methods"))
@@ -951,6 +951,61 @@ def f44_main_evidence(t):
     return t("figures").where(labelling.main_evidence(F.coalesce("label", F.lit("")), F.col("assigned_section"), F.col("extraction_quality"))).select("fig_row_id")
 
 
-@query()
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN title IS NULL OR trim(title) = '' THEN 'skipped' WHEN length(title) % 7 = 0 THEN 'empty_response_error' ELSE 'success' END AS status FROM srp) GROUP BY 1")
 def x01_score_rows(t):
     return labelling.score_rows(t("srp").select("srp_id", "title"), "srp_id", "title", lambda ps: [None if len(p) % 7 == 0 else '{"title": "' + p[:20] + '"}' for p in ps]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- files there and back
+
+
+@query("SELECT sourceid, title, publisher, type FROM scimago_journals")
+def src02_csv_there_and_back(t):
+    d = t("scimago_journals")
+    path = scratch(d.sparkSession)
+    writers.write_csv(d, path, ["sourceid", "title", "publisher", "type"])
+    return readers.read_csv(d.sparkSession, path, "sourceid string, title string, publisher string, type string")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def src03_sniffed_delimiter(t):
+    d = t("nation").select("n_nationkey", "n_name")
+    path = scratch(d.sparkSession)
+    d.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    return readers.read_sniffed(d.sparkSession, path)
+
+
+@query("SELECT count(*) AS n, count(doi) AS with_doi, count(*) FILTER (section_summaries IS NOT NULL) AS with_summaries FROM srp")
+def src04_json_there_and_back(t):
+    d = t("srp").select("doi", "title", "section_summaries", "key_entities", "causal_relations")
+    path = scratch(d.sparkSession)
+    writers.write_jsonl(d, path)
+    p = d.sparkSession.read.text(path).select(replies.profile(F.col("value")).alias("p"))
+    return p.agg(F.count("*").alias("n"), F.count("p.doi").alias("with_doi"), F.count_if(F.col("p.section_summaries").isNotNull()).alias("with_summaries"))
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS key, r_name AS name, NULL AS extra FROM region UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR) FROM nation")
+def src08_union_of_sheets(t):
+    a = t("region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    b = t("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("extra"))
+    return readers.union_sheets([a, b])
+
+
+@query("SELECT DISTINCT doi AS id FROM srp WHERE doi IS NOT NULL")
+def src14_id_file(t):
+    d = t("srp").where("doi IS NOT NULL").select(F.concat(F.lit(" "), "doi").alias("value"))
+    path = scratch(d.sparkSession)
+    d.write.text(path)
+    return readers.read_ids(d.sparkSession, path)
+
+
+@query(f"SELECT user_id, arg_max({_STATE}, (ts, {_STATE})) AS state FROM events GROUP BY 1")
+def q03_upsert_in_batches(t):
+    e = t("events").select("user_id", _state().alias("state"), "ts")
+    return queue.upsert(queue.upsert(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"), "user_id"), e, "user_id").select("user_id", "state")
+
+
+@query(f"SELECT user_id FROM (SELECT user_id, arg_max({_STATE}, (ts, event_id)) AS state, max(ts) AS ts FROM events GROUP BY 1) WHERE state = 'in_progress' AND ts < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 15 MINUTE")
+def q06_stalled(t):
+    now = F.to_timestamp(F.lit("2024-01-30 12:00:00"))
+    return queue.stalled(queue.latest_state(t("events"), "user_id", "ts", _state(), "event_id"), now).select("user_id")

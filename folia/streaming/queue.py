@@ -54,6 +54,17 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str | None =
     return e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def upsert(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """A state table ``(key, state, ts)`` with a batch of later or earlier events of the same form: the last of each key holds, whatever the order of arrival (Q3)."""
+    x = F.struct("ts", "state")
+    return state.unionByName(batch).groupBy(key).agg(F.max(x).alias("x")).select(key, F.col("x.state").alias("state"), F.col("x.ts").alias("ts"))
+
+
+def stalled(tasks: DataFrame, now: Column, after: str = "15 minutes") -> DataFrame:
+    """Tasks in progress for too long (Q6)."""
+    return tasks.where((F.col("state") == "in_progress") & (F.col("ts") < now - F.expr(f"INTERVAL {after}")))
+
+
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Everything that is there, in batches, resumable at the checkpoint (Q5, Q8)."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
