@@ -3,7 +3,7 @@
 Two averaged perceptrons, trained here on the corpus's own clean texts after they have been spoilt artificially:
 
 * ``LineModel`` labels each line ``text``, ``header`` or ``pageno`` from its position on the page, its shape and its neighbours;
-* ``CharModel`` labels each character ``K`` (keep), ``D`` (delete), ``R:x`` (replace), ``I:x`` (insert after) and, at a line end, ``J`` (join the lines).
+* ``CharModel`` labels each character ``K`` (keep), ``D`` (delete), ``R:x`` (replace), ``R:xy`` (replace by ``x`` and insert ``y``) and, at a line end, ``J`` (join the lines).
 
 An exact check follows: an edited word counts only if the word after the edits is in the lexicon of the corpus and far more frequent than the word before.
 """
@@ -27,11 +27,13 @@ from folia.runtime import cut_lineage, per_worker, spread
 CONFUSIONS = [("e", "c"), ("i", "l"), ("o", "0"), ("n", "ri"), ("l", "1"), ("s", "5"), ("u", "ii"), ("g", "q"), ("d", "cl"), ("m", "rn"), ("h", "li"), ("b", "6"), ("w", "vv"), ("i", "1"), ("S", "5"), ("O", "0"), ("B", "8"), ("l", "i"), ("c", "e"), ("rn", "m"), ("cl", "d")]
 #: The edits a character can need, from the table above.
 _EDITS: dict[str, set[str]] = {}
-for _a, _b in CONFUSIONS[:19]:
-    _EDITS.setdefault(_b[0], set()).add("R:" + _a[0])
+for _a, _b in CONFUSIONS:
+    _EDITS.setdefault(_b[0], set()).add("R:" + (_a if len(_a) > len(_b) else _a[0]))
 _BACK: dict[str, list[tuple[str, str]]] = {}
-for _a, _b in CONFUSIONS[:19]:
+for _a, _b in CONFUSIONS:
     _BACK.setdefault(_b[0], []).append((_a, _b))
+#: What clean words are spoilt with in training: the usual confusions, either way.
+_SPOIL = [*CONFUSIONS[:14], *CONFUSIONS[19:]]
 HYPHENS = "-­¬‐‑"
 _EOL = re.compile(r"\r\n|\n|\r")
 _WORD = re.compile(r"[^\W_]+")
@@ -266,7 +268,11 @@ def word_correction(word: str, m: CharModel, lexicon: dict[str, int], prefixes:
             n = max(lexicon.get(v, 0), lexicon.get(v.lower(), 0), lexicon.get(v[:1].upper() + v[1:], 0))
             if n >= max(3, ratio * own) and explains(v, word) and (best is None or score > best[0]):
                 best = (score, v)
-    return best[1] if best else None
+    if best is None:
+        return None
+    v, big = best[1], word[:1].isupper() or not word[:1].isalpha()
+    forms = [v, v.lower(), v[:1].upper() + v[1:].lower()]  # the case in which the corpus knows the word
+    return max(forms, key=lambda f: (big or not f[:1].isupper(), lexicon.get(f, 0)))
 
 
 # ---------------------------------------------------------------- repair
@@ -320,11 +326,11 @@ class Repairer:
             else:
                 out = out + "\n" + line
             gap = ""
-        changed = False
+        changed, end = False, len(out.rstrip())
 
         def fix(m: re.Match) -> str:
             nonlocal changed
-            v = self.correct_compound(m[0])
+            v = self.correct_compound(m[0]) if m.end() < end or len(m[0]) > 5 else None  # a short last word may be the rest of a longer one
             changed |= v is not None
             return v or m[0]
 
@@ -339,7 +345,7 @@ class Repairer:
 
 def _spoil_word(w: str, rng: random.Random) -> tuple[str, list[str]] | None:
     """A misread word and the operation that restores each of its characters."""
-    places = [(i, a, b) for a, b in CONFUSIONS[:14] for i in range(len(w)) if w.startswith(a, i)]
+    places = [(i, a, b) for a, b in _SPOIL for i in range(len(w)) if w.startswith(a, i)]
     if not places:
         return None
     rng.shuffle(places)
@@ -369,7 +375,7 @@ def train_chars(lexicon: dict[str, int], seed: int = 7, max_words: int = 3000, r
         for k in range(len(w) + 2):
             grams[("^^^" + w + "$$$")[k + 1 : k + 4].lower()] += n
     words = [w for _, w in top[:max_words] if len(w) > 1]
-    labels = ["K", "D", *sorted({"R:" + a[:1] for a, _ in CONFUSIONS[:14]} | {"I:" + a for a, _ in CONFUSIONS[:1]})]
+    labels = ["K", "D", *sorted(set().union(*_EDITS.values()))]
     p = Perceptron(labels)
     for _ in range(rounds):
         rng.shuffle(words)
