@@ -286,6 +286,7 @@ class Repairer:
 
     def __post_init__(self):
         self._cache: dict[str, str | None] = {}
+        self._clean: set[str] = set()
         self._prefixes = {w[:k].lower() for w, n in self.lexicon.items() if n > 2 for k in range(len(w) + 1)}
 
     def correct(self, word: str) -> str | None:
@@ -334,7 +335,13 @@ class Repairer:
             changed |= v is not None
             return v or m[0]
 
-        out = _COMPOUND.sub(fix, out)
+        new = set(_COMPOUND.findall(out)) - self._clean
+        fine = {w for w in new if self.correct_compound(w) is None}
+        if len(self._clean) > 500_000:
+            self._clean.clear()
+        self._clean |= fine
+        if len(fine) < len(new):  # most texts hold only words known to be fine
+            out = _COMPOUND.sub(fix, out)
         if changed:
             defects.add("chars")
         return defects, out
