@@ -143,14 +143,20 @@ class EndModel:
 
 def _counts(text: str, usual: frozenset[str], into: Counter) -> None:
     for tokens, end in sentences(text):
-        for i in range(len(tokens)):
-            last = i + 1 == len(tokens)
-            f = frame(tokens[: i + 1], usual)
-            for key in ("f " + f, "2 " + " ".join(tokens[max(0, i - 1) : i + 1]), "1 " + tokens[i]):
+        f, before, final = "f", "", len(tokens) - 1
+        for i, t in enumerate(tokens):
+            x = t if t in usual or t in "#@" or not t[0].isalnum() else "*"
+            if not (x == "*" and f.endswith(" *")):
+                f += " " + x
+            keys = (f, f"2 {before} {t}" if i else "2 " + t, "1 " + t)
+            for key in keys:
                 into["n", key] += 1
-                if last:
+            if i == final:
+                for key in keys:
                     into["e", key] += 1
-            into["k", tokens[i]] += 0 if last and not end else 1
+            if i < final or end:
+                into["k", t] += 1
+            before = t
 
 
 def learn_ends(texts: DataFrame, usual_share: float = 0.002, min_share: float = 2e-6, max_sources: int = 100_000) -> EndModel:
