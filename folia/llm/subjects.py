@@ -127,6 +127,13 @@ def _count_terms(docs: list[list[set[str]]], post: np.ndarray) -> tuple[dict[str
     return dict(zip(number, c, strict=True)), post.sum(0)
 
 
+def _small(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    """Arrow batches in pieces: the terms of all sentences of a piece are held at once."""
+    for b in batches:
+        for k in range(0, max(1, len(b)), rows):
+            yield b.iloc[k : k + rows]
+
+
 def language_of(lang):
     """A language's first two letters, whatever way it is spelt; null is a language of its own."""
     return F.coalesce(F.lower(F.substring(F.trim(lang), 1, 2)), F.lit("??"))
@@ -149,7 +156,7 @@ def widen_terms(docs: DataFrame, model: Terms, min_share: float = 2e-6) -> Terms
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         cols = [f"c{i}" for i in range(k)]
-        for b in batches:
+        for b in _small(batches):
             docs_ = [d for t in b["text"] if (d := m.terms_of(t))]
             if not docs_:
                 continue
@@ -311,7 +318,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subject_list: DataFrame, k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, ch = shared.value
-        for b in batches:
+        for b in _small(batches):
             rows = []
             found = [(d, *x) for x in zip(b["_key"], b["text"], b["source"], b["section"], strict=True) if (d := m.terms_of(x[1]))]
             shares = m.posteriors([x[0] for x in found])[1] if found else []
