@@ -43,6 +43,17 @@ def percent_agreement(a: Column, b: Column) -> Column:
     return F.avg((a == b).cast("double"))
 
 
+def pair_agreement(long: DataFrame, item: str, keys: Sequence[str], value: str) -> DataFrame:
+    """``(keys, n_pairs, agreement)``: how often two ratings of an item agree, over all pairs of its ratings.
+
+    From counts of each value per item: an item rated n times has n (n - 1) / 2 pairs, of which those within a value agree. No pair is ever formed.
+    """
+    c = long.groupBy(*keys, item, value).agg(F.count("*").alias("_n"))
+    g = c.groupBy(*keys, item).agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * (F.col("_n") - 1)).alias("_same"))
+    a = g.groupBy(*keys).agg(F.sum(F.col("_m") * (F.col("_m") - 1)).alias("_p"), F.sum("_same").alias("_same"))
+    return a.select(*keys, (F.col("_p") / 2).cast("long").alias("n_pairs"), F.try_divide(F.col("_same").cast("double"), F.col("_p")).alias("agreement"))
+
+
 def icc(long: DataFrame, unit: str, rater: str, x: str) -> DataFrame:
     """ICC(2,1) and ICC(2,k), two-way random, over units rated by every rater."""
     k = long.select(rater).distinct().agg(F.count("*").alias("k"))

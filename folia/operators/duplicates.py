@@ -78,5 +78,4 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 def near_clusters(df: DataFrame, key: str, h: str, most: int) -> DataFrame:
     """``(key, seed)`` of greedy star clusters over classes of equal hashes (W10): one row per class that has a neighbour."""
     pairs = cut_lineage(hamming_pairs(df, key, h, most))
-    comp = components(pairs).withColumnRenamed("node", key)
-    return star_clusters(comp, pairs, key, "component")
+    return star_clusters(df, pairs, key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,19 +68,21 @@ def similar_titles(values: DataFrame, titles: DataFrame, least: float = 0.94, mi
     return best.select("value", F.col("b.title").alias("title"), (-F.col("b.r")).alias("ratio"))
 
 
-def hamming_pairs(df: DataFrame, key: str, h: str, most: int) -> DataFrame:
+def hamming_pairs(df: DataFrame, key: str, h: str, most: int, equal: int = 2) -> DataFrame:
     """``(a, b, distance)`` with ``a < b`` and at most ``most`` differing bits of 64.
 
-    With ``most`` errors in ``most + 1`` bands one band is equal, so candidates come from an equi-join on (band, bits). Copies of one hash are joined once, as a class, and expanded afterwards within their class by a star.
+    Cut into ``most + equal`` blocks, two such hashes have ``equal`` equal blocks, so candidates come from an equi-join on (which blocks, their bits). More equal blocks mean longer keys, so smaller
+    buckets, and more rows. Copies of one hash are one class, joined once under its smallest key.
     """
-    bands = most + 1
-    width = -(-64 // bands)
+    n = most + equal
+    width = -(-64 // n)
     classes = df.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("_h")).agg(F.min(key).alias("_rep"))
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("_h"), i * width).bitwiseAND(F.lit((1 << min(width, 63)) - 1)).alias("bits")) for i in range(bands)])
-    side = classes.select("_h", "_rep", F.explode(cut).alias("x")).select("_h", "_rep", "x.band", "x.bits")
+    block = [F.shiftrightunsigned(F.col("_h"), min(i * width, 63)).bitwiseAND(F.lit((1 << min(width, 64 - i * width, 63)) - 1)) if i * width < 64 else F.lit(0) for i in range(n)]
+    keys = F.array(*[F.struct(F.lit(c).alias("which"), F.xxhash64(*[block[i] for i in some]).alias("bits")) for c, some in enumerate(combinations(range(n), equal))])
+    side = classes.select("_h", "_rep", F.explode(keys).alias("x")).select("_h", "_rep", "x.which", "x.bits")
     a, b = side.alias("a"), side.alias("b")
     d = F.bit_count(F.col("a._h").bitwiseXOR(F.col("b._h")))
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a._h") < F.col("b._h"))).where(d <= most)
+    pairs = a.join(b, (F.col("a.which") == F.col("b.which")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a._h") < F.col("b._h"))).where(d <= most)
     return pairs.select(F.least("a._rep", "b._rep").alias("a"), F.greatest("a._rep", "b._rep").alias("b"), d.alias("distance")).distinct()
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,27 +88,25 @@ def suffixed(by: list[str], ident: str, pos: str) -> Column:
     return F.when(n == 1, F.col(ident)).when(n <= 26, F.concat(F.col(ident), F.char(n + 96))).otherwise(F.concat(F.col(ident), F.lit("_"), n.cast("string")))
 
 
-def star_clusters(nodes: DataFrame, pairs: DataFrame, key: str, component: str) -> DataFrame:
-    """``(key, seed)``: in key order, an unvisited node seeds a cluster and takes all unvisited neighbours.
+def star_clusters(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 100) -> DataFrame:
+    """``(key, seed)`` of the nodes in ``pairs(a, b)``, a < b: in key order, an unvisited node seeds a cluster and takes all unvisited neighbours (W10). Not transitive.
 
-    Not transitive. The order matters only within a connected component, so ``component`` (a column of ``nodes``) bounds the work of one task; neighbours come in as an array per node.
+    The sequential rule has a parallel form: a node is a seed once all its smaller neighbours are known to be none, and is taken by its smallest seed neighbour. Each round decides
+    every node whose smaller neighbours are decided; edges and states stay distributed. Chains of over ``rounds`` neighbours in order raise an error.
     """
-    nb = pairs.select(F.col("a").alias(key), F.col("b").alias("_n")).unionByName(pairs.select(F.col("b").alias(key), F.col("a").alias("_n"))).groupBy(key).agg(F.sort_array(F.collect_set("_n")).alias("_nb"))
-    src = nodes.select(key, component).join(nb, key)
-    kind = nodes.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        nbs = dict(zip(pdf[key], pdf["_nb"], strict=True))
-        seed: dict = {}
-        for k in pdf[key]:
-            if k not in seed:
-                seed[k] = k
-                for x in nbs[k]:
-                    seed.setdefault(x, k)
-        return pd.DataFrame({key: list(seed), "seed": list(seed.values())})
-
-    return src.groupBy(component).applyInPandas(run, f"`{key}` {kind}, seed {kind}")
+    e = cut_lineage(pairs.select(F.col("b").alias("_u"), F.col("a").alias("_v")).distinct())
+    ids = e.select(F.col("_u").alias(key)).unionByName(e.select(F.col("_v").alias(key))).distinct().join(nodes.select(key).distinct(), key, "left_semi")
+    state = cut_lineage(ids.withColumn("_s", F.lit(0)))
+    for _ in range(rounds):
+        below = e.join(state.select(F.col(key).alias("_v"), F.col("_s").alias("_sv")), "_v").groupBy("_u").agg(F.max((F.col("_sv") == 1).cast("int")).alias("_seed"), F.max((F.col("_sv") == 0).cast("int")).alias("_open"))
+        j = state.join(below, state[key] == below["_u"], "left")
+        new = F.when(F.col("_s") != 0, F.col("_s")).when(F.coalesce("_seed", F.lit(0)) == 1, 2).when(F.coalesce("_open", F.lit(0)) == 0, 1).otherwise(0)
+        state = cut_lineage(j.select(key, new.alias("_s")))
+        if state.where("_s = 0").limit(1).count() == 0:
+            taken = e.join(state.where("_s = 1").select(F.col(key).alias("_v")), "_v").groupBy("_u").agg(F.min("_v").alias("_seed"))
+            done = state.join(taken, state[key] == taken["_u"], "left")
+            return done.select(key, F.when(F.col("_s") == 1, F.col(key)).otherwise(F.col("_seed")).alias("seed"))
+    raise RuntimeError("star clusters did not settle")
 
 
 def best_in_range(df: DataFrame, by: str, pos: str, score: str, lo: Column, hi: Column) -> DataFrame:
@@ -120,9 +117,3 @@ def best_in_range(df: DataFrame, by: str, pos: str, score: str, lo: Column, hi:
 def join_ordered(df: DataFrame, by: list[str], pos: str, text: str, sep: str = "\n\n") -> DataFrame:
     """Texts of a group joined in their order (W12, W13). Groups are the sections of one document."""
     return df.where(F.col(text).isNotNull()).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))), lambda x: x["t"]), sep).alias(text))
-
-
-def batches_of(df: DataFrame) -> Iterator[pd.DataFrame]:
-    """Batches of a small result, for reports (SNK3)."""
-    for r in df.toLocalIterator():
-        yield pd.DataFrame([r.asDict()])

@@ -194,10 +194,10 @@ def j09_similar_titles(t):
     return joins.similar_titles(v.join(d, v["value"] == d["title"], "left_anti"), d)
 
 
-@query("WITH h AS (SELECT min(vec_id) AS k, b FROM (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 AND i < 62 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS b FROM embeddings) GROUP BY b) SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, CAST(bit_count(xor(x.b, y.b)) AS INTEGER) AS distance FROM h x JOIN h y ON x.b < y.b WHERE bit_count(xor(x.b, y.b)) <= 7")
+@query("WITH h AS (SELECT min(vec_id) AS k, b FROM (SELECT vec_id, list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << CAST(4 * i AS INTEGER)) ELSE 0 END))::BIGINT AS b FROM embeddings) GROUP BY b) SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, CAST(bit_count(xor(x.b, y.b)) AS INTEGER) AS distance FROM h x JOIN h y ON x.b < y.b WHERE bit_count(xor(x.b, y.b)) <= 1")
 def j10_hamming_pairs(t):
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(61)), F.lit(0).cast("bigint"), lambda a, i: a + F.when(F.get(F.col("embedding"), i) > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return joins.hamming_pairs(t("embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 7).withColumn("distance", F.col("distance").cast("int"))
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("bigint"), lambda a, i: a + F.when(F.get(F.col("embedding"), i) > 0, F.pow(F.lit(16.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return joins.hamming_pairs(t("embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 1).withColumn("distance", F.col("distance").cast("int"))
 
 
 @query("SELECT f.fig_row_id, d.kind FROM (SELECT fig_row_id, doi, page FROM figures WHERE doi IS NOT NULL AND page IS NOT NULL) f ASOF LEFT JOIN (SELECT doi, page, arg_min(label, fig_row_id) AS kind FROM figures WHERE type = 'table' AND doi IS NOT NULL AND page IS NOT NULL GROUP BY doi, page) d ON f.doi = d.doi AND f.page >= d.page")
@@ -245,11 +245,11 @@ def j16_rater_pairs(t):
     return p.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.count_if(F.col("v1") == F.col("v2")).alias("same"))
 
 
-@query("WITH b AS (SELECT doi, page, fig_row_id AS k, bounding_box.x AS x, bounding_box.y AS y, bounding_box.w AS w, bounding_box.h AS h FROM figures WHERE doi NOT LIKE '%atlas%' AND page IS NOT NULL AND bounding_box IS NOT NULL), p AS (SELECT a.doi, a.page, sqrt(pow((a.x + a.w / 2) - (c.x + c.w / 2), 2) + pow((a.y + a.h / 2) - (c.y + c.h / 2), 2)) AS d, CASE WHEN least(a.x + a.w, c.x + c.w) > greatest(a.x, c.x) AND least(a.y + a.h, c.y + c.h) > greatest(a.y, c.y) THEN 1 ELSE 0 END AS o FROM b a JOIN b c ON a.doi = c.doi AND a.page = c.page AND a.k < c.k) SELECT g.doi, g.page, round(min(p.d), 6) AS nearest_distance, CAST(coalesce(sum(p.o), 0) AS INTEGER) AS overlapping_pairs FROM (SELECT DISTINCT doi, page FROM b) g LEFT JOIN p ON g.doi = p.doi AND g.page = p.page GROUP BY 1, 2")
+@query("WITH b AS (SELECT doi, page, extraction_timestamp AS z, fig_row_id AS k, bounding_box.x AS x, bounding_box.y AS y, bounding_box.w AS w, bounding_box.h AS h FROM figures WHERE doi IS NOT NULL AND page IS NOT NULL AND bounding_box IS NOT NULL), p AS (SELECT a.doi, a.page, a.z, sqrt(pow((a.x + a.w / 2) - (c.x + c.w / 2), 2) + pow((a.y + a.h / 2) - (c.y + c.h / 2), 2)) AS d, CASE WHEN least(a.x + a.w, c.x + c.w) > greatest(a.x, c.x) AND least(a.y + a.h, c.y + c.h) > greatest(a.y, c.y) THEN 1 ELSE 0 END AS o FROM b a JOIN b c ON a.doi = c.doi AND a.page = c.page AND a.z IS NOT DISTINCT FROM c.z AND a.k < c.k), q AS (SELECT doi, page, z, min(d) AS d, sum(o) AS o FROM p GROUP BY 1, 2, 3) SELECT g.k AS fig_row_id, round(q.d, 6) AS nearest_distance, CAST(coalesce(q.o, 0) AS INTEGER) AS overlapping_pairs FROM (SELECT doi, page, z, min(k) AS k FROM b GROUP BY 1, 2, 3) g LEFT JOIN q ON g.doi = q.doi AND g.page = q.page AND g.z IS NOT DISTINCT FROM q.z")
 def j17_box_neighbours(t):
-    f = t("figures").where("doi NOT LIKE '%atlas%' AND page IS NOT NULL AND bounding_box IS NOT NULL")
-    g = f.groupBy("doi", "page").agg(F.collect_list("bounding_box").alias("boxes"))
-    return joins.box_neighbours(g, "boxes").select("doi", "page", r6(F.col("nearest_distance"), "nearest_distance"), "overlapping_pairs")
+    f = t("figures").where("doi IS NOT NULL AND page IS NOT NULL AND bounding_box IS NOT NULL")
+    g = f.groupBy("doi", "page", "extraction_timestamp").agg(F.collect_list("bounding_box").alias("boxes"), F.min("fig_row_id").alias("fig_row_id"))  # a page as it was delivered
+    return joins.box_neighbours(g, "boxes").select("fig_row_id", r6(F.col("nearest_distance"), "nearest_distance"), "overlapping_pairs")
 
 
 @query("SELECT tab_row_id, CAST(coalesce(list_position(list_transform(tables, lambda x: x.text IS NOT NULL AND contains(x.text, 'n.d.')), true), 0) AS INTEGER) AS place FROM paper_tables WHERE tables IS NOT NULL")
@@ -391,11 +391,10 @@ def a26_krippendorff_ordinal(t):
     return agreement.krippendorff(_raters(t), "vec_id", "v", "ordinal")
 
 
-@query("SELECT field, count(*) AS n, round(avg(CAST(v1 = v2 AS INTEGER)), 6) AS agreement FROM (SELECT 'model' AS field, a.model AS v1, b.model AS v2 FROM srp a JOIN srp b ON a.doi = b.doi AND a.srp_id < b.srp_id WHERE a.doi NOT LIKE '%atlas%' UNION ALL SELECT 'srp_variant', a.srp_variant, b.srp_variant FROM srp a JOIN srp b ON a.doi = b.doi AND a.srp_id < b.srp_id WHERE a.doi NOT LIKE '%atlas%') GROUP BY 1")
+@query("WITH x AS (SELECT doi, 'model' AS field, model AS v FROM srp WHERE doi IS NOT NULL AND model IS NOT NULL UNION ALL SELECT doi, 'srp_variant', srp_variant FROM srp WHERE doi IS NOT NULL AND srp_variant IS NOT NULL), c AS (SELECT doi, field, v, count(*) AS n FROM x GROUP BY 1, 2, 3), g AS (SELECT doi, field, sum(n) AS n, sum(n * (n - 1)) AS same FROM c GROUP BY 1, 2) SELECT field, CAST(sum(n * (n - 1)) / 2 AS BIGINT) AS n, round(sum(same) / CAST(sum(n * (n - 1)) AS DOUBLE), 6) AS agreement FROM g GROUP BY 1")
 def a27_field_agreement(t):
-    s = t("srp").where("doi NOT LIKE '%atlas%'").select("doi", "srp_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in ("model", "srp_variant")])).alias("x")).select(F.struct("doi", "x.field").alias("item"), "srp_id", "x.v")
-    p = joins.rater_pairs(s, "item", "srp_id", "v")
-    return p.groupBy(F.col("item.field").alias("field")).agg(F.count("*").alias("n"), r6(agreement.percent_agreement(F.col("v1"), F.col("v2")), "agreement"))
+    long = t("srp").select("doi", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in ("model", "srp_variant")])).alias("x")).select("doi", "x.*").where("doi IS NOT NULL AND v IS NOT NULL")
+    return agreement.pair_agreement(long, "doi", ["field"], "v").select("field", F.col("n_pairs").alias("n"), r6(F.col("agreement"), "agreement"))
 
 
 @query("SELECT substr(sha256(text), 1, 16) AS group_id, min(doc_id) AS first_key, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY sha256(text), 1 HAVING count(*) > 1")
@@ -690,10 +689,10 @@ def f19_caption_quality(t):
     return t("figures").select("fig_row_id", text.caption_quality(F.col("caption")).alias("quality"))
 
 
-@query("SELECT doi, page, abs(round(max(e), 6)) AS entropy FROM (SELECT doi, page, -sum(p * log2(p)) OVER (PARTITION BY doi, page) / log2(9) AS e FROM (SELECT doi, page, c, count(*) / sum(count(*)) OVER (PARTITION BY doi, page) AS p FROM (SELECT doi, page, least(greatest(floor((bounding_box.y + bounding_box.h / 2) / 1000 * 3), 0), 2) * 3 + least(greatest(floor((bounding_box.x + bounding_box.w / 2) / 1000 * 3), 0), 2) AS c FROM figures WHERE doi NOT LIKE '%atlas%' AND page IS NOT NULL AND bounding_box IS NOT NULL) GROUP BY 1, 2, 3)) GROUP BY 1, 2")
+@query("SELECT min(k) AS fig_row_id, abs(round(max(e), 6)) AS entropy FROM (SELECT doi, page, z, k, -sum(p * log2(p)) OVER (PARTITION BY doi, page, z) / log2(9) AS e FROM (SELECT doi, page, z, c, min(k) AS k, count(*) / sum(count(*)) OVER (PARTITION BY doi, page, z) AS p FROM (SELECT doi, page, extraction_timestamp AS z, fig_row_id AS k, least(greatest(floor((bounding_box.y + bounding_box.h / 2) / 1000 * 3), 0), 2) * 3 + least(greatest(floor((bounding_box.x + bounding_box.w / 2) / 1000 * 3), 0), 2) AS c FROM figures WHERE doi IS NOT NULL AND page IS NOT NULL AND bounding_box IS NOT NULL) GROUP BY 1, 2, 3, 4)) GROUP BY doi, page, z")
 def f27_layout_entropy(t):
-    g = t("figures").where("doi NOT LIKE '%atlas%' AND page IS NOT NULL AND bounding_box IS NOT NULL").groupBy("doi", "page").agg(F.collect_list("bounding_box").alias("b"))
-    return g.select("doi", "page", F.abs(r6(geometry.cells_entropy(F.col("b"), F.lit(1000.0), F.lit(1000.0)))).alias("entropy"))
+    g = t("figures").where("doi IS NOT NULL AND page IS NOT NULL AND bounding_box IS NOT NULL").groupBy("doi", "page", "extraction_timestamp").agg(F.collect_list("bounding_box").alias("b"), F.min("fig_row_id").alias("fig_row_id"))
+    return g.select("fig_row_id", F.abs(r6(geometry.cells_entropy(F.col("b"), F.lit(1000.0), F.lit(1000.0)))).alias("entropy"))
 
 
 @query("WITH m AS (SELECT avg(publication_year) AS m, stddev_pop(publication_year) AS s FROM stage1_ga_index) SELECT row_id, round(coalesce((publication_year - m) / s, 0), 6) AS z, CAST(publication_year IS NULL AS INTEGER) AS missing FROM stage1_ga_index, m")

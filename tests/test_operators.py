@@ -28,12 +28,25 @@ def test_hamming_pairs_equal_all_pairs(spark):
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if 0 < bin(hs[i] ^ hs[j]).count("1") <= 3}
 
 
-def test_star_clusters_are_not_transitive(spark):
-    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
-    comp = duplicates.components(pairs).withColumnRenamed("node", "k")
-    assert {r["component"] for r in comp.collect()} == {1}
-    got = {r["k"]: r["seed"] for r in windows.star_clusters(comp, pairs, "k", "component").collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
+def test_star_clusters_equal_the_sequential_rule(spark):
+    rng = random.Random(4)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)})
+    nb = {}
+    for a, b in edges:
+        nb.setdefault(a, set()).add(b)
+        nb.setdefault(b, set()).add(a)
+    want = {}
+    for k in sorted(nb):
+        if k not in want:
+            want[k] = k
+            for x in nb[k]:
+                want.setdefault(x, k)
+    pairs = spark.createDataFrame(edges, "a long, b long")
+    got = {r["k"]: r["seed"] for r in windows.star_clusters(spark.range(80).withColumnRenamed("id", "k"), pairs, "k").collect()}
+    assert got == want
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {r["component"] for r in duplicates.components(chain).collect()} == {1}
+    assert windows.star_clusters(spark.range(5).withColumnRenamed("id", "k"), chain.where("false"), "k").count() == 0
 
 
 def test_ridge_equals_numpy(spark):
