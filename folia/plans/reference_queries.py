@@ -656,10 +656,10 @@ def f17_table_quality(t):
     return x.select("tab_row_id", "pos", s.alias("s")).select("tab_row_id", "pos", "s.*", F.round(text.table_quality(F.col("s")), 6).alias("quality"))
 
 
-@query("SELECT doc_id, len(w) AS n, round(len(list_filter(w, lambda x: regexp_full_match(regexp_replace(x, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g'), '[A-Z]{2,}'))) / nullif(CAST(len(w) AS DOUBLE), 0), 6) AS acronym FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
+@query("SELECT doc_id, len(w) AS n, round(len(list_filter(w, lambda x: regexp_full_match(regexp_replace(x, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g'), '[A-Z]{2,}'))) / nullif(CAST(len(w) AS DOUBLE), 0), 6) AS acronym FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)")
 def f21_token_densities(t):
     d = text.token_densities(F.col("text"))
-    return t("documents").where("lang = 'en' AND text IS NOT NULL").select("doc_id", d["n"].cast("bigint").alias("n"), F.when(d["n"] > 0, r6(d["acronym"])).alias("acronym"))
+    return t("documents").where("text IS NOT NULL").select("doc_id", d["n"].cast("bigint").alias("n"), F.when(d["n"] > 0, r6(d["acronym"])).alias("acronym"))
 
 
 @query("WITH r AS (SELECT result_id, raw_output AS x, trim(regexp_replace(regexp_replace(raw_output, '(?is)<think>.*?</think>', '', 'g'), '(?i)```(?:json)?', '', 'g'), ' ') AS s FROM results WHERE raw_output IS NOT NULL), c AS (SELECT *, CASE WHEN contains(s, '{') AND contains(s, '}') AND length(s) - instr(reverse(s), '}') + 1 >= instr(s, '{') THEN substr(s, instr(s, '{'), length(s) - instr(reverse(s), '}') + 2 - instr(s, '{')) ELSE s END AS v FROM r) SELECT result_id, CASE WHEN trim(x, ' ') = '' THEN 'empty' WHEN json_valid(x) AND starts_with(trim(x, ' '), '{') THEN 'direct' WHEN json_valid(v) AND starts_with(v, '{') THEN 'salvaged' WHEN json_valid(regexp_replace(v, ',(\\s*[}\\]])', '\\1', 'g')) AND starts_with(v, '{') THEN 'repaired' ELSE 'failed' END AS mode FROM c")
@@ -911,10 +911,9 @@ def f16_capture_tables(t):
     return labelling.capture_tables(x, "doc", "page", "body")
 
 
-@query("SELECT tab_row_id, pos, substr(coalesce(c, ''), 1, 400) AS kept FROM (SELECT tab_row_id, unnest(tables).caption AS c, unnest(range(len(tables))) AS pos FROM paper_tables) WHERE length(c) <= 400")
+@query("SELECT fig_row_id, CASE WHEN length(caption) <= 200 THEN caption WHEN regexp_extract(substr(caption, 1, 300), '(?s)^(.*[.!?])(?:\\s|$)', 1) <> '' THEN regexp_extract(substr(caption, 1, 300), '(?s)^(.*[.!?])(?:\\s|$)', 1) ELSE substr(caption, 1, 300) END AS kept FROM figures WHERE caption IS NOT NULL")
 def f35_trim_captions(t):
-    x = t("paper_tables").select("tab_row_id", F.posexplode("tables").alias("pos", "t")).where(F.length("t.caption") <= 400)
-    return x.select("tab_row_id", F.col("pos").cast("bigint").alias("pos"), text.trim_caption(F.col("t.caption")).alias("kept"))
+    return t("figures").where("caption IS NOT NULL").select("fig_row_id", text.trim_caption(F.col("caption"), 200, 300).alias("kept"))
 
 
 @query("SELECT result_id, CASE WHEN replace(lower(trim(status, ' ')), ' ', '_') IN ('success', 'api_error', 'schema_error') THEN replace(lower(trim(status, ' ')), ' ', '_') WHEN status = 'json_parse_error' THEN 'schema_error' END AS kind, CAST(least(greatest(entity_count, 1), 5) AS INTEGER) AS score FROM results WHERE entity_count IS NOT NULL")
@@ -1001,7 +1000,7 @@ def src14_id_file(t):
 @query(f"SELECT user_id, arg_max({_STATE}, (ts, {_STATE})) AS state FROM events GROUP BY 1")
 def q03_upsert_in_batches(t):
     e = t("events").select("user_id", _state().alias("state"), "ts")
-    return queue.upsert(queue.upsert(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"), "user_id"), e, "user_id").select("user_id", "state")
+    return queue.upsert(queue.upsert(e.where("state = 'pending'"), e.where("state <> 'pending'"), "user_id"), e, "user_id").select("user_id", "state")
 
 
 @query(f"SELECT user_id FROM (SELECT user_id, arg_max({_STATE}, (ts, event_id)) AS state, max(ts) AS ts FROM events GROUP BY 1) WHERE state = 'in_progress' AND ts < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 15 MINUTE")
