@@ -573,7 +573,7 @@ def w09_suffixes(t):
 
 @query()
 def w10_star_clusters(t):
-    return duplicates.near_clusters(duplicates.simhash(t("documents"), "doc_id", "text"), "doc_id", "simhash", 6)
+    return duplicates.near_clusters(t("documents"), "doc_id", "text")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS k FROM lineitem WHERE l_linenumber BETWEEN 2 AND 5) WHERE k = 1")
