@@ -72,7 +72,7 @@ def hamming_pairs(df: DataFrame, key: str, h: str, most: int, equal: int = 2) ->
     """``(a, b, distance)`` with ``a < b`` and at most ``most`` differing bits of 64.
 
     Cut into ``most + equal`` blocks, two such hashes have ``equal`` equal blocks, so candidates come from an equi-join on (which blocks, their bits). More equal blocks mean longer keys, so smaller
-    buckets, and more rows. Copies of one hash are one class, joined once under its smallest key.
+    buckets, and more rows. Copies of one hash are one class, joined once under its smallest key; ``hamming_members`` gives the rows of each class.
     """
     n = most + equal
     width = -(-64 // n)
@@ -86,6 +86,21 @@ def hamming_pairs(df: DataFrame, key: str, h: str, most: int, equal: int = 2) ->
     return pairs.select(F.least("a._rep", "b._rep").alias("a"), F.greatest("a._rep", "b._rep").alias("b"), d.alias("distance")).distinct()
 
 
+def hamming_members(df: DataFrame, key: str, h: str, most: int, salts: int = 16) -> DataFrame:
+    """``(key, rep, class_size, links)`` for each row with a hash (J10): the smallest key of its hash, the number of rows of that hash, and of other rows at most ``most`` bits away, copies included.
+
+    With ``hamming_pairs`` between the representatives this gives every pair of rows, at distance 0 too, without writing out the pairs of a hot hash. Rows are salted against one.
+    """
+    rows = df.select(key, F.col(h).alias("_h")).where(F.col("_h").isNotNull())
+    classes = rows.groupBy("_h").agg(F.min(key).alias("rep"), F.count("*").alias("class_size"))
+    pairs = hamming_pairs(df, key, h, most)
+    sides = pairs.select(F.col("a").alias("rep"), F.col("b").alias("_o")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("_o")))
+    near = sides.join(classes.select(F.col("rep").alias("_o"), "class_size"), "_o").groupBy("rep").agg(F.sum("class_size").alias("_n"))
+    full = classes.join(near, "rep", "left").select("_h", "rep", "class_size", (F.col("class_size") - 1 + F.coalesce("_n", F.lit(0))).alias("links"))
+    right = full.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(right, ["_h", "_s"]).select(key, "rep", "class_size", "links")
+
+
 def _salted_union(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, value: Column, salts: int) -> DataFrame:
     """Left rows spread over ``salts``, right rows (one per group and place) copied to each: a group with a third of all left rows is that many tasks."""
     cols = left.columns

@@ -196,8 +196,18 @@ def j09_similar_titles(t):
 
 @query("WITH h AS (SELECT min(vec_id) AS k, b FROM (SELECT vec_id, list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << CAST(4 * i AS INTEGER)) ELSE 0 END))::BIGINT AS b FROM embeddings) GROUP BY b) SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, CAST(bit_count(xor(x.b, y.b)) AS INTEGER) AS distance FROM h x JOIN h y ON x.b < y.b WHERE bit_count(xor(x.b, y.b)) <= 1")
 def j10_hamming_pairs(t):
+    """Pairs between the representatives of equal hashes; ``j10_hamming_members`` has all rows."""
+    return joins.hamming_pairs(_signs(t("embeddings")), "vec_id", "h", 1).withColumn("distance", F.col("distance").cast("int"))
+
+
+def _signs(e: DataFrame) -> DataFrame:
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("bigint"), lambda a, i: a + F.when(F.get(F.col("embedding"), i) > 0, F.pow(F.lit(16.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return joins.hamming_pairs(t("embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 1).withColumn("distance", F.col("distance").cast("int"))
+    return e.select("vec_id", bits.alias("h"))
+
+
+@query("WITH e AS (SELECT vec_id, list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << CAST(4 * i AS INTEGER)) ELSE 0 END))::BIGINT AS b FROM embeddings), c AS (SELECT b, min(vec_id) AS rep, count(*) AS n FROM e GROUP BY b), l AS (SELECT x.b, sum(y.n) - 1 AS links FROM c x JOIN c y ON bit_count(xor(x.b, y.b)) <= 1 GROUP BY 1) SELECT vec_id, rep, n AS class_size, CAST(links AS BIGINT) AS links FROM e JOIN c USING (b) JOIN l USING (b)")
+def j10_hamming_members(t):
+    return joins.hamming_members(_signs(t("embeddings")), "vec_id", "h", 1)
 
 
 @query("SELECT f.fig_row_id, d.kind FROM (SELECT fig_row_id, doi, page FROM figures WHERE doi IS NOT NULL AND page IS NOT NULL) f ASOF LEFT JOIN (SELECT doi, page, arg_min(label, fig_row_id) AS kind FROM figures WHERE type = 'table' AND doi IS NOT NULL AND page IS NOT NULL GROUP BY doi, page) d ON f.doi = d.doi AND f.page >= d.page")

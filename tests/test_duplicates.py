@@ -1,6 +1,6 @@
 import random
 
-from folia.operators import duplicates
+from folia.operators import duplicates, joins
 
 
 def shingles(t, n=5):
@@ -35,3 +35,11 @@ def test_near_clusters_hold_copies_and_edited_copies(spark):
     rows = duplicates.near_clusters(df, "k", "t").collect()
     assert len(rows) == len(want) >= 15 and {r["k"]: r["seed"] for r in rows} == want
     assert duplicates.near_clusters(df.where("false"), "k", "t").count() == 0
+
+
+def test_hamming_members_hold_every_row(spark):
+    rng = random.Random(9)
+    hs = [rng.getrandbits(63) for _ in range(12)]
+    hs += [hs[0]] * 15 + [hs[1]] + [hs[0] ^ 1, hs[0] ^ 1, hs[2] ^ 8, hs[3] ^ 16 ^ 64]
+    got = {r["k"]: (r["rep"], r["class_size"], r["links"]) for r in joins.hamming_members(spark.createDataFrame([*enumerate(hs), (99, None)], "k long, h long"), "k", "h", 1).collect()}
+    assert got == {k: (hs.index(h), hs.count(h), sum((h ^ x).bit_count() <= 1 for x in hs) - 1) for k, h in enumerate(hs)}
