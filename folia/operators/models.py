@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.operators.windows import average_ranks, prefix_sums
+from folia.runtime import cut_lineage
+
 
 def normal_equations(df: DataFrame, x: Sequence[Column], y: Column) -> tuple[np.ndarray, np.ndarray, int]:
     """X'X, X'y and n in one aggregate; rows with a null anywhere don't count. The system has as many cells as regressors squared, whatever the rows."""
@@ -168,17 +171,20 @@ def beta_regression(df: DataFrame, x: Sequence[Column], y: str, rounds: int = 40
 def rank_correlation_grid(df: DataFrame, parts: Sequence[str], target: str, steps: int = 20) -> DataFrame:
     """``(weights, spearman)`` of weighted sums of ``parts`` with ``target`` for all weights on a simplex grid, best first; the first weights win ties (M4).
 
-    The fit set is a bounded sample of labelled rows by nature; rows times grid points are ranked by one window per point.
+    The target is ranked once. Per grid point rows are counted by score, with the sums of their target's ranks; ranks come from those counts by prefix sums, so no task sorts a grid point.
     """
     spark = df.sparkSession
     grid = spark.createDataFrame([(i, [float(v) for v in w]) for i, w in enumerate(simplex_grid(len(parts), steps))], "i int, w array<double>")
-    rows = df.where(F.col(target).isNotNull() & sum((F.col(c).isNull().cast("int") for c in parts), F.lit(0)).eqNullSafe(0))
+    rows = df.where(F.col(target).isNotNull() & sum((F.col(c).isNull().cast("int") for c in parts), F.lit(0)).eqNullSafe(0)).select(*parts, F.col(target).alias("_t"), F.lit(0).alias("_o"))
+    rows = cut_lineage(rows.join(average_ranks(rows, ["_o"], "_t", "_b").drop("n"), ["_o", "_t"]))
     score = sum((F.col("w")[j] * F.col(c) for j, c in enumerate(parts)), F.lit(0.0))
-    x = rows.crossJoin(F.broadcast(grid)).select("i", "w", F.round(score, 9).alias("s"), F.col(target).alias("t"))
-    rank = lambda c: F.rank().over(Window.partitionBy("i").orderBy(c)) + (F.count("*").over(Window.partitionBy("i", c)) - 1) / 2.0
-    r = x.select("i", "w", rank("s").alias("a"), rank("t").alias("b"))
-    g = r.groupBy("i").agg(F.first("w").alias("weights"), F.try_divide(F.covar_pop("a", "b"), F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))).alias("spearman"))
-    return g.orderBy(F.desc("spearman"), "i").select("weights", "spearman")
+    x = rows.crossJoin(F.broadcast(grid)).select("i", F.round(score, 9).alias("s"), "_b")
+    x = cut_lineage(x.groupBy("i", "s").agg(F.count("*").alias("n"), F.sum("_b").alias("sb"), F.sum(F.col("_b") ** 2).alias("sbb")))
+    x = prefix_sums(x, ["i"], "s", "n", "_before").withColumn("a", F.col("_before") + (F.col("n") + 1) / 2.0)
+    r = x.groupBy("i").agg(*[F.sum(e).alias(c) for c, e in {"n": F.col("n"), "sa": F.col("n") * F.col("a"), "saa": F.col("n") * F.col("a") ** 2, "sb": F.col("sb"), "sbb": F.col("sbb"), "sab": F.col("a") * F.col("sb")}.items()])
+    cov, va, vb = (F.col("n") * F.col(f"s{p}{q}") - F.col(f"s{p}") * F.col(f"s{q}") for p, q in ("ab", "aa", "bb"))
+    g = r.select("i", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("spearman")).join(F.broadcast(grid), "i")
+    return g.orderBy(F.desc("spearman"), "i").select(F.col("w").alias("weights"), "spearman")
 
 
 def fold_of(key: str, k: int, seed: int = 42) -> Column:

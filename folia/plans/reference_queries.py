@@ -820,7 +820,7 @@ def a19_yearly_bands(t):
 @query()
 def m04_simplex_weights(t):
     p = t("part").select((F.col("p_retailprice") / 2000).alias("a"), (F.col("p_size") / 50).alias("b"), ((F.col("p_partkey") % 97) / 97).alias("c"), (F.col("p_retailprice") + 5 * F.col("p_size")).alias("t")).where("p_partkey IS NOT NULL")
-    return models.rank_correlation_grid(p, ["a", "b", "c"], "t", 4)
+    return models.rank_correlation_grid(p, ["a", "b", "c"], "t")
 
 
 @query('SELECT count(input_tokens) AS input_tokens, count(output_tokens) AS output_tokens, count(inference_time) AS inference_time, count(entity_count) AS entity_count, count(total_visual_proxies) AS total_visual_proxies FROM results')
