@@ -110,7 +110,7 @@ class Check:
         if len(a) > len(b):  # a misspelt stop word
             odd = [x for x in a if len(x) < 5 and x not in self.vocabulary and any(edits(x, y, 1) <= 1 for y in ("and", "the", "of", "on", "in", "for"))]
             a = [x for x in a if x not in odd[: len(a) - len(b)]]
-        if len(a) == len(b) and len(a) <= 12:
+        if len(a) == len(b):
             total, left = 0.0, list(b)
             for v in sorted(a, key=lambda x: (x not in b, -len(x))):
                 fits = [(c, k) for k, t in enumerate(left) if (c := self.word(v, t)) is not None]
@@ -149,10 +149,11 @@ def _views(df: DataFrame, text: str, id_cols: list[str], freq_of, thresholds: di
     return df.select(*dict.fromkeys([*id_cols, text])).mapInPandas(run, f"{kinds}, view string, n int, at int, token string")
 
 
-def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str, float] | None = None, small: int = 20_000) -> DataFrame:
+def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str, float] | None = None, small: int = 20_000, max_words: int = 1_000_000) -> DataFrame:
     """``(value, entry, score)`` with the best entry of ``reference(entry, name)`` for each distinct value of ``values(value)``; values that mean no entry have no row.
 
-    An entry may have several names. A reference list of at most ``small`` names is broadcast, a longer one is joined by shuffling on the prefix tokens. Of entries at equal cost the more similar one
+    An entry may have several names. A reference list of at most ``small`` names is broadcast, a longer one is joined by shuffling on the prefix tokens; the result is the same. The
+    distinct words of all names, at most ``max_words``, are sent to the exact check; more raise an error. Of entries at equal cost the more similar one
     is kept, then the smaller id; two entries at the same cost and similarity are an ambiguity, settled the same way.
     """
     thresholds = thresholds or {"h": 0.5, "g": 0.35}
@@ -197,7 +198,10 @@ def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str,
         .dropDuplicates(["value", "entry", "rnorm", "view"])
     )
     name = uuid.uuid4().hex
-    vocabulary = spark.sparkContext.broadcast(frozenset(w for r in refs.select("norm").limit(small).toLocalIterator() for w in r["norm"].split()) if is_small else frozenset())
+    known = refs.select(F.explode(F.split("norm", " ")).alias("w")).where("w <> ''").distinct().limit(max_words + 1).collect()
+    if len(known) > max_words:
+        raise ValueError(f"the names of the reference list hold more than {max_words} words")
+    vocabulary = spark.sparkContext.broadcast(frozenset(r["w"] for r in known))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         check, sets = per_worker(name, lambda: (Check(vocabulary.value), lru_cache(maxsize=100_000)(lambda s: {k: frozenset(v) for k, v in token_sets(s).items()})))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from folia.llm.canonical import Check, best_entries, map_values, normal, rarity_prefix, token_sets
 
 TITLES = ["Journal of Spin Transport", "Open Spin Transport", "The Photon Statistics Quarterly", "Spin Transport: Theory & Methods", "Annals of Renal Pathology", "Program Repair Reviews", "Program Repair Reports", "Nordic Journal of Porous Sorbents"]
@@ -49,3 +51,15 @@ def test_real_words_are_no_misspellings():
     assert c.cost("renal reviews", "renal reports") is None
     assert c.cost("renal reveiws", "renal reviews") == 1.0
     assert normal("  “Renal—Pathology” [Online] ") == "renal pathology"
+
+
+def test_long_lists_and_long_names_get_the_same_check(spark):
+    long = "Proceedings of the Northern Regional Symposium on Applied Porous Sorbent Synthesis Measurement Storage Transport Recovery Separation Modelling Practice"
+    titles = [*TITLES, "Penal Law Review", long]
+    cases = {"Annals of Penal Pathology": None, "Annals of Renal Pathologi": "4", long.replace("Regional", "Reginal"): "9", long.replace("Proceedings", "Proc").replace("Symposium", "Symp"): "9", "Practice, " + long.replace(" Practice", ""): "9"}
+    values = spark.createDataFrame([(v,) for v in cases], "value string")
+    for small in (20_000, 2):
+        got = {r["value"]: r["entry"] for r in best_entries(values, refs(spark, titles), small=small).collect()}
+        assert {v: got.get(v) for v in cases} == cases
+    with pytest.raises(ValueError, match="more than 5 words"):
+        best_entries(values, refs(spark, titles), max_words=5)
