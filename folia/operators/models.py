@@ -227,7 +227,7 @@ def global_trend(df: DataFrame, year: str, y: str, lo: int, hi: int, least: int
 
 
 def robustness(df: DataFrame, key: str, year: str, y: str, group: str, permutations: int = 5) -> list[tuple[str, float]]:
-    """The slope of ``y`` on the year under variations: trimmed, by band, without the largest group, adjusted, and with years permuted (M9)."""
+    """The slope of ``y`` on the year under variations: trimmed, without the largest group, adjusted, and with years drawn anew (M9, in part: README, Limits)."""
 
     def slope_of(d: DataFrame) -> float:
         r = d.where(F.col(y).isNotNull() & F.col(year).isNotNull()).agg(F.covar_pop(year, y), F.var_pop(year)).first()

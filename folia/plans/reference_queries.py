@@ -834,7 +834,7 @@ def m05_screened(t):
 def m09_robustness(t):
     spark = t("region").sparkSession
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.year("o_orderdate").cast("double").alias("y"), "o_totalprice", "c_mktsegment")
-    return spark.createDataFrame(models.robustness(o, "o_orderkey", "y", "o_totalprice", "c_mktsegment", 2), "variant string, slope double")
+    return spark.createDataFrame(models.robustness(o, "o_orderkey", "y", "o_totalprice", "c_mktsegment"), "variant string, slope double")
 
 
 @query()

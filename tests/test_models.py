@@ -20,3 +20,8 @@ def test_weight_search_tries_steps_of_a_twentieth(spark, sf):
     assert len(got) == 231 and all(abs(got[w] - v) < 1e-9 for w, v in want.items())
     assert max(got, key=got.get) == (0.35, 0.4, 0.25)
     assert entry.queries()["m04_simplex_weights"](spark, sf).count() == 231
+
+
+def test_robustness_has_five_permutations(spark, sf):
+    got = {r["variant"] for r in entry.queries()["m09_robustness"](spark, sf).collect()}
+    assert got == {"all", "trimmed", "without_largest", "adjusted", *(f"permuted_{i}" for i in range(5))}
