@@ -12,14 +12,16 @@ import math
 import re
 import unicodedata
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.runtime import cut_lineage, not_blank, per_worker
+from folia.runtime import cut_lineage, not_blank, per_worker, spread
 
 #: Letters of other scripts that look like Latin ones: fixed values.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅοαεικνρτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTYXIJSoaeiknptuxABEZHIKMNOPTYX")
@@ -132,7 +134,7 @@ class Check:
 
 
 def _views(df: DataFrame, text: str, id_cols: list[str], freq_of, thresholds: dict[str, float]) -> DataFrame:
-    """``(ids, view, n, at, token)`` for the prefix tokens of each text."""
+    """``(ids, view, n, tokens)``: one row for each text and view, with the prefix tokens in their order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         freq = freq_of()
@@ -141,15 +143,14 @@ def _views(df: DataFrame, text: str, id_cols: list[str], freq_of, thresholds: di
             for rec in b.itertuples(index=False):
                 ids = tuple(getattr(rec, c) for c in id_cols)
                 for view, toks in token_sets(getattr(rec, text)).items():
-                    for at, tok in enumerate(rarity_prefix(toks, freq, thresholds[view])):
-                        rows.append((*ids, view, len(toks), at, tok))
-            yield pd.DataFrame(rows, columns=[*id_cols, "view", "n", "at", "token"])
+                    rows.append((*ids, view, len(toks), rarity_prefix(toks, freq, thresholds[view])))
+            yield pd.DataFrame(rows, columns=[*id_cols, "view", "n", "tokens"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
-    return df.select(*dict.fromkeys([*id_cols, text])).mapInPandas(run, f"{kinds}, view string, n int, at int, token string")
+    return df.select(*dict.fromkeys([*id_cols, text])).mapInPandas(run, f"{kinds}, view string, n int, tokens array<string>")
 
 
-def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str, float] | None = None, small: int = 20_000, max_words: int = 1_000_000) -> DataFrame:
+def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str, float] | None = None, small: int = 20_000, max_words: int = 1_000_000, values_per_task: int = 10_000) -> DataFrame:
     """``(value, entry, score)`` with the best entry of ``reference(entry, name)`` for each distinct value of ``values(value)``; values that mean no entry have no row.
 
     An entry may have several names. A reference list of at most ``small`` names is broadcast, a longer one is joined by shuffling on the prefix tokens; the result is the same. The
@@ -174,7 +175,7 @@ def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str,
 
     entry_kind = reference.schema["entry"].dataType.simpleString()
     run, schema = normalise("value", ["value"], "value string")
-    vals = cut_lineage(values.select("value").where(not_blank(F.col("value"))).distinct().mapInPandas(run, schema))
+    vals = cut_lineage(spread(values.select("value").where(not_blank(F.col("value"))).distinct()).mapInPandas(run, schema))
     run, schema = normalise("name", ["entry", "name"], f"entry {entry_kind}, name string")
     refs = cut_lineage(reference.select("entry", "name").where(not_blank(F.col("name")) & F.col("entry").isNotNull()).mapInPandas(run, schema).dropDuplicates(["entry", "norm"]))
     is_small = refs.limit(small + 1).count() <= small
@@ -184,8 +185,10 @@ def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str,
     of_vals = vals.select("norm").mapInPandas(tokenise, "token string").groupBy("token").agg(F.count("*").alias("v"))
     counts = of_list.join(of_vals, "token", "left").select("token", (F.col("r") + F.coalesce("v", F.lit(0))).alias("n"))
     freq = spark.sparkContext.broadcast({r["token"]: r["n"] for r in counts.toLocalIterator()})
-    left = _views(vals, "norm", ["value", "norm"], lambda: freq.value, thresholds)
-    right = _views(refs, "norm", ["entry", "norm"], lambda: freq.value, thresholds).select("entry", F.col("norm").alias("rnorm"), "view", F.col("n").alias("rn"), F.col("at").alias("rat"), "token")
+    # values are spread once, with their tokens in one row: candidates then arise, are made distinct and are checked where the value lies
+    tasks = max(spark.sparkContext.defaultParallelism, vals.count() // values_per_task)
+    left = _views(vals, "norm", ["value", "norm"], lambda: freq.value, thresholds).repartition(tasks, "value").select("value", "norm", "view", "n", F.posexplode("tokens").alias("at", "token"))
+    right = _views(refs, "norm", ["entry", "norm"], lambda: freq.value, thresholds).select("entry", F.col("norm").alias("rnorm"), "view", F.col("n").alias("rn"), F.posexplode("tokens").alias("rat", "token"))
     if is_small:
         right = F.broadcast(right)
     t = F.when(F.col("view") == "h", thresholds["h"]).otherwise(thresholds["g"])
@@ -219,11 +222,12 @@ def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str,
     return best.select("value", F.col("b.entry").alias("entry"), (1.0 / (1.0 + F.col("b.cost"))).alias("score"))
 
 
-def map_values(df: DataFrame, key: str, fields: dict[str, DataFrame], salts: int = 16, **how) -> DataFrame:
+def map_values(df: DataFrame, key: str, fields: dict[str, DataFrame], salts: int = 16, most_broadcast: int = 200_000, hot_share: float = 0.001, **how) -> DataFrame:
     """``(key, field, value, canon)``: each non-blank value of each field with the entry meant, ``canon`` null for a value that means none.
 
     ``fields`` gives a column's reference list ``(entry, name)``. Null and blank values have no row; repeated rows give repeated results; an empty reference list leaves all unmatched.
-    A value may be a third of all rows: matching runs over distinct values, and the results are joined back on the value with a salt.
+    Matching runs over distinct values. Up to ``most_broadcast`` matched values are sent to the rows; more are joined by value, where a value of at least ``hot_share`` of all rows
+    (so at most ``1 / hot_share`` values) is spread over ``salts`` tasks. The result is the same.
     """
     lists: dict[int, tuple[DataFrame, list[str]]] = {}
     for c, reference in fields.items():  # columns with the same list are matched together
@@ -234,18 +238,43 @@ def map_values(df: DataFrame, key: str, fields: dict[str, DataFrame], salts: int
     for reference, columns in lists.values():
         cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_v{place[c]}").alias("value")) for c in columns])
         rows = src.select("_key", F.explode(cells).alias("x")).select("_key", "x.field", "x.value").where(not_blank(F.col("value")))
-        best = cut_lineage(best_entries(rows, reference.withColumn("entry", F.col("entry").cast("string")), **how))
-        left = rows.withColumn("_s", F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int"))
-        right = best.select("value", "entry").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        got = left.join(right, ["value", "_s"], "left").select(F.col("_key").alias(key), "field", "value", F.col("entry").alias("canon"))
+        best = cut_lineage(best_entries(rows, reference.withColumn("entry", F.col("entry").cast("string")), **how)).select("value", "entry")
+        if best.limit(most_broadcast + 1).count() <= most_broadcast:
+            joined = rows.join(F.broadcast(best), "value", "left")
+        else:
+            counts = cut_lineage(rows.groupBy("value").agg(F.count("*").alias("n")))
+            least = (counts.agg(F.sum("n")).first()[0] or 0) * hot_share
+            hot = F.broadcast(counts.where(F.col("n") >= least).select("value", F.lit(True).alias("_hot")))
+            left = rows.join(hot, "value", "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int")).otherwise(0))
+            right = best.join(hot, "value", "left").withColumn("_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+            joined = left.join(right.select("value", "entry", "_s"), ["value", "_s"], "left")
+        got = joined.select(F.col("_key").alias(key), "field", "value", F.col("entry").alias("canon"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
-#: How people write the outcomes of a match: fixed values, beside the statuses themselves.
-STATUS_NAMES = {
-    "scimago_issn": ["scimago issn", "issn", "issn match", "matched by issn", "issn matched", "by issn", "found by issn"],
-    "scimago_name_exact": ["scimago name exact", "name exact", "exact name", "exact", "title exact", "exact title", "exact match", "matched by exact name", "exact name match"],
-    "scimago_name_fuzzy": ["scimago name fuzzy", "name fuzzy", "fuzzy name", "fuzzy", "fuzzy match", "approx name", "approximate name", "similar name", "fuzzy title", "title fuzzy", "title approx", "name approx"],
-    "unmatched": ["unmatched", "un matched", "not matched", "no match", "none found", "not found", "no matches", "nomatch"],
-}
+#: Words that say the same in reports of a search: fixed values, general English.
+SYNONYMS = {"found": ("find", "match", "matches", "matched"), "not": ("no", "none", "nothing", "un"), "similar": ("approx", "approximate", "close", "alike"), "exact": ("exactly", "identical"), "name": ("title",)}
+
+
+def described_names(entries: list[tuple[str, str | None]], most: int = 1000) -> list[tuple[str, str]]:
+    """``(entry, name)`` of a short list whose entries come with a description: names by which people may mean an entry.
+
+    A word of an entry or its description tells it apart if no other entry or description has it. Names are the entry itself, and each telling word (or a synonym) with up to two of the words
+    that do not tell apart. A list of over ``most`` entries isn't short and raises an error; null and blank entries have no names; a missing description adds none.
+    """
+    if len(entries) > most:
+        raise ValueError(f"more than {most} described entries")
+    own = {e: set(normal(e).split()) | set(normal(d or "").split()) for e, d in entries if e and normal(e)}
+    times = Counter(w for ws in own.values() for w in ws)
+    split = {e: (normal(e), {w for w in ws if times[w] == 1 and (w in SYNONYMS or w in normal(e).split())}) for e, ws in own.items()}
+    shared = {w for ws in own.values() for w in ws if times[w] > 1 and w not in STOP_WORDS and len(w) > 2} | {"name", "found", "by"} & set(times)
+    wide = lambda ws: sorted({x for w in ws for x in (w, *SYNONYMS.get(w, ()))})
+    plain = wide(shared | ({"by"} if shared else set()))
+    out = []
+    for e, (name, telling) in split.items():
+        out.append((e, name))
+        for w in wide(telling):
+            for k in range(3):
+                out += [(e, " ".join([w, *more])) for more in combinations(plain, k)]
+    return list(dict.fromkeys(out))

@@ -40,7 +40,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured against the length noted at run time: a reply that lost its tail has a share of what is stored."""
+    """The share of repeated words of each record, with the length that a reply had at run time: where it is greater than the stored text, the share is of what is stored."""
     noted = table(spark, sf_dir, "results").select(F.lit("results").alias("tbl"), F.col("result_id").alias("rec_id"), "raw_output_length")
     return _repetition(spark, sf_dir).join(noted, ["tbl", "rec_id"], "left")
 
@@ -73,9 +73,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "scimago_journals").select(F.col("sourceid").alias("entry"), F.col("title").alias("name"))
     own = table(spark, sf_dir, "match_statuses").select(F.col("status").alias("entry"), F.col("status").alias("name"))
-    other = spark.createDataFrame([(k, x) for k, names in canonical.STATUS_NAMES.items() for x in names], "entry string, name string").join(own.select("entry"), "entry", "left_semi")
+    described = [(r["status"], r["meaning"]) for r in table(spark, sf_dir, "match_statuses").limit(1001).collect()]
+    names = spark.createDataFrame(canonical.described_names(described), "entry string, name string")
     index = table(spark, sf_dir, "stage1_ga_index")
-    got = canonical.map_values(index, "row_id", {"journal": titles, "scimago_title": titles, "scimago_match_status": own.unionByName(other)})
+    got = canonical.map_values(index, "row_id", {"journal": titles, "scimago_title": titles, "scimago_match_status": names})
     listed = titles.select(F.lit("t").alias("kind"), F.col("name").alias("value")).union(own.select(F.lit("s"), "name")).distinct().withColumn("listed", F.lit(True))
     listed, _ = broadcast_if_small(listed, 100_000)
     kind = F.when(F.col("field") == "scimago_match_status", "s").otherwise("t")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folia.llm.canonical import Check, best_entries, map_values, normal, rarity_prefix, token_sets
+from folia.llm.canonical import Check, best_entries, described_names, map_values, normal, rarity_prefix, token_sets
 
 TITLES = ["Journal of Spin Transport", "Open Spin Transport", "The Photon Statistics Quarterly", "Spin Transport: Theory & Methods", "Annals of Renal Pathology", "Program Repair Reviews", "Program Repair Reports", "Nordic Journal of Porous Sorbents"]
 
@@ -63,3 +63,22 @@ def test_long_lists_and_long_names_get_the_same_check(spark):
         assert {v: got.get(v) for v in cases} == cases
     with pytest.raises(ValueError, match="more than 5 words"):
         best_entries(values, refs(spark, titles), max_words=5)
+
+
+def test_names_from_descriptions(spark):
+    """A list whose entries come with a description is matched by the words that tell its entries apart."""
+    names = described_names([("by_post", "parcel found by its address"), ("by_courier", "parcel found by a close address"), ("lost", "parcel not found at all"), (None, "x"), (" ", "x"), ("odd", None)])
+    assert {e for e, _ in names} == {"by_post", "by_courier", "lost", "odd"}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["post", "found by courier", "BY_COURIER", "curier", "parcel", "no", "not found", "none found", "pending", "by-post"])], "k long, v string")
+    got = {r["value"]: r["canon"] for r in map_values(df, "k", {"v": spark.createDataFrame(names, "entry string, name string")}).collect()}
+    assert got == {"post": "by_post", "found by courier": "by_courier", "BY_COURIER": "by_courier", "curier": "by_courier", "parcel": None, "no": "lost", "not found": "lost", "none found": "lost", "pending": None, "by-post": "by_post"}
+    with pytest.raises(ValueError, match="more than 2 described"):
+        described_names([("a", None)] * 3, most=2)
+
+
+def test_hot_values_and_many_values_get_the_same_result(spark):
+    values = ["open spin transport"] * 300 + ["J. Spin Trans."] * 3 + ["n/a"] * 40 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v string")
+    got = [sorted((r["k"], r["value"], r["canon"]) for r in map_values(df, "k", {"v": refs(spark)}, **how).select("k", "value", "canon").na.fill("-").collect()) for how in ({}, {"most_broadcast": 0}, {"most_broadcast": 0, "hot_share": 0.5, "salts": 3})]
+    assert got[0] == got[1] == got[2]
+    assert len(got[0]) == 343
