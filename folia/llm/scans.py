@@ -43,6 +43,9 @@ _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3
 _MARK = re.compile(r"\s*\([a-z0-9]{1,3}\)\s")
 _SEPARATOR = re.compile(r"\t| \| |\|$| {2,}")
 _STAMP = re.compile(r"(?:[A-Z] ){3,}")
+_ENDS = re.compile(r"(?:\b[a-z]\w*|[\d%)])[.!?:;]$")
+_WIDE = re.compile(r"\S {3,}\S")
+_TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
 def is_page(line: str) -> bool:
@@ -103,6 +106,19 @@ def _shape(s: str) -> str:
     return re.sub(r"[a-z]+", "x", s)[:24]
 
 
+def _tokens_shape(s: str) -> list[str]:
+    """A line's tokens by kind: ``0`` number, ``X`` one capital, ``XX`` capitals, ``Xx`` capitalised, ``x`` short, ``xx`` longer word, else the sign itself."""
+    out = []
+    for t in _TOKENS.findall(s):
+        if t[0].isdigit():
+            out.append("0")
+        elif t[0].isalpha():
+            out.append("X" if len(t) == 1 and t.isupper() else "XX" if t.isupper() else "Xx" if t[0].isupper() else "x" if len(t) < 4 else "xx")
+        else:
+            out.append(t)
+    return out
+
+
 def cells(line: str) -> int:
     return len([x for x in _SEPARATOR.split(line.strip()) if x.strip()])
 
@@ -142,11 +158,13 @@ def line_features(lines: list[str], i: int, table: bool, lexicon: dict[str, int]
             f"number={bool(alpha)}:{plain}",
             f"hyphen={above[-1:] in HYPHENS and bool(above)}:{s[:1].islower()}:{before}",
         ]
+        form = _tokens_shape(s)
+        marks = "".join(sorted({ch for ch in s if not ch.isalnum() and not ch.isspace()}))[:6]
+        f += [f"form:{'-'.join(form[:3])}", f"tail:{'-'.join(form[-3:])}", f"marks:{marks}:{where == 'mid'}", f"stop:{s[-1] in '.!?'}:{len(form) > 4}", f"gap:{bool(_WIDE.search(s))}:{table}", f"short:{min(3, sum(x == 'Xx' and y == '.' for x, y in zip(form, form[1:], strict=False)))}:{where == 'mid'}", f"digits:{min(4, sum(x == '0' for x in form))}:{where == 'mid'}:{broken}"]
+        f += [f"two:{x}-{y}:{broken}" for x, y in dict.fromkeys(zip(form, form[1:], strict=False))]
+        f += [f"word:{w}" for w in dict.fromkeys(x.lower() for x in alpha if len(x) < 8)]
         if i and not last:
-            f += [f"mid:caps={caps * 4 // max(1, len(alpha))}:known={known * 4 // max(1, len(alpha))}", f"mid:broken={broken}:caps={caps * 2 // max(1, len(alpha))}"]
-            for name, pattern in (("etal", r"\bet al\b"), ("vol", r"\bVol\b|\bNo\.|\bIssue\b"), ("year", r"\((?:19|20)\d\d\)"), ("range", r"\d+[–-]\d+$"), ("cite", r"[Cc]ite"), ("script", r"MANUSCRIPT|PROOF|PREPRINT|DRAFT"), ("abbr", r"(?:\b[A-Z][a-z]{0,8}\. ?){2,}"), ("slash", r" / "), ("pair", r"^[A-Z]\w+ and [A-Z]\w+ {2,}")):
-                if re.search(pattern, s):
-                    f += ["has:" + name, f"has:{name}:{broken}"]
+            f += [f"mid:caps={caps * 4 // max(1, len(alpha))}:known={known * 4 // max(1, len(alpha))}", f"mid:broken={broken}:caps={caps * 2 // max(1, len(alpha))}", f"mid:short={len(s) * 2 < max(len(above), len(below))}:{broken}"]
         if table:
             f.append(f"cells={min(3, cells(s))}:{cells(s) == cells(lines[0])}:{where == 'mid'}")
     return f
@@ -163,7 +181,10 @@ class LineModel:
             return ["text"] * len(lines)
         out, before = [], "start"
         for i in range(len(lines)):
-            before = self.p.best(line_features(lines, i, table, lexicon, before)) if lines[i].strip() else "text"
+            sc = self.p.scores(line_features(lines, i, table, lexicon, before)) if lines[i].strip() else {"text": 0.0}
+            if not is_page(lines[i]):  # what can't be a page number is none
+                sc.pop("pageno", None)
+            before = max(sc, key=sc.__getitem__)
             out.append(before)
         return out
 
@@ -331,7 +352,8 @@ class Repairer:
 
         def fix(m: re.Match) -> str:
             nonlocal changed
-            v = self.correct_compound(m[0]) if m.end() < end or len(m[0]) > 5 else None  # a short last word may be the rest of a longer one
+            # a last word without a stop may be the rest of a longer one: it is left alone if longer words begin like it
+            v = self.correct_compound(m[0]) if m.end() < end or len(m[0]) > 5 or m[0].lower() not in self._prefixes else None
             changed |= v is not None
             return v or m[0]
 
@@ -405,23 +427,69 @@ def train_chars(lexicon: dict[str, int], seed: int = 7, max_words: int = 3000, r
     return CharModel(p.average(), j.average(), {k: v for k, v in grams.items()})
 
 
-def _title(rng: random.Random, words: list[str]) -> str:
-    pair = " ".join(rng.choice(words).capitalize() for _ in range(rng.randint(2, 3)))
-    return rng.choice(["{} Reviews", "{} Letters", "Journal of {}", "Advances in {}", "Open {}", "The {} Quarterly", "{}: Theory & Methods", "{} and Practice", "Archives of {}", "Transactions on {}", "Studies in {}", "International Journal of {}"]).format(pair)
+def _phrase(rng: random.Random, words: list[str], least: int, most: int) -> str:
+    """A heading-like phrase of corpus words, with the small words headings have."""
+    w = [rng.choice(words).capitalize() for _ in range(rng.randint(least, most))]
+    if len(w) > 1 and rng.random() < 0.4:
+        w.insert(rng.randint(1, len(w) - 1), rng.choice(["of", "in", "and", "&", "on", "for"]))
+    if rng.random() < 0.15:
+        w[0] = rng.choice(["The", "A"]) + " " + w[0]
+    if len(w) > 3 and rng.random() < 0.15:
+        w[1] += ":"
+    return " ".join(w)
 
 
-def _furniture(rng: random.Random, words: list[str], table: bool) -> tuple[str, str]:
+def _page_number(rng: random.Random, table: bool) -> str:
+    """A number, alone or dressed with a word, dashes, dots or brackets; in a table body a bare number is a cell."""
     n = rng.randint(1, 999)
-    if rng.random() < 0.5:
-        forms = [f"· {n} ·", f"~ {n} ~", f"- {n} -", f"[p. {n}]", f"Page {n % 50} of {n % 50 + 9}", f"S{n}", f"– {n} –", f"p. {n}"]
-        if not table:  # in a table body a bare number is a cell
-            forms += [str(n)] * 3 + [rng.choice(["iv", "vii", "viii", "xiv", "xxvii", "cxii", "lxi"])] * 2
-        return rng.choice(forms), "pageno"
-    name = lambda: "".join(rng.choice(["ba", "ro", "ti", "lun", "vek", "mar", "so", "del", "qui", "nor"]) for _ in range(rng.randint(2, 3))).capitalize()
-    title = _title(rng, words)
-    short = " ".join(w[: rng.randint(3, 5)] + "." for w in title.replace(":", "").split() if w[0].isupper())
-    forms = [f"{title}, Vol. {n % 90}, No. {n % 12}", f"{title.upper()} {n % 99} ({rng.randint(1990, 2024)}) {n}–{n + 20}", f"{name()} et al. / {title}", f"Please cite this article as: {name()} et al., {title}", f"{name()} and {name()}   {short}", "ACCEPTED MANUSCRIPT", "U N C O R R E C T E D   P R O O F", title]
-    return rng.choice(forms), "header"
+    number = rng.choice([str(n), str(n), f"{n % 50 + 1} of {n % 50 + 9}", f"S{n}", f"{n % 50 + 1}/{n % 50 + 9}"])
+    dress = rng.choice(["· {} ·", "~ {} ~", "- {} -", "– {} –", "[{}]", "Page {}", "p. {}", "[p. {}]", "| {}", "{} |"])
+    if table or rng.random() < 0.5:
+        return number if number[0] == "S" else dress.format(number)
+    return str(n) if rng.random() < 0.6 else _roman(rng.randint(1, 120))
+
+
+def _roman(n: int) -> str:
+    out = ""
+    for size, sign in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out += sign * (n // size)
+        n %= size
+    return out
+
+
+def _running_head(rng: random.Random, words: list[str]) -> str:
+    """A line as running heads and stamps are made: a phrase as it is, in capitals, spaced out or shortened, alone or joined by a sign with people, numbers, years or ranges."""
+    name = "".join(rng.choice(["ba", "ro", "ti", "lun", "vek", "mar", "so", "del", "qui", "nor"]) for _ in range(rng.randint(2, 3))).capitalize()
+    n, kind = rng.randint(1, 999), rng.random()
+    if kind < 0.2:  # a stamp
+        stamp = " ".join(rng.choice(words).upper() for _ in range(rng.randint(1, 3)))
+        return "   ".join(" ".join(w) for w in stamp.split()) if rng.random() < 0.5 else stamp
+    phrase = _phrase(rng, words, 1, 4)
+    if rng.random() < 0.35:
+        phrase = " ".join(w[: rng.randint(3, 5)] + "." for w in phrase.replace(":", "").split() if w[0].isupper())
+    elif rng.random() < 0.2:
+        phrase = phrase.upper()
+    other = "".join(rng.choice(["fi", "gra", "hol", "pe", "su", "tor"]) for _ in range(2)).capitalize()
+    people = rng.choice([f"{name} et al.", f"{name} et al.", f"{name} and {other}", f"{name[0]}. {name}", f"{name} & {other}"])
+    places = rng.choice([f"{n % 99}", f"{n % 99} ({rng.randint(1950, 2030)})", f"Vol. {n % 99}", f"Vol. {n % 99}, No. {n % 12}", f"{n % 99} ({rng.randint(1950, 2030)}) {n}–{n + 20}", f"{rng.randint(1950, 2030)}", f"{n}-{n + 9}"])
+    sign = rng.choice([" / ", ", ", " ", "   ", " | ", " · ", ": "])
+    lead = rng.choice(["Please cite this {} as", "Cite this {} as", "To cite this {}", "How to cite this {}", "This {} is published in", "This {} is in press in"]).format(rng.choice(["article", "paper", "work"])) + ": "
+    if kind < 0.45:
+        return phrase + sign + places
+    if kind < 0.7:
+        return people + sign + phrase
+    if kind < 0.85:
+        return lead + rng.choice([people + ", " + phrase, phrase])
+    return phrase
+
+
+def _furniture(rng: random.Random, words: list[str], table: bool) -> tuple[str, str]:
+    return (_page_number(rng, table), "pageno") if rng.random() < 0.5 else (_running_head(rng, words), "header")
+
+
+def _belongs(line: str, width: int) -> bool:
+    """A line that is plainly part of a text: a sentence's end or continuation, a list item, a row of a table of ``width`` columns. Any other may be furniture already, so its text doesn't serve as clean."""
+    return bool(_ENDS.search(line)) or line[0].islower() or bool(_MARK.match(line + " ")) or (width > 1 and cells(line) == width)
 
 
 def _break(s: str, rng: random.Random) -> tuple[str, str] | None:
@@ -480,17 +548,26 @@ def learn_lexicon(texts: DataFrame, min_share: float = 1e-6) -> dict[str, int]:
     return {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(2.0, total * min_share)).collect()}
 
 
-def fit(texts: DataFrame, sample: int = 1500) -> Repairer:
-    """Learns the lexicon from all of ``texts(text, is_table)`` and fits both perceptrons on at most ``sample`` clean texts of each kind (those of smallest hash)."""
+def fit(texts: DataFrame, sample: int = 1500, max_chars: int = 20_000) -> Repairer:
+    """Learns the lexicon from all of ``texts(text, is_table)`` and fits both perceptrons on a bounded sample of clean texts.
+
+    The sample has at most ``sample`` texts of each kind, of at most ``max_chars`` characters each (longer ones are repaired like all others, but train nothing): those of smallest hash.
+    Rows of a hash that can't be among them are left out before anything is sorted, so that some ``4 * sample`` texts leave the tasks however many there are.
+    """
     lexicon = learn_lexicon(texts)
+    short = texts.where(F.length("text") <= max_chars)
+    sizes = {r["is_table"]: r["n"] for r in short.groupBy("is_table").agg(F.count("*").alias("n")).collect()}
+    u = F.xxhash64("text") / F.lit(2.0**64) + F.lit(0.5)
     picked = []
     for kind in (False, True):
-        rows = texts.where((F.col("is_table") == kind) & (F.length("text") < 4000)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-        picked += [(r["text"], kind) for r in rows]
+        likely = short.where((F.col("is_table") == kind) & (u <= 4.0 * sample / max(1, sizes.get(kind, 0))))
+        rows = likely.select("text").orderBy(F.xxhash64("text"), "text").limit(2 * sample).collect()
+        picked += [(t, kind) for t in list(dict.fromkeys(r["text"] for r in rows))[:sample]]
     clean = []
     for t, kind in picked:
         words = _WORD.findall(t)
-        odd = any(is_page(x) or _STAMP.search(x) or re.search(r"et al|MANUSCRIPT|Vol\.|\bcite\b|\((?:19|20)\d\d\)|[A-Z]\w+ and [A-Z]\w+ {3}", x) or x.rstrip()[-1:] in HYPHENS for x in _EOL.split(t) if x.strip())
+        lines = [x.strip() for x in _EOL.split(t) if x.strip()]
+        odd = any(is_page(x) or _STAMP.search(x) or x[-1] in HYPHENS for x in lines) or not all(_belongs(x, cells(lines[0]) if kind else 0) for x in lines[1:])
         if words and not odd:
             clean.append((t, kind))
     return Repairer(train_lines(clean, lexicon), train_chars(lexicon), lexicon)
@@ -500,7 +577,7 @@ def repair(texts: DataFrame, keys: list[str], fitted: Repairer | None = None) ->
     """``(keys, defects array<string>, repaired string)`` for each row of ``texts(keys, text, is_table)``.
 
     Defects are among hyphen, chars, header, pageno, sorted; clean texts have none and come back unchanged. Null texts have no row; empty texts have no defects;
-    long texts are processed whole; repeated rows give repeated results. Nothing is shuffled but word counts.
+    long texts are processed whole; repeated rows give repeated results. Nothing is shuffled but word counts and the sample that trains.
     """
     src = texts.select(*dict.fromkeys([*keys, "text", "is_table"])).where(F.col("text").isNotNull())
     model = fitted or fit(src.select("text", "is_table"))

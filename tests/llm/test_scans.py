@@ -57,3 +57,26 @@ def test_empty_table(spark):
     assert scans.repair(df, ["k"]).count() == 0
     one = spark.createDataFrame([(1, "abc " * 50_000, False), (1, "abc " * 50_000, False)], "k long, text string, is_table boolean")
     assert scans.repair(one, ["k"]).count() == 2
+
+
+def test_last_words(spark):
+    """A misread last word is found whatever its length; what may be the beginning of a longer word is left alone."""
+    ends = {0: ("sample is the rnain lattice phasc", ["chars"]), 1: ("sample follows the latti", []), 2: ("sample follows the poly", [])}
+    clean = [c[:-1] + " in the main phase." for c in corpus(200)]
+    rows = [(i, t, False) for i, t in enumerate(clean)] + [(1000 + k, "The polymer increases the lattice during the main " + t, False) for k, (t, _) in ends.items()]
+    got = {r["k"]: r["defects"] for r in scans.repair(spark.createDataFrame(rows, "k long, text string, is_table boolean"), ["k"]).collect()}
+    for k, (_, want) in ends.items():
+        assert got[1000 + k] == want
+
+
+def test_long_texts_train_only_up_to_the_stated_bound(spark):
+    """Texts of over the old limit of 4,000 characters train like others; the bound is a parameter and changes no repair of theirs."""
+    long = ["\n".join(corpus(40, seed)) for seed in range(12)]
+    assert min(map(len, long)) > 4000
+    noisy = long[0].replace("polymer contains", "polyrner contalns")
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate([*long, noisy])], "k long, text string, is_table boolean")
+    fitted = scans.fit(df.select("text", "is_table"))
+    assert fitted.lines.p.w and fitted.chars.edits.w
+    assert not scans.fit(df.select("text", "is_table"), max_chars=100).lines.p.w
+    got = {r["k"]: r["defects"] for r in scans.repair(df, ["k"], fitted).collect()}
+    assert got[12] == ["chars"] or long[0] == noisy
