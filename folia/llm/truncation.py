@@ -1,14 +1,15 @@
 """Texts whose end was lost: structural completeness, and how often each source truncates.
 
-A stack automaton reads a text once and says what is still open at its end: quotes, brackets, markup, code fences, escapes, broken multibyte sequences. Running
-text has no such structure, so its end is judged by how sentences of the corpus end: for the words before the end, and for the frame of the sentence (its usual
-words, anything else as one place), the share of occurrences at which a sentence ended, counted over all texts. A field limit shows as a pile-up at a source's greatest length.
+A stack automaton reads a text once and says what is still open at its end: typed brackets and quotes, markup, code fences, escapes, broken multibyte sequences. Whether
+a missing terminator means anything is judged against the baseline of the source: how its whole texts end. Running text has little structure, so its end is also judged by how
+sentences of the corpus end: for the words before the end, and for the frame of the sentence (its usual words, anything else as one place), the share of occurrences at
+which a sentence ended, counted over all texts. A field limit shows as a pile-up at a source's greatest length.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,47 +22,105 @@ from folia.runtime import cut_lineage, not_blank, spread
 
 #: What is written where a text was cut.
 _CUT_MARK = re.compile(r"(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|[<\[(]\s*(?:cut|truncated|snip(?:ped)?|more|continued|abridged)\s*[>\])]|�+)\s*$", re.I)
-_FENCE = re.compile(r"^[ \t]*```", re.M)
 _STOP = ".!?"
+#: A sequence or escape that was not finished: replacement and C1 characters of a cut multibyte character, a lone surrogate, a backslash, half a unicode escape, half an entity.
+_HALF = re.compile(r"(?:\ufffd|[\ud800-\udfff]|[\xc2-\xf4][\x80-\x9f]{1,2}|\xe2\u20ac|\\|\\u[0-9A-Fa-f]{0,3}|&(?:#x?[0-9A-Fa-f]*|[a-z]{2,8}))$")
+_PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+_TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)([^<>]*)(>|$)")
+#: Elements that need no end tag.
+_NO_END = frozenset(["br", "hr", "img", "input", "meta", "link", "p", "li", "td", "th", "tr", "dt", "dd", "wbr", "col"])
 
 
-def open_at_end(text: str) -> str:
-    """What a structured text leaves open: a string of ``{ [ ( " \\`` in the order of opening, ``f`` for a code fence, ``<`` for a tag or think block; empty if it is complete."""
+def open_at_end(text: str, prose: bool = False) -> str:
+    """What a text leaves open, in the order of opening: brackets ``( [ {``, quotes ``" “ «``, ``<`` for an element or a tag, ``f`` for a code fence, ``\\`` for half an escape or character.
+
+    Empty if the text is complete. A closer belongs to the nearest opener of its own type; openers above that one were never closed and stay open. Closers without an opener are passed
+    over (list marks such as ``a)``). In structured text a ``"`` always begins or ends a string, within which only escapes count; in ``prose`` it begins a quotation only after a blank or
+    bracket and before a word, so that inch and second signs are none, and round brackets count; in structured text those outside strings are words of the frame and count too.
+    """
     stack: list[str] = []
-    quoted = escaped = False
-    for ch in text:
+    lost: list[tuple[int, str]] = []  # openers that another closer passed over, with their depth
+    names: list[str] = []
+    quoted = False
+    i, n = 0, len(text)
+    while i < n:
+        ch = text[i]
         if quoted:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
+            if ch == "\\":
+                if i + 1 == n:
+                    return "".join(x for _, x in lost) + "".join(stack) + "\\"
+                i += 1
             elif ch == '"':
                 quoted = False
+                stack.pop()
         elif ch == '"':
-            quoted = True
-        elif ch in "{[":
+            before, after = text[i - 1 : i], text[i + 1 : i + 2]
+            if not prose:
+                quoted = True
+                stack.append(ch)
+            elif ch in stack and not before.isspace():
+                _close(stack, lost, ch)
+            elif (not before or before.isspace() or before in "([{“«—–/") and (not after or not after.isspace()):
+                stack.append(ch)
+        elif ch == "`" and text.startswith("```", i) and not text[text.rfind("\n", 0, i) + 1 : i].strip():
+            if "f" in stack:
+                _close(stack, lost, "f")
+            else:
+                stack.append("f")
+            i += 2
+        elif ch in "([{“«":
             stack.append(ch)
-        elif ch in "}]" and stack:
-            stack.pop()
-    out = "".join(stack) + '"' * quoted + "\\" * escaped
-    if len(_FENCE.findall(text)) % 2:
-        out += "f"
-    if text.rfind("<think>") > text.rfind("</think>") or re.search(r"<[/A-Za-z][^<>\n]*$", text):
-        out += "<"
-    return out
-
-
-def reply_is_cut(text: str, noted: int | None, slack: int = 3) -> bool:
-    """A stored reply: structured (it holds a brace or fence) or prose. ``noted`` is its length at run time; a loss of up to ``slack`` blanks is none."""
+        elif ch in _PAIRS:
+            _close(stack, lost, _PAIRS[ch])
+        elif ch == "<" and (m := _TAG.match(text, i)):
+            name = m[2].lower()
+            if not m[4]:
+                stack.append("<")
+            elif m[1]:
+                if name in names:
+                    while names.pop() != name:
+                        _close(stack, lost, "<")
+                    _close(stack, lost, "<")
+            elif name not in _NO_END and not m[3].rstrip().endswith("/"):
+                names.append(name)
+                stack.append("<")
+            i = m.end() - 1
+        i += 1
+    out = "".join(x for _, x in sorted([*lost, *enumerate(stack)], key=lambda x: x[0]))
+    return out + ("\\" if _HALF.search(text) else "")
+
+
+def _close(stack: list[str], lost: list[tuple[int, str]], opener: str) -> None:
+    """Takes the nearest ``opener`` off the stack, and those above it, which no closer of their own can reach any more."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k] == opener:
+            lost += [(j, stack[j]) for j in range(k + 1, len(stack))]
+            del stack[k:]
+            return
+
+
+def is_structured(body: str) -> bool:
+    return "{" in body or "```" in body
+
+
+def ends_with_stop(body: str) -> bool:
+    """Whether a text ends with a terminator, closing quotes and brackets set aside."""
+    return body.rstrip().rstrip("\"')]}”»*_").endswith(tuple(_STOP))
+
+
+def reply_is_cut(text: str, noted: int | None, usual_stop: float = 0.95, slack: int = 8, least_stop: float = 0.8) -> bool:
+    """A stored reply: structured (it holds a brace or fence) or prose. ``noted`` is its length at run time; a loss of up to ``slack`` blanks is none.
+
+    ``usual_stop`` is the share of its source's whole prose replies that end with a terminator: only from ``least_stop`` on does a missing one tell anything.
+    """
     body = text.rstrip()
     if not body:
         return False
-    if _CUT_MARK.search(body) or open_at_end(body):
+    structured = is_structured(body)
+    if _CUT_MARK.search(body) or open_at_end(body, not structured):
         return True
     lost = (noted or 0) - len(text)
-    if "{" in body or "```" in body:
-        return lost > max(slack, 8)
-    return body[-1] not in _STOP + "\"')]" or lost > max(slack, 8)
+    return lost > slack or (not structured and usual_stop >= least_stop and not ends_with_stop(body))
 
 
 # ---------------------------------------------------------------- running text
@@ -101,6 +160,7 @@ class EndModel:
     ends: dict[str, tuple[float, float]]  # context to (ends, all)
     known: frozenset[str]
     limits: dict[str, int]
+    stops: dict[str | None, float]  # of each source, how much rarer than usual an end without terminator is: a factor of the thresholds
 
     def end_share(self, tokens: list[str]) -> tuple[float, float]:
         """How often a sentence ends at such a frame, and at such a last word (the pair with the word before it, drawn to the word alone where the pair is rare). A word that never stood inside a text or before a stop is a fragment."""
@@ -124,7 +184,7 @@ class EndModel:
             return False
         limit = self.limits.get(source or "")
         near = limit is not None and len(raw) >= limit - 2
-        if text[-1] in "-¬‐­(,;[/–|=" or text.count("(") > text.count(")") or text.count("[") > text.count("]"):
+        if text[-1] in "-¬‐­(,;[/–|=" or open_at_end(text, prose=True):
             return True
         if re.search(r"[.:]\s*\([a-z]\)$", text):  # a list mark with nothing after it
             return True
@@ -138,10 +198,12 @@ class EndModel:
         a, b = self.end_share(tokens)
         if near:
             return not (len(raw) < limit and min(a, b) > 0.9)
-        return a < 0.05 or b < 0.03 or end == ":"
+        r = self.stops.get(source, 1.0)
+        return a < 0.05 * r or b < 0.03 * r or end == ":"
 
 
-def _counts(text: str, usual: frozenset[str], into: Counter) -> None:
+def _counts(text: str, usual: frozenset[str], into: dict[str, list[int]]) -> None:
+    """Adds the contexts of a text: ``[occurrences, sentence ends, inside or before a stop]``."""
     for tokens, end in sentences(text):
         f, before, final = "f", "", len(tokens) - 1
         for i, t in enumerate(tokens):
@@ -150,12 +212,11 @@ def _counts(text: str, usual: frozenset[str], into: Counter) -> None:
                 f += " " + x
             keys = (f, f"2 {before} {t}" if i else "2 " + t, "1 " + t)
             for key in keys:
-                into["n", key] += 1
-            if i == final:
-                for key in keys:
-                    into["e", key] += 1
+                got = into[key]
+                got[0] += 1
+                got[1] += i == final
             if i < final or end:
-                into["k", t] += 1
+                into[t][2] += 1
             before = t
 
 
@@ -168,15 +229,16 @@ def learn_ends(texts: DataFrame, usual_share: float = 0.002, min_share: float =
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got: Counter = Counter()
+            got: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
             for t in b["text"]:
                 _counts(t, usual, got)
-            yield pd.DataFrame([(k, key, float(n)) for (k, key), n in got.items() if n], columns=["kind", "key", "n"])
+            yield pd.DataFrame([(key, *n) for key, n in got.items()], columns=["key", "n", "e", "k"])
 
-    sums = cut_lineage(texts.select("text").mapInPandas(count, "kind string, key string, n double").groupBy("key").pivot("kind", ["n", "e", "k"]).agg(F.sum("n")))
-    all_ = sums.agg(F.sum("n")).first()[0] or 0.0
-    kept = sums.where((F.col("n") >= max(2.0, all_ * min_share)) | (F.col("k") >= max(2.0, all_ * min_share))).collect()
-    ends = {r["key"]: (r["e"] or 0.0, r["n"]) for r in kept if r["n"]}
+    sums = cut_lineage(texts.select("text").mapInPandas(count, "key string, n long, e long, k long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "e", "k")]))
+    all_ = sums.agg(F.sum("n")).first()[0] or 0
+    least = max(2.0, all_ * min_share)
+    kept = sums.where((F.col("n") >= least) | (F.col("k") >= least)).collect()
+    ends = {r["key"]: (r["e"], r["n"]) for r in kept if r["n"]}
     known = frozenset(r["key"] for r in kept if r["k"])
     by_len = texts.where(F.col("source").isNotNull()).groupBy("source", "length").agg(F.count("*").alias("n"))
     top = by_len.groupBy("source").agg(F.max("length").alias("most"))
@@ -184,7 +246,18 @@ def learn_ends(texts: DataFrame, usual_share: float = 0.002, min_share: float =
     limited = pile.where((F.col("at") >= 4) & (F.col("at") > 3 * F.coalesce("below", F.lit(0)) / 20)).limit(max_sources + 1).collect()
     if len(limited) > max_sources:
         raise ValueError(f"more than {max_sources} sources with a field limit")
-    return EndModel(usual, ends, known, {r["source"]: r["most"] for r in limited})
+    return EndModel(usual, ends, known, {r["source"]: r["most"] for r in limited}, stop_factors(texts, max_sources))
+
+
+def stop_factors(texts: DataFrame, max_sources: int, weight: float = 50.0) -> dict[str | None, float]:
+    """Of each source, the usual share of ends without terminator over its own, within 1/3 and 3: where such ends are rare, each is more suspicious. Shares are drawn to the overall one by ``weight`` texts."""
+    bare = (~F.rtrim("text").rlike(r"[.!?][\"')\]}”»]*$")).cast("double")
+    rows = texts.groupBy("source").agg(F.count("*").alias("n"), F.sum(bare).alias("bare")).limit(max_sources + 1).collect()
+    if len(rows) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    n = sum(r["n"] for r in rows)
+    usual = (sum(r["bare"] for r in rows) + 1.0) / (n + 2.0)
+    return {r["source"]: min(3.0, max(1 / 3, usual / ((r["bare"] + weight * usual) / (r["n"] + weight)))) for r in rows}
 
 
 def cut_captions(figures: DataFrame, key: str = "fig_row_id", source: str = "source", text: str = "caption") -> DataFrame:
@@ -205,14 +278,29 @@ def cut_captions(figures: DataFrame, key: str = "fig_row_id", source: str = "sou
     return fixed.mapInPandas(judge, f"`{key}` {figures.schema[key].dataType.simpleString()}, source string, truncated boolean")
 
 
-def cut_replies(results: DataFrame, key: str = "result_id", model: str = "model", text: str = "raw_output", noted: str = "raw_output_length") -> DataFrame:
-    """``(key, model, truncated)`` for every stored non-blank reply; the noted length counts only where it is known. Rows are independent: nothing is shuffled."""
+def cut_replies(results: DataFrame, key: str = "result_id", model: str = "model", text: str = "raw_output", noted: str = "raw_output_length", max_sources: int = 100_000) -> DataFrame:
+    """``(key, model, truncated)`` for every stored non-blank reply; the noted length counts only where it is known.
+
+    The baseline of terminators is counted per model over all prose replies without another sign of a cut, drawn to the share over all models by five replies. No reply is shuffled.
+    Null and blank replies have no row; a null model is a source of its own; more than ``max_sources`` models raise an error.
+    """
     src = spread(results.select(results[key].alias("_key"), results[model].alias("_model"), results[text].alias("_text"), results[noted].alias("_noted")).where(not_blank(F.col("_text"))))
 
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(m, int(ends_with_stop(t))) for m, t in zip(b["_model"], b["_text"], strict=True) if not is_structured(t) and not reply_is_cut(t, None, 0.0)]
+            yield pd.DataFrame(rows, columns=["m", "stop"])
+
+    got = src.where(~F.col("_text").contains("{") & ~F.col("_text").contains("```")).select("_model", "_text").mapInPandas(ends, "m string, stop int").groupBy("m").agg(F.count("*").alias("n"), F.sum("stop").alias("s")).limit(max_sources + 1).collect()
+    if len(got) > max_sources:
+        raise ValueError(f"more than {max_sources} models")
+    usual = (sum(r["s"] for r in got) + 0.95) / (sum(r["n"] for r in got) + 1.0)
+    stops = {r["m"]: (r["s"] + 5 * usual) / (r["n"] + 5) for r in got}
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [reply_is_cut(t, None if pd.isna(n) else int(n)) for t, n in zip(b["_text"], b["_noted"], strict=True)]
-            yield pd.DataFrame({key: b["_key"], "model": b["_model"], "truncated": got})
+            cut = [reply_is_cut(t, None if pd.isna(n) else int(n), stops.get(m if isinstance(m, str) else None, usual)) for t, n, m in zip(b["_text"], b["_noted"], b["_model"], strict=True)]
+            yield pd.DataFrame({key: b["_key"], "model": b["_model"], "truncated": cut})
 
     return src.mapInPandas(judge, f"`{key}` {results.schema[key].dataType.simpleString()}, model string, truncated boolean")
 

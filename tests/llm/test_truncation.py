@@ -6,11 +6,35 @@ from pyspark.sql import functions as F
 from folia.llm.truncation import cut_captions, cut_replies, cut_shares, open_at_end, reply_is_cut
 
 
-@pytest.mark.parametrize(("text", "left"), [('{"a": [1, 2]}', ""), ('{"a": [1', "{["), ('{"a": "x', '{"'), ('{"a": "x\\', '{"\\'), ("```json\n{}\n```", ""), ("```json\n{}", "f"), ("<think>x", "<"), ('{"a": "b{["}', ""), ("", "")])
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ('{"a": [1, 2]}', ""), ('{"a": [1', "{["), ('{"a": "x', '{"'), ('{"a": "x\\', '{"\\'), ("```json\n{}\n```", ""), ("```json\n{}", "f"), ("<think>x", "<"), ('{"a": "b{["}', ""), ("", ""),
+        ('{"a": [1}}', "["), ('{"a": [1}', "["), ('[{"a": 1]', "{"), ('f({"a": 1}', "("), ("<think>a <b>c</b>", "<"), ("<think>a</think>{}", ""), ("<think>{</think>{}", "{"), ('{"a": "<b"}', ""), ("x <thi", "<"), ("a<br>b", ""),
+        ('{"a": "\\u00', '{"\\'), ('{"a": "x\\"', '{"'), ("{}\ufffd", "\\"), ("na\xc3\x83", "\\"), ("caf\xe9", ""), ("a â€", "\\"), ("x &am", "\\"), ("AT&T", ""),
+    ],
+)
 def test_automaton(text, left):
     assert open_at_end(text) == left
 
 
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ('A 5" pipe was used.', ""), ('It is called "hot', '"'), ('It is called "hot" here.', ""), ("a) first; b) second", ""), ("see (left and [right)", "["), ("see (left", "("), ("the “hot” and “cold", "“"), ("» «x» «", "«"),
+        ("{a (b} c", "("), ("a <sub>2", "<"), ("a <sub>2</sub>", ""), ("p < 0.05 and r > 2", ""), ('the ("so-called") x', ""),
+    ],
+)
+def test_automaton_of_running_text(text, left):
+    assert open_at_end(text, prose=True) == left
+
+
+def test_a_missing_terminator_is_judged_by_the_source(spark):
+    rows = [(i, "stops", f"The page {i} is empty.") for i in range(60)] + [(100 + i, "bare", f"page {i} left empty") for i in range(60)] + [(200, "stops", "The page is em"), (201, "bare", "page left em"), (202, None, "The page (of")]
+    df = spark.createDataFrame(rows, "result_id long, model string, raw_output string").withColumn("raw_output_length", F.lit(None).cast("int"))
+    assert sorted(r["result_id"] for r in cut_replies(df).where("truncated").collect()) == [200, 202]
+
+
 @pytest.mark.parametrize(("text", "noted", "cut"), [('{"a": 1}', 8, False), ('{"a": 1}', 10, False), ('{"a": 1}', 80, True), ('{"a": 1', 7, True), ('{"a": 1}…', 9, True), ("I cannot describe it.", 21, False), ("I cannot desc", 13, True), (" ", 900, False), ('{"a": 1}\nLet me know', 19, False), ('{"a": 1}', None, False)])
 def test_replies(text, noted, cut):
     assert reply_is_cut(text, noted) is cut
