@@ -1,8 +1,8 @@
 """Held-out passages inside training text: one Aho-Corasick automaton over all items, one scan of each text.
 
 The alphabet of the automaton is words, not characters: a word of an item has a number, any other word is 0. Patterns are all windows of ``window`` words of
-the items' texts, so a text is scanned once, whatever the number of items. Item tables are fixed benchmarks; their size is checked, and a
-larger table is scanned in blocks of ``max_windows`` windows, each with its own automaton. A match is mapped back to offsets of the original text.
+the items' texts. The corpus is read once, whatever the number of items: a table of more than ``max_windows`` windows makes several automata, which a task runs one after
+the other over a chunk of its texts. A match is mapped back to offsets of the original text.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ class Automaton:
         self.machine.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        if self.empty:
-            return []
-        spans = word_spans(text)
-        if len(spans) < self.window:
+        return self.find_spans(word_spans(text))
+
+    def find_spans(self, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
+        if self.empty or len(spans) < self.window:
             return []
         open_, out = {}, []
         for end, of in self.machine.iter(tuple(self.number.get(w, 0) for w, _, _ in spans)):
@@ -82,26 +82,40 @@ def item_blocks(items: DataFrame, item_key: str, text: str, window: int, max_win
     return [b for b in blocks if b]
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "passage", window: int = 12, max_windows: int = 500_000) -> DataFrame:
+def leaked_passages(
+    docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "passage", window: int = 12, max_windows: int = 500_000, kept: int = 3, chunk_chars: int = 64_000_000
+) -> DataFrame:
     """``(doc_key, item_key, start_char, end_char, n_words)``: every maximal stretch of at least ``window`` words that a text shares with an item.
 
     Null and blank texts have no rows; items that share a passage are each reported; repeated documents are reported each; texts are read whole, whatever their
-    length; an empty table on either side gives no rows. No shuffle: the automata travel with the tasks (at most ``max_windows`` windows at once).
+    length; an empty table on either side gives no rows. No shuffle and one scan: the items travel with the tasks. Up to ``kept`` automata stay with a worker; of more, each is built once for every
+    ``chunk_chars`` characters of texts, so at most one is held at a time. The result is the same. The items themselves are a benchmark: a fixed table that one worker can hold.
     """
     kind = items.schema[item_key].dataType.simpleString()
-    src = docs.select(docs[doc_key].alias(doc_key), docs[text].alias("_text")).where(F.col("_text").isNotNull())
-    src = spread(src)
+    src = spread(docs.select(docs[doc_key].alias(doc_key), docs[text].alias("_text")).where(F.col("_text").isNotNull()))
     schema = f"`{doc_key}` {docs.schema[doc_key].dataType.simpleString()}, `{item_key}` {kind}, start_char int, end_char int, n_words int"
-    found = None
-    for block in item_blocks(items, item_key, item_text, window, max_windows) or [[]]:
-        shared = src.sparkSession.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
-            machine = per_worker(name, lambda: Automaton(shared.value, window))
-            for b in batches:
-                rows = [(k, *hit) for k, t in zip(b[doc_key], b["_text"], strict=True) for hit in machine.find(t)]
-                yield pd.DataFrame(rows, columns=[doc_key, item_key, "start_char", "end_char", "n_words"])
-
-        part = src.mapInPandas(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    shared = src.sparkSession.sparkContext.broadcast(item_blocks(items, item_key, item_text, window, max_windows))
+    name = uuid.uuid4().hex
+
+    def chunks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[list]:
+        """Keys and texts, some batches at once: as many as have ``most`` characters."""
+        rows, size = [], 0
+        for b in batches:
+            rows += zip(b[doc_key], b["_text"], strict=True)
+            size += int(b["_text"].str.len().sum())
+            if size >= most:
+                yield rows
+                rows, size = [], 0
+        yield rows
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = shared.value
+        few = len(blocks) <= kept
+        for rows in chunks(batches, 0 if few else chunk_chars):
+            spans = [(k, word_spans(t)) for k, t in rows] if few and blocks else []
+            for i, block in enumerate(blocks):
+                machine = per_worker(f"{name} {i}", lambda block=block: Automaton(block, window)) if few else Automaton(block, window)
+                hits = [(k, *h) for k, x in spans for h in machine.find_spans(x)] if few else [(k, *h) for k, t in rows for h in machine.find(t)]
+                yield pd.DataFrame(hits, columns=[doc_key, item_key, "start_char", "end_char", "n_words"])
+
+    return src.mapInPandas(scan, schema)

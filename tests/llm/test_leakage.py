@@ -34,6 +34,8 @@ def test_equals_brute_force_and_offsets_point_to_the_original(spark):
         assert inside in " ".join(w for w, _, _ in word_spans(passage[r["item_id"]]))
         assert len(inside.split()) == r["n_words"] >= 6
     small = leaked_passages(dd, ii, window=6, max_windows=40)
-    assert {(r["doc_id"], r["item_id"]) for r in small.collect()} == want
+    assert small._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1  # one scan, however many automata
+    for many in (small, leaked_passages(dd, ii, window=6, max_windows=40, chunk_chars=500), leaked_passages(dd, ii, window=6, max_windows=150, kept=100)):
+        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, got))
     assert leaked_passages(dd.where("false"), ii).count() == 0
     assert leaked_passages(dd, ii.where("false")).count() == 0
