@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folia.llm.subjects import NONE, composition, sentences_of, subject_areas
+from folia.llm.subjects import NONE, SOURCE_PLACES, UNKNOWN, Tokens, common_words, composition, sentences_of, source_place, stop_words, subject_areas
 
 WORDS = {s: [f"{s[:2]}{a}{b}" for a in ("ra", "to", "mi", "ne", "lu", "ka", "so") for b in ("ban", "dor", "fel", "gim", "hul", "jat", "kes")] for s in ("law", "physics", "food")}
 
@@ -58,10 +58,56 @@ def test_held_out_accuracy(spark, found):
 def test_no_labels_no_documents(spark, found):
     d, lab, lst, _ = found
     assert subject_areas(d.where("false"), lab, lst).count() == 0
-    assert subject_areas(d.limit(20), lab.where("false"), lst).count() >= 0
+    unlabelled = subject_areas(d.limit(20), lab.where("false"), lst)  # without labels every subject is as likely: shares below a half decide
+    assert all(0 <= r["share"] <= 1 for r in unlabelled.collect())
     assert subject_areas(d.limit(20), lab, lst.where("false")).count() == 0
     assert composition(subject_areas(d.limit(50), lab, lst)).count() <= 3
 
 
 def test_sentences():
     assert sentences_of("A b. C d!\n\nTitle\n\n<b>E</b> f. 12 g.") == ["A b.", "C d!", "Title", "E f.", "12 g."]
+
+
+def test_stop_words_are_common_in_their_language_and_even_over_the_subjects(spark):
+    docs = [(f"the cat sat on the mat {'goal' if i % 3 == 0 else 'court'} x{i}", "en") for i in range(60)] + [(f"das tor y{i}", "de") for i in range(8)] + [("le but z", "fr")]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    common = common_words(df)
+    assert {"the", "cat", "goal", "court"} <= common["en"] and {"das", "tor"} <= common["de"]
+    assert "z" not in common.get("fr", set()) and "le" not in common.get("fr", set())  # one text makes no common word
+    labelled = [(t, lang, {"sport" if "goal" in t else "law"}) for t, lang in docs[:60]]
+    stop = stop_words(common, labelled)
+    assert "the" in stop["en"] and not {"goal", "court"} & stop["en"]
+    assert "das" in stop["de"] and "das" not in stop["en"]
+    assert {"the", "das"} <= stop[UNKNOWN]
+
+
+def test_tokens_equal_a_plain_count():
+    rng = random.Random(5)
+    texts = [". ".join(" ".join(rng.choice(["the", "cat", "Ab-3", "7", "mat", "dog"]).capitalize() if k == 0 else rng.choice(["the", "cat", "ab-3", "7", "mat", "dog"]) for k in range(rng.randint(1, 6))) for _ in range(4)) + "." for _ in range(30)] + ["", "..."]
+    stop = {"en": frozenset(["the"]), "de": frozenset(["cat"])}
+    langs = [rng.choice(["en", "de", "xx"]) for _ in texts]
+    t = Tokens.read(texts, langs, stop)
+    got = {}
+    for s, k in zip(t.sent.tolist(), t.term.tolist(), strict=True):
+        got.setdefault(s, set()).add(t.names[k])
+    want, n = {}, 0
+    for text, lang in zip(texts, langs, strict=True):
+        for x in sentences_of(text):
+            w = x.lower().replace(".", "").split()
+            keep = [not (y in stop.get(lang, ()) or y in ("ab-3", "7")) for y in w]
+            terms = {y for y, k in zip(w, keep, strict=True) if k} | {a + " " + b for a, b, i, j in zip(w, w[1:], keep, keep[1:], strict=False) if i or j}
+            if terms:
+                want[n] = terms
+            n += 1
+    assert got == want and t.sizes.sum() == n and len(t.which) == 30
+
+
+def test_sources_of_any_number_have_a_place():
+    places = {source_place(f"source {i}") for i in range(1000)}
+    assert places == set(range(SOURCE_PLACES)) and source_place(None) == -1
+
+
+def test_too_many_subjects_are_an_error(spark, found):
+    d, lab, lst, _ = found
+    with pytest.raises(ValueError, match="more than 2 subjects"):
+        subject_areas(d.limit(5), lab, lst, max_subjects=2)
