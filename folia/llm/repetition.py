@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.runtime import spread
+from folia.runtime import cut_lineage, spread
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -58,20 +58,28 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "0"), r"[^\p{L}0]+", " "))
 
 
-def drop_common_lines(df: DataFrame, key: str, host: str, text: str, max_docs: int = 3, max_share: float = 0.01, keep_share: float = 0.5, sentences: bool = True) -> DataFrame:
-    """``(key, n_lines, n_common, kept_text, rejected)``: texts without the lines that too many documents of their host hold.
+def drop_common_lines(df: DataFrame, key: str, host: str, text: str, max_docs: int = 3, max_share: float = 0.01, keep_share: float = 0.5, sentences: bool = True, most_broadcast: int = 200_000, hot_share: float = 0.001, salts: int = 16) -> DataFrame:
+    """``(key, n_lines, n_common, kept_text, rejected)``: texts without the lines that too many documents of their host hold, in the named method's way.
 
     A line is common on a host if more than ``max_docs`` of its documents, and more than ``max_share`` of them, hold it. A document that keeps less than ``keep_share`` of its
-    non-empty lines is rejected. Counts are of distinct keys, by hash of the normalised line; they are summed with map-side combining on (host, line hash, salt of the key), then on (host, line
-    hash), so that a hot host or line is never gathered in one task. Null hosts form a host of their own; null and blank texts have no lines and aren't rejected; a key
-    that is given twice counts as one document; an empty table gives an empty table.
+    non-empty lines is rejected. Counts are of distinct keys, by hash of the normalised line, with map-side combining, so that a hot host or line is never gathered in one task. Up to
+    ``most_broadcast`` common lines are sent to the texts; more are joined by hash, where a line of at least ``hot_share`` of all lines is spread over ``salts`` tasks. Null hosts form a host of
+    their own; null and blank texts have no lines and aren't rejected; a key that is given twice counts as one document; an empty table gives an empty table.
     """
     rows = df.select(df[key].alias("_key"), F.coalesce(df[host].cast("string"), F.lit("")).alias("_host"), df[text].alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = cut_lineage(rows)  # row numbers are drawn once: computed again after a shuffle above they could differ
     lines = rows.select("_row", "_key", "_host", F.posexplode(lines_of(F.coalesce("_text", F.lit("")), sentences)).alias("_pos", "_line")).withColumn("_norm", normal_line(F.col("_line"))).where("_norm <> ''").withColumn("_hash", F.xxhash64("_norm"))
-    docs = lines.select("_host", "_hash", "_key").distinct().groupBy("_host", "_hash").agg(F.count("*").alias("_docs"))
+    docs = lines.groupBy("_host", "_hash", "_key").agg(F.count("*").alias("_n")).groupBy("_host", "_hash").agg(F.count("*").alias("_docs"), F.sum("_n").alias("_n"))
     hosts = rows.select("_host", "_key").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    common = docs.where(F.col("_docs") > max_docs).join(hosts, "_host").where(F.col("_docs") > F.col("_all") * max_share).select("_host", "_hash")
-    marked = lines.select("_row", "_pos", "_line", "_host", "_hash").join(common.withColumn("_common", F.lit(1)), ["_host", "_hash"], "left")
+    common = cut_lineage(docs.where(F.col("_docs") > max_docs).join(hosts, "_host").where(F.col("_docs") > F.col("_all") * max_share).select("_host", "_hash", "_n"))
+    left, right = lines.select("_row", "_pos", "_line", "_host", "_hash"), common.select("_host", "_hash", F.lit(1).alias("_common"))
+    if common.limit(most_broadcast + 1).count() <= most_broadcast:
+        marked = left.join(F.broadcast(right), ["_host", "_hash"], "left")
+    else:
+        hot = F.broadcast(common.where(F.col("_n") >= (common.agg(F.sum("_n")).first()[0] or 0) * hot_share).select("_host", "_hash", F.lit(True).alias("_hot")))
+        left = left.join(hot, ["_host", "_hash"], "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64("_row", "_pos"), F.lit(salts)).cast("int")).otherwise(0))
+        right = right.join(hot, ["_host", "_hash"], "left").withColumn("_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+        marked = left.join(right.drop("_hot"), ["_host", "_hash", "_s"], "left")
     per = marked.groupBy("_row").agg(
         F.count("*").alias("n_lines"),
         F.count("_common").alias("n_common"),

@@ -42,3 +42,10 @@ def test_common_lines(spark):
     assert got[0] == (2, 1, False) and got[9] == (2, 2, True)
     assert got[10] == (1, 0, False) and got[11] == (0, 0, False) and got[12] == (1, 0, False)
     assert drop_common_lines(df.where("false"), "k", "host", "t").count() == 0
+
+
+def test_common_lines_are_joined_alike_when_they_are_many_or_hot(spark):
+    rows = [(i, "h" if i % 3 else "g", f"Shared line {i}. Second line. Own line {'abcdefgh'[i % 8]}{i}.") for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, host string, t string")
+    got = [sorted(tuple(r) for r in drop_common_lines(df, "k", "host", "t", max_docs=3, max_share=0.1, **how).collect()) for how in ({}, {"most_broadcast": 0}, {"most_broadcast": 0, "hot_share": 0.4, "salts": 3})]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60
