@@ -43,6 +43,8 @@ _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3
 _MARK = re.compile(r"\s*\([a-z0-9]{1,3}\)\s")
 _SEPARATOR = re.compile(r"\t| \| |\|$| {2,}")
 _STAMP = re.compile(r"(?:[A-Z] ){3,}")
+_ROMAN_LETTERS = re.compile(r"[ivxlcdm]+", re.I)
+_APART = re.compile(r"\s{2}|[\t|]")
 _ENDS = re.compile(r"(?:\b[a-z]\w*|[\d%)])[.!?:;]$")
 _WIDE = re.compile(r"\S {3,}\S")
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
@@ -51,7 +53,7 @@ _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 def is_page(line: str) -> bool:
     """A line that could be a page number. A roman number stands without hyphen at its end and isn't a list mark."""
     s = line.strip()
-    m = _PAGE.fullmatch(s) if s and not re.search(r"\s{2}|[\t|]", s) else None
+    m = _PAGE.fullmatch(s) if s and len(s) < 40 and not _APART.search(s) else None
     return m is not None and (not m[1] or (_ROMAN.fullmatch(m[1]) is not None and (s == m[1] or len(m[1]) > 1) and s[-1] not in HYPHENS and not s.startswith("(")))
 
 
@@ -123,8 +125,8 @@ def cells(line: str) -> int:
     return len([x for x in _SEPARATOR.split(line.strip()) if x.strip()])
 
 
-def line_features(lines: list[str], i: int, table: bool, lexicon: dict[str, int], before: str) -> list[str]:
-    """Position on the page, shape, vocabulary and neighbours of a line. ``before`` is the label of the line above."""
+def line_features(lines: list[str], i: int, table: bool, lexicon: dict[str, int], before: str, pages: list[bool]) -> list[str]:
+    """Position on the page, shape, vocabulary and neighbours of a line. ``before`` is the label of the line above, ``pages`` tells which lines may be page numbers."""
     s = lines[i].strip()
     last = i + 1 == len(lines)
     words = _WORD.findall(s)
@@ -132,17 +134,17 @@ def line_features(lines: list[str], i: int, table: bool, lexicon: dict[str, int]
     caps = sum(w[0].isupper() for w in alpha)
     known = sum(lexicon.get(w, 0) > 0 for w in alpha)
     k = i - 1
-    while k > 0 and (not lines[k].strip() or is_page(lines[k])):
+    while k > 0 and (pages[k] or not lines[k].strip()):
         k -= 1
     above, below = lines[k].rstrip() if i else "", lines[i + 1].strip() if not last else ""
-    page = is_page(s)
-    plain = bool(re.fullmatch(r"\d+", s))
+    page = pages[i]
+    plain = s.isdecimal()
     kind = "t" if table else "c"
     where = "first" if i == 0 else "last" if last else "mid"
     broken = bool(above) and above[-1] not in ".:;?!" and not _MARK.match(lines[i])
     f = ["b", "at:" + where, f"at:{where}:{kind}:page={page}:{plain}", "before:" + before, f"page={page}"]
     if page:
-        roman = bool(re.fullmatch(r"[ivxlcdm]+", s, re.I))
+        roman = bool(_ROMAN_LETTERS.fullmatch(s))
         f += [f"page:{kind}:{'plain' if plain else 'roman' if roman else 'marked'}", f"page:{kind}:{plain}:{before}", f"page:{where}:{'plain' if plain else 'marked'}", "shape:" + _shape(s)]
         if roman:
             f.append(f"roman:known={lexicon.get(s.lower(), 0) > 0}:{len(s) > 1}")
@@ -175,16 +177,35 @@ class LineModel:
 
     def __init__(self, p: Perceptron):
         self.p = p
+        self._rows: dict[str, tuple[float, float, float]] = {}
+
+    def __getstate__(self):
+        return {"p": self.p}
+
+    def __setstate__(self, state):
+        self.__init__(state["p"])
 
     def label(self, lines: list[str], table: bool, lexicon: dict[str, int]) -> list[str]:
+        """A label for each line. What can't be a page number is none; a row of three or more cells, as many as the first line has, is part of the table."""
         if len(lines) < 2:
             return ["text"] * len(lines)
+        if not self._rows:
+            self._rows = {f: tuple(row.get(x, 0.0) for x in self.labels) for f, row in self.p.w.items()}
+        get = self._rows.get
+        pages = [is_page(x) for x in lines]
+        width = cells(lines[0]) if table else 0
         out, before = [], "start"
-        for i in range(len(lines)):
-            sc = self.p.scores(line_features(lines, i, table, lexicon, before)) if lines[i].strip() else {"text": 0.0}
-            if not is_page(lines[i]):  # what can't be a page number is none
-                sc.pop("pageno", None)
-            before = max(sc, key=sc.__getitem__)
+        for i, line in enumerate(lines):
+            if not line.strip() or (width > 2 and i and not pages[i] and cells(line) == width):
+                before = "text"
+            else:
+                text = header = page = 0.0
+                for f in line_features(lines, i, table, lexicon, before, pages):
+                    if row := get(f):
+                        text, header, page = text + row[0], header + row[1], page + row[2]
+                if not pages[i]:
+                    page = -1e300
+                before = "text" if text >= header and text >= page else "header" if header >= page else "pageno"
             out.append(before)
         return out
 
@@ -340,7 +361,7 @@ class Repairer:
                 continue
             if not out:
                 out = line
-            elif self.chars.joins.best(join_features(out, line, gap, self.lexicon)) == "J":
+            elif out.rstrip()[-1:] in HYPHENS and self.chars.joins.best(join_features(out, line, gap, self.lexicon)) == "J":
                 out = out.rstrip()[:-1] + line.lstrip()
                 defects.add("hyphen")
             elif gap and out.rstrip()[-1:] not in ".:;?!" and not _MARK.match(line) and not (table and cells(out.rsplit("\n", 1)[-1]) >= cells(lines[0])):
@@ -531,9 +552,10 @@ def train_lines(texts: list[tuple[str, bool]], lexicon: dict[str, int], seed: in
             lines, before = [x for x, _ in rows], "start"
             if len(lines) < 2:
                 continue
+            pages = [is_page(x) for x in lines]
             for i, (line, truth) in enumerate(rows):
                 if line.strip():
-                    f = line_features(lines, i, table, lexicon, before)
+                    f = line_features(lines, i, table, lexicon, before, pages)
                     p.update(f, truth, p.best(f))
                 before = truth if line.strip() else "text"
     return LineModel(p.average())
