@@ -26,6 +26,8 @@ _STOP = ".!?"
 #: A sequence or escape that was not finished: replacement and C1 characters of a cut multibyte character, a lone surrogate, a backslash, half a unicode escape, half an entity.
 _HALF = re.compile(r"(?:\ufffd|[\ud800-\udfff]|[\xc2-\xf4][\x80-\x9f]{1,2}|\xe2\u20ac|\\|\\u[0-9A-Fa-f]{0,3}|&(?:#x?[0-9A-Fa-f]*|[a-z]{2,8}))$")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+_SIGN = re.compile(r'["()\[\]{}“”«»<]|```')
+_STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)([^<>]*)(>|$)")
 #: Elements that need no end tag.
 _NO_END = frozenset(["br", "hr", "img", "input", "meta", "link", "p", "li", "td", "th", "tr", "dt", "dd", "wbr", "col"])
@@ -41,53 +43,49 @@ def open_at_end(text: str, prose: bool = False) -> str:
     stack: list[str] = []
     lost: list[tuple[int, str]] = []  # openers that another closer passed over, with their depth
     names: list[str] = []
-    quoted = False
-    i, n = 0, len(text)
-    while i < n:
-        ch = text[i]
-        if quoted:
-            if ch == "\\":
-                if i + 1 == n:
-                    return "".join(x for _, x in lost) + "".join(stack) + "\\"
-                i += 1
-            elif ch == '"':
-                quoted = False
-                stack.pop()
-        elif ch == '"':
-            before, after = text[i - 1 : i], text[i + 1 : i + 2]
+    m = _SIGN.search(text)
+    while m:
+        i, ch, after = m.start(), m[0], m.end()
+        if ch == '"':
             if not prose:
-                quoted = True
-                stack.append(ch)
-            elif ch in stack and not before.isspace():
-                _close(stack, lost, ch)
-            elif (not before or before.isspace() or before in "([{“«—–/") and (not after or not after.isspace()):
-                stack.append(ch)
-        elif ch == "`" and text.startswith("```", i) and not text[text.rfind("\n", 0, i) + 1 : i].strip():
-            if "f" in stack:
-                _close(stack, lost, "f")
+                whole = _STRING.match(text, i)
+                if not whole:  # the string runs to the end
+                    stack.append(ch)
+                    break
+                after = whole.end()
             else:
-                stack.append("f")
-            i += 2
-        elif ch in "([{“«":
-            stack.append(ch)
+                before, behind = text[i - 1 : i], text[i + 1 : i + 2]
+                if ch in stack and not before.isspace():
+                    _close(stack, lost, ch)
+                elif (not before or before.isspace() or before in "([{“«—–/") and (not behind or not behind.isspace()):
+                    stack.append(ch)
+        elif ch == "```":
+            if not text[text.rfind("\n", 0, i) + 1 : i].strip():
+                if "f" in stack:
+                    _close(stack, lost, "f")
+                else:
+                    stack.append("f")
         elif ch in _PAIRS:
             _close(stack, lost, _PAIRS[ch])
-        elif ch == "<" and (m := _TAG.match(text, i)):
-            name = m[2].lower()
-            if not m[4]:
-                stack.append("<")
-            elif m[1]:
-                if name in names:
-                    while names.pop() != name:
+        elif ch == "<":
+            if tag := _TAG.match(text, i):
+                name = tag[2].lower()
+                if not tag[4]:
+                    stack.append("<")
+                elif tag[1]:
+                    if name in names:
+                        while names.pop() != name:
+                            _close(stack, lost, "<")
                         _close(stack, lost, "<")
-                    _close(stack, lost, "<")
-            elif name not in _NO_END and not m[3].rstrip().endswith("/"):
-                names.append(name)
-                stack.append("<")
-            i = m.end() - 1
-        i += 1
+                elif name not in _NO_END and not tag[3].rstrip().endswith("/"):
+                    names.append(name)
+                    stack.append("<")
+                after = tag.end()
+        else:
+            stack.append(ch)
+        m = _SIGN.search(text, after)
     out = "".join(x for _, x in sorted([*lost, *enumerate(stack)], key=lambda x: x[0]))
-    return out + ("\\" if _HALF.search(text) else "")
+    return out + ("\\" if _HALF.search(text, max(0, len(text) - 12)) else "")
 
 
 def _close(stack: list[str], lost: list[tuple[int, str]], opener: str) -> None:
