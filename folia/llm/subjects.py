@@ -71,8 +71,13 @@ class Tokens:
         keep = ~out[np.repeat(np.array([spoken[x] for x in of], np.int64), lengths), ids] if len(words) else np.zeros(0, bool)
         pair = (sent[1:] == sent[:-1]) & (keep[1:] | keep[:-1])
         span = n + n * n
-        keys = np.unique(np.concatenate([sent[keep] * span + ids[keep], sent[:-1][pair] * span + n + ids[:-1][pair] * n + ids[1:][pair]]))
-        codes, term = np.unique(keys % span if span else keys, return_inverse=True)
+        keys = np.sort(np.concatenate([sent[keep] * span + ids[keep], sent[:-1][pair] * span + n + ids[:-1][pair] * n + ids[1:][pair]]))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+        code_of = keys % span if span else keys
+        order = np.argsort(code_of, kind="stable")
+        new = np.append(True, code_of[order][1:] != code_of[order][:-1]) if len(keys) else np.zeros(0, bool)
+        codes, term = code_of[order][new], np.empty(len(keys), np.int64)
+        term[order] = np.cumsum(new) - 1
         names = [distinct[c] if c < n else f"{distinct[(c - n) // n]} {distinct[(c - n) % n]}" for c in codes.tolist()]
         return Tokens(which, np.array(sizes, np.int64), names, keys // span if span else keys, term)
 
@@ -224,7 +229,7 @@ def widen_terms(docs: DataFrame, model: Terms, min_share: float = 2e-6) -> Terms
             if not t.which:
                 continue
             post, _ = m.posteriors(t)
-            post = post * (post.max(1, keepdims=True) > 0.8)
+            post = np.where((post.max(1, keepdims=True) > 0.8) & (post > 1e-3), post, 0.0)  # zeros where a subject has next to no part: rows that pack well
             out = pd.DataFrame(np.concatenate([post.sum(0)[None], t.counts(post)]), columns=cols)
             out.insert(0, "term", ["", *t.names])
             yield out[out[cols].sum(axis=1) > 0]
@@ -284,25 +289,19 @@ class Chain:
             return [((), 0.0)] * len(shares)
         a, b = self.scale
         alone = (self.features(shares, ns, sources, sections) @ self.w + self.own) * a + b
-        on1, on2, pairs = float(self.w[_ON]) * a, float(self.w[_ON + 1]) * a, (self.pairs * a).tolist()
-        exp, log1p = math.exp, math.log1p
-        out = []
-        for zs in alone.tolist():
-            beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-            for k, z0 in enumerate(zs):
-                new = []
-                for lp, chosen in beam:
-                    z = z0
-                    if chosen:
-                        z += on1 * len(chosen) + on2 * (len(chosen) >= 2)
-                        for j in chosen:
-                            z += pairs[k][j]
-                    z = max(-50.0, min(50.0, z))
-                    new.append((lp - log1p(exp(z)), chosen))
-                    new.append((lp - log1p(exp(-z)), (*chosen, k)))
-                beam = sorted(new, reverse=True)[:width]
-            out.append((beam[0][1], beam[0][0]))
-        return out
+        on1, on2, pairs = float(self.w[_ON]) * a, float(self.w[_ON + 1]) * a, self.pairs * a
+        n, k = alone.shape
+        lp, chosen = np.zeros((n, 1)), np.zeros((n, 1, k), bool)
+        for i in range(k):  # the beams of all documents at once
+            on = chosen.sum(2)
+            z = np.clip(alone[:, i, None] + on1 * on + on2 * (on >= 2) + chosen @ pairs[i], -50.0, 50.0)
+            lp = np.concatenate([lp - np.log1p(np.exp(z)), lp - np.log1p(np.exp(-z))], axis=1)
+            taken = chosen.copy()
+            taken[:, :, i] = True
+            best = np.argsort(-lp, axis=1, kind="stable")[:, :width]
+            lp = np.take_along_axis(lp, best, 1)
+            chosen = np.take_along_axis(np.concatenate([chosen, taken], axis=1), best[:, :, None], 1)
+        return [(tuple(np.flatnonzero(c).tolist()), float(x)) for c, x in zip(chosen[:, 0], lp[:, 0], strict=True)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: np.ndarray, rounds: int = 25) -> np.ndarray:
