@@ -124,6 +124,10 @@ SQL: dict[str, str] = {
     "w AS (SELECT {'t': tbl, 'i': rec_id} AS r, regexp_extract_all(lower(x), '\\p{L}+') AS w FROM t WHERE x IS NOT NULL), "
     f"g AS ({_grams('w', 'r', 8)}), late AS (SELECT r, k FROM (SELECT r, k, row_number() OVER (PARTITION BY r, g ORDER BY k) AS nth FROM g) WHERE nth > 1), "
     "c AS (SELECT r, count(DISTINCT k + o) AS n FROM late, (SELECT unnest(range(8)) AS o) GROUP BY r) SELECT w.r.t AS tbl, w.r.i AS rec_id FROM w JOIN c ON w.r = c.r WHERE c.n >= 0.3 * len(w.w)",
+    "p4_share": "WITH t AS (SELECT 'srp' AS tbl, srp_id AS rec_id, concat_ws(chr(10), section_summaries.introduction, section_summaries.methods, section_summaries.results, section_summaries.discussion) AS x, CAST(NULL AS INTEGER) AS raw_output_length FROM srp UNION ALL SELECT 'results', result_id, raw_output, raw_output_length FROM results), "
+    "w AS (SELECT {'t': tbl, 'i': rec_id} AS r, raw_output_length, regexp_extract_all(lower(coalesce(x, '')), '\\p{L}+') AS w FROM t), "
+    f"g AS ({_grams('w', 'r', 8)}), late AS (SELECT r, k FROM (SELECT r, k, row_number() OVER (PARTITION BY r, g ORDER BY k) AS nth FROM g) WHERE nth > 1), "
+    "c AS (SELECT r, count(DISTINCT k + o) AS n FROM late, (SELECT unnest(range(8)) AS o) GROUP BY r) SELECT w.r.t AS tbl, w.r.i AS rec_id, CAST(len(w.w) AS INTEGER) AS n_words, CAST(coalesce(c.n, 0) AS INTEGER) AS n_repeated, coalesce(c.n, 0) / greatest(CAST(len(w.w) AS DOUBLE), 1) AS share, raw_output_length FROM w LEFT JOIN c ON w.r = c.r",
     "p7_found": "WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]{0,200}>', ' ', 'g')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL), "
     f"dg AS ({_grams('d', 'doc_id', 12)}), ig AS ({_grams('i', 'item_id', 12)}) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.g = ig.g",
 }
