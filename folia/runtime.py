@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,16 +27,35 @@ def not_blank(c: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; set one of our own only where it is unset."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset: in a local session a folder of this application below Java's temporary folder; on a cluster one below the session's warehouse, if that is no local path. Otherwise there
+    is no folder that all executors reach, which is an error. Checkpoints are removed with ``spark.cleaner.referenceTracking.cleanCheckpoints``, a folder of our own when the session ends.
+    """
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="folia-checkpoint-"))
+    if sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    fs = sc._jvm.org.apache.hadoop.fs
+    if sc.master.split("[")[0] == "local":
+        base = fs.Path("file:" + sc._jvm.java.lang.System.getProperty("java.io.tmpdir"))
+    else:
+        base = fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        scheme = base.toUri().getScheme() or fs.FileSystem.get(sc._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: the session runs on a cluster and its warehouse is a local path")
+    own = fs.Path(base, f"folia-checkpoints/{sc.applicationId}")
+    sc.setCheckpointDir(own.toString())
+    own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared checkpoint folder."""
+    """A new folder name in the shared checkpoint folder, removed when the session ends."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    name = f"{sc._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
