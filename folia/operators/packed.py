@@ -15,7 +15,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,12 +38,19 @@ class Field:
 
     ``delimiters``: characters that may separate values. ``clean``: a segment's text as a value (its key in the model and in the list).
     ``shape``: what the model counts instead of the value itself (for codes, whose values hardly repeat). ``listed``: keys known beforehand, to the value to write.
+    ``widest``: how many atoms an unquoted value may have; as many as the longest listed value has, and ``least_width`` at least.
     """
 
     delimiters: str
     clean: Callable[[str], str]
     shape: Callable[[str], str]
     listed: dict[str, str] = field(default_factory=dict)
+    least_width: int = 8
+    uid: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    @cached_property
+    def widest(self) -> int:
+        return max([self.least_width, *(len(atoms(v or k, self.delimiters)) for k, v in self.listed.items())])
 
 
 def clean_category(s: str) -> str:
@@ -121,24 +128,28 @@ class Model:
         return (math.log(known) if known else -12.0 - 0.2 * len(key)) - (0 if key in self.listed else 4.0 * inner)
 
 
-#: Keys of segments seen by this worker: segments recur far more often than cells.
-_KEYS: dict[tuple[int, str], str] = {}
+#: Keys of segments seen by this worker, of each field by itself: segments recur far more often than cells.
+_KEYS: dict[str, dict[str, str]] = {}
 
 
 def _key(f: Field, segment: str) -> str:
-    at = (hash(f.delimiters), segment)
-    k = _KEYS.get(at)
-    if k is None:
-        if len(_KEYS) > 300_000:
+    own = _KEYS.get(f.uid)
+    if own is None:
+        if len(_KEYS) >= 8:
             _KEYS.clear()
-        k = _KEYS[at] = f.shape(f.clean(segment))
+        own = _KEYS[f.uid] = {}
+    k = own.get(segment)
+    if k is None:
+        if len(own) > 300_000:
+            own.clear()
+        k = own[segment] = f.shape(f.clean(segment))
     return k
 
 
-def _lattice(s: str, f: Field, m: Model, widest: int):
-    """Atoms, and for each end the segments ``(start, weight, key)`` that may end there. Longer cells get narrower segments, never fewer atoms."""
+def _lattice(s: str, f: Field, m: Model, widest: int | None = None):
+    """Atoms, and for each end the segments ``(start, weight, key)`` that may end there: of the same width in cells of any length, so the work is in proportion to the atoms."""
     a = atoms(s, f.delimiters)
-    wide = widest if len(a) <= 256 else max(4, widest // 2)
+    wide = widest or f.widest
     into, out = [math.log(max(1e-6, 1 - m.split.get(x[2], 0.8))) for x in a], [math.log(max(1e-6, m.split.get(x[2], 0.8))) for x in a]
     ends = []
     for j in range(len(a)):
@@ -158,7 +169,7 @@ def _add(x: float, y: float) -> float:
     return x + math.log1p(math.exp(y - x)) if y > -1e300 else x
 
 
-def expect(s: str, f: Field, m: Model, widest: int, times: float, values: dict, seps: dict) -> None:
+def expect(s: str, f: Field, m: Model, widest: int | None, times: float, values: dict, seps: dict) -> None:
     """Adds a cell's expected counts of values and of delimiters (``[separating, all]``)."""
     a, ends = _lattice(s, f, m, widest)
     n = len(a)
@@ -180,7 +191,7 @@ def expect(s: str, f: Field, m: Model, widest: int, times: float, values: dict,
             got[1] += times
 
 
-def best_split(s: str, f: Field, m: Model, widest: int) -> list[str]:
+def best_split(s: str, f: Field, m: Model, widest: int | None = None) -> list[str]:
     """The values of the likeliest split, in order, without placeholders and empty places."""
     a, ends = _lattice(s, f, m, widest)
     best: list[tuple[float, int]] = [(0.0, 0)] + [(-1e308, 0)] * len(a)
@@ -195,11 +206,11 @@ def best_split(s: str, f: Field, m: Model, widest: int) -> list[str]:
     return [f.listed.get(f.shape(v)) or v for v in vals if v.casefold() not in PLACEHOLDERS]
 
 
-def learn_all(cells: DataFrame, fields: dict[str, Field], rounds: int = 3, min_share: float = 1e-5, widest: int = 8, prior: float = 0.5) -> dict[str, Model]:
+def learn_all(cells: DataFrame, fields: dict[str, Field], rounds: int = 3, min_share: float = 1e-5, widest: int | None = None, prior: float = 0.5) -> dict[str, Model]:
     """EM over ``cells(field string, cell string, n long)``, the distinct cells of some columns with their counts; one job a round for all columns.
 
     A cell counts ``1 + ln(n)`` times, so that a hot record doesn't turn its whole cell into a value. ``listed`` values share ``prior`` of the mass.
-    An empty table gives the prior alone.
+    An empty table gives the prior alone. ``widest`` overrules the width of all fields.
     """
     models = {c: Model({k: prior / max(1, len(f.listed)) for k in f.listed}, {}, frozenset(f.listed)) for c, f in fields.items()}
     for _ in range(rounds):
@@ -243,9 +254,9 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, Field], **how) -> Da
     fields aren't read; repeated rows give repeated results.
     """
     src = df.select(df[key].alias("_key"), *[df[c].alias(f"_f{i}") for i, c in enumerate(fields)])
-    widest = how.get("widest", 8)
+    widest = how.get("widest")
     long = src.select("_key", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_f{i}").alias("cell")) for i, c in enumerate(fields)])).alias("x")).select("_key", "x.field", "x.cell").where(not_blank(F.col("cell")))
-    cells = cut_lineage(long.groupBy("field", "cell").agg(F.count("*").alias("n")))
+    cells = cut_lineage(spread(long.groupBy("field", "cell").agg(F.count("*").alias("n"))))  # the rounds that follow run on all cores
     learned = learn_all(cells, fields, **how)
     models = {c: (f, learned[c]) for c, f in fields.items()}
 

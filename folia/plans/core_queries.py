@@ -57,7 +57,7 @@ def _p3_tables_sql() -> str:
     return "SELECT * REPLACE (CAST(entity_pos AS INTEGER) AS entity_pos, CAST(proxy_pos AS INTEGER) AS proxy_pos) FROM (" + " UNION ALL ".join(parts) + ")"
 
 
-def _p5_sql() -> str:
+def _p5_sql(found: bool = True) -> str:
     """ISSNs by their form; categories by finding every entry of the list in the cell (none is part of another)."""
     issn = "SELECT row_id, 'issn' AS field, k AS pos, substr(v, 1, 4) || '-' || right(v, 4) AS val FROM (SELECT row_id, k, upper(regexp_replace(list_extract(a, CAST(k AS INTEGER)), '[^0-9Xx]', '', 'g')) AS v FROM (SELECT row_id, a, unnest(range(1, len(a) + 1)) AS k FROM (SELECT row_id, regexp_extract_all(issn, '[0-9]{4}\\s*[-–]?\\s*[0-9]{3}[0-9Xx]') AS a FROM stage1_ga_index WHERE issn IS NOT NULL)))"
     parts = [issn]
@@ -65,8 +65,9 @@ def _p5_sql() -> str:
         cell = f"SELECT row_id, replace(replace({f}, '\"\"', '\"'), '\\\"', '\"') AS x FROM stage1_ga_index WHERE {f} IS NOT NULL"
         hits = f"SELECT row_id, category, k FROM (SELECT row_id, x, category, unnest(range(1, length(x) + 1)) AS k FROM ({cell}) JOIN category_list ON contains(x, category)) WHERE substr(x, k, length(category)) = category"
         parts.append(f"SELECT row_id, '{f}' AS field, row_number() OVER (PARTITION BY row_id ORDER BY k) AS pos, category AS val FROM ({hits})")
-    return "SELECT row_id, field, CAST(pos AS INTEGER) AS pos, val FROM (SELECT *, count(*) OVER (PARTITION BY row_id, field) AS n FROM (" + " UNION ALL ".join(parts) + ")) WHERE n >= 2"
+    columns, kept = ("", " WHERE n >= 2") if found else ("CAST(n AS INTEGER) AS n_values, ", "")
+    return f"SELECT row_id, field, CAST(pos AS INTEGER) AS pos, {columns}val FROM (SELECT *, count(*) OVER (PARTITION BY row_id, field) AS n FROM (" + " UNION ALL ".join(parts) + "))" + kept
 
 
 QUERIES = {"p3_found": p3_found, "p3_tables": p3_tables, "p5_found": p5_found, "p5_split": p5_split}
-SQL = {"p3_found": _p3_sql(), "p3_tables": _p3_tables_sql(), "p5_found": _p5_sql()}
+SQL = {"p3_found": _p3_sql(), "p3_tables": _p3_tables_sql(), "p5_found": _p5_sql(), "p5_split": _p5_sql(False)}

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folia.operators.packed import PLACEHOLDERS, Model, atoms, best_split, category_field, clean_category, clean_issn, index_fields, issn_field, learn, split_packed
+from folia.operators.packed import PLACEHOLDERS, Field, Model, _lattice, atoms, best_split, category_field, clean_category, clean_issn, index_fields, issn_field, learn, split_packed
 
 NAMES = ["Optics", "Particles, Fields", "Rights; Theory", "Metals/Alloys", "Manufacturing | Processing", 'The "Green" Chemistries', "Finance", "Ceramics", "Coatings, Films and Interfaces"]
 
@@ -67,3 +67,22 @@ def test_edge_rows(spark):
     assert got.where("row_id = 2").count() == 0
     assert got.where("row_id = 3 AND field = 'scimago_categories'").count() == 6000
     assert split_packed(df.where("false"), "row_id", fields).count() == 0
+
+
+def test_long_cells_are_split_like_short_ones():
+    """A value of many atoms is kept whole in a cell of any length, and its width may be any."""
+    six, nine = "a,b,c;d,e|f", "q,r,s,t;u,v|w,x,y"
+    f = category_field([six, nine, "other"])
+    m = Model({six: 0.3, nine: 0.3, "other": 0.3}, {}, frozenset(f.listed))
+    assert f.widest == 9
+    for times in (1, 40, 50, 700):
+        assert best_split(";".join([six] * times), f, m) == [six] * times
+        assert best_split(";".join([nine, "other"] * times), f, m) == [nine, "other"] * times
+
+
+def test_fields_of_equal_delimiters_keep_their_own_keys():
+    """The keys of segments belong to a field: another field with the same delimiters reads the same text otherwise."""
+    a, b = Field(";", str.strip, str.upper), Field(";", str.strip, str.lower)
+    m = Model({"X": 0.9, "x": 0.1}, {}, frozenset())
+    assert [k for ends in _lattice("X;x", a, m)[1] for _, _, k in ends] == ["X", "X", "X;X"]
+    assert [k for ends in _lattice("X;x", b, m)[1] for _, _, k in ends] == ["x", "x", "x;x"]
