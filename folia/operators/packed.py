@@ -120,12 +120,21 @@ class Model:
     split: dict[str, float]
     listed: frozenset[str]
 
+    @cached_property
+    def logs(self) -> dict[str, float]:
+        return {k: math.log(x) for k, x in self.theta.items() if x > 0}
+
+    @cached_property
+    def cuts(self) -> dict[str, tuple[float, float]]:
+        """Of each delimiter the log chances that it separates and that it doesn't."""
+        return {d: (math.log(max(1e-6, x)), math.log(max(1e-6, 1 - x))) for d, x in self.split.items()}
+
     def score(self, key: str, inner: int) -> float:
         """Log weight of a segment: its share; of an unknown one, less the longer it is; an unlisted one that spans delimiters pays for each."""
         if key in PLACEHOLDERS:
             return -5.0 - 6.0 * inner * bool(key == "")
-        known = self.theta.get(key)
-        return (math.log(known) if known else -12.0 - 0.2 * len(key)) - (0 if key in self.listed else 4.0 * inner)
+        known = self.logs.get(key)
+        return (-12.0 - 0.2 * len(key) if known is None else known) - (4.0 * inner if inner and key not in self.listed else 0.0)
 
 
 #: Keys of segments seen by this worker, of each field by itself: segments recur far more often than cells.
@@ -146,19 +155,40 @@ def _key(f: Field, segment: str) -> str:
     return k
 
 
+#: Atoms and segments' keys of cells seen by this worker, by field and width: the rounds of learning and the decoding read the same cells.
+_CELLS: dict[tuple[str, int], dict[str, tuple]] = {}
+
+
+def _segments(s: str, f: Field, wide: int) -> tuple[list[tuple[int, int, str]], list[list[tuple[int, str]]]]:
+    """A cell's atoms and, for each end, the segments ``(start, key)`` that may end there."""
+    own = _CELLS.get((f.uid, wide))
+    if own is None:
+        if len(_CELLS) >= 8:
+            _CELLS.clear()
+        own = _CELLS[f.uid, wide] = {}
+    got = own.get(s)
+    if got is None:
+        a = atoms(s, f.delimiters)
+        got = a, [[(i, _key(f, s[a[i][0] : a[j][1]])) for i in range(j, max(-1, j - wide), -1)] for j in range(len(a))]
+        if len(a) <= 64:  # long cells hardly recur
+            if len(own) > 30_000:
+                own.clear()
+            own[s] = got
+    return got
+
+
 def _lattice(s: str, f: Field, m: Model, widest: int | None = None):
     """Atoms, and for each end the segments ``(start, weight, key)`` that may end there: of the same width in cells of any length, so the work is in proportion to the atoms."""
-    a = atoms(s, f.delimiters)
-    wide = widest or f.widest
-    into, out = [math.log(max(1e-6, 1 - m.split.get(x[2], 0.8))) for x in a], [math.log(max(1e-6, m.split.get(x[2], 0.8))) for x in a]
-    ends = []
-    for j in range(len(a)):
-        got, inner = [], 0.0
-        for i in range(j, max(-1, j - wide), -1):
+    a, segments = _segments(s, f, widest or f.widest)
+    usual = (math.log(0.8), math.log(0.2))
+    cuts = [m.cuts.get(x[2], usual) for x in a]
+    ends, last = [], len(a) - 1
+    for j, starts in enumerate(segments):
+        got, inner, out = [], 0.0, cuts[j][0] if j < last else 0.0
+        for i, key in starts:
             if i < j:
-                inner += into[i]
-            key = _key(f, s[a[i][0] : a[j][1]])
-            got.append((i, m.score(key, j - i) + inner + (out[j] if j + 1 < len(a) else 0.0), key))
+                inner += cuts[i][1]
+            got.append((i, m.score(key, j - i) + inner + out, key))
         ends.append(got)
     return a, ends
 
