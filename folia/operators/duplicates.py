@@ -55,12 +55,12 @@ def simhash(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
     return df.select(df[key].alias("_k"), df[text].alias("_t")).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, simhash bigint")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(node, component)`` by passing on the smallest label until none changes; each round is cut off reliably. Edges stay distributed."""
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` by passing on the smallest label until none changes, however many rounds that takes; each round is cut off reliably. Edges stay distributed."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     both = cut_lineage(both)
     label = both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    while True:
         seen = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("c"))
         new = label.join(seen, label["node"] == seen["u"], "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"), (F.coalesce("c", "component") < F.col("component")).alias("changed"))
         # pointer jumping: a component's own label may have shrunk too
@@ -71,7 +71,6 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         label = new.select("node", "component")
         if done:
             return label
-    raise RuntimeError("components did not settle")
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:

@@ -93,11 +93,10 @@ def shred(df: DataFrame, key: str, columns: Iterable[str], paths: Iterable[str]
 
 
 def flat_tables(df: DataFrame, key: str, columns: Iterable[str]) -> dict[str, DataFrame]:
-    """The nodes grouped by schema path: ``{path: (key, dewey, parent, value)}``, one flat table per path of the schema."""
+    """The nodes grouped by schema path: ``{path: (key, dewey, parent, value)}``, one flat table per path of the schema, each of which shreds only its own path."""
     columns = list(columns)
-    nodes = shred(df, key, columns)
     found = [p for c in columns for p in schema_paths(df.schema[c].dataType, c)]
-    return {p: nodes.where(F.col("path") == p).select(key, "dewey", "parent", "value") for p in found}
+    return {p: shred(df, key, columns, [p]).select(key, "dewey", "parent", "value") for p in found}
 
 
 def srp_children(srp: DataFrame) -> DataFrame:

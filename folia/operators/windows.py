@@ -16,16 +16,16 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: str, value: str, out: s
     Rows are range-partitioned once and cut off reliably; partition sums are a table of partitions, their running sums the offsets; what is left is a running
     sum within (group, partition). A group of any size is spread over as many tasks as its rows need.
     """
-    r = cut_lineage(df.repartitionByRange(*by, order).withColumn("_p", F.spark_partition_id()))
-    sums = r.groupBy(*by, "_p").agg(F.sum(value).alias("_s"))
-    above = sums.withColumn("_off", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col("l._p") == F.col("r._p")]
+    r = cut_lineage(df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()))
+    sums = r.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    above = sums.withColumn("__off", F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col("l.__part") == F.col("r.__part")]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    j = r.alias("l").join(above.alias("r"), cond).select("l.*", "r._off")
-    local = F.sum(value).over(Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
-    return j.withColumn(out, F.col("_off") + local).drop("_p", "_off")
+    j = r.alias("l").join(above.alias("r"), cond).select("l.*", "r.__off")
+    local = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return j.withColumn(out, F.col("__off") + local).drop("__part", "__off")
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
@@ -88,16 +88,17 @@ def suffixed(by: list[str], ident: str, pos: str) -> Column:
     return F.when(n == 1, F.col(ident)).when(n <= 26, F.concat(F.col(ident), F.char(n + 96))).otherwise(F.concat(F.col(ident), F.lit("_"), n.cast("string")))
 
 
-def star_clusters(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 100) -> DataFrame:
+def star_clusters(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """``(key, seed)`` of the nodes in ``pairs(a, b)``, a < b: in key order, an unvisited node seeds a cluster and takes all unvisited neighbours (W10). Not transitive.
 
     The sequential rule has a parallel form: a node is a seed once all its smaller neighbours are known to be none, and is taken by its smallest seed neighbour. Each round decides
-    every node whose smaller neighbours are decided; edges and states stay distributed. Chains of over ``rounds`` neighbours in order raise an error.
+    every node whose smaller neighbours are decided, so at least the smallest that is open: it ends, after as many rounds as the longest chain of neighbours in key order needs. Edges and
+    states stay distributed.
     """
     e = cut_lineage(pairs.select(F.col("b").alias("_u"), F.col("a").alias("_v")).distinct())
     ids = e.select(F.col("_u").alias(key)).unionByName(e.select(F.col("_v").alias(key))).distinct().join(nodes.select(key).distinct(), key, "left_semi")
     state = cut_lineage(ids.withColumn("_s", F.lit(0)))
-    for _ in range(rounds):
+    while True:
         below = e.join(state.select(F.col(key).alias("_v"), F.col("_s").alias("_sv")), "_v").groupBy("_u").agg(F.max((F.col("_sv") == 1).cast("int")).alias("_seed"), F.max((F.col("_sv") == 0).cast("int")).alias("_open"))
         j = state.join(below, state[key] == below["_u"], "left")
         new = F.when(F.col("_s") != 0, F.col("_s")).when(F.coalesce("_seed", F.lit(0)) == 1, 2).when(F.coalesce("_open", F.lit(0)) == 0, 1).otherwise(0)
@@ -106,7 +107,6 @@ def star_clusters(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 10
             taken = e.join(state.where("_s = 1").select(F.col(key).alias("_v")), "_v").groupBy("_u").agg(F.min("_v").alias("_seed"))
             done = state.join(taken, state[key] == taken["_u"], "left")
             return done.select(key, F.when(F.col("_s") == 1, F.col(key)).otherwise(F.col("_seed")).alias("seed"))
-    raise RuntimeError("star clusters did not settle")
 
 
 def best_in_range(df: DataFrame, by: str, pos: str, score: str, lo: Column, hi: Column) -> DataFrame:
