@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.operators.windows import prefix_sums
+
 #: What a verdict is worth.
 VERDICT_SCORES = {"explicit": 1.0, "implied": 0.5, "absent": 0.0}
 RELATION_SCORES = {"traceable": 1.0, "partial": 0.5, "not": 0.0, "not_traceable": 0.0}
@@ -98,7 +102,16 @@ def frequencies(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def run_summary(df: DataFrame, keys: Sequence[str], status: str, latency: str, tokens: str) -> DataFrame:
     """Status counts, success share, latency, tokens."""
     ok = F.col(status) == "success"
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_success"), F.avg(ok.cast("double")).alias("success_share"), F.avg(latency).alias("mean_latency"), F.median(latency).alias("median_latency"), F.sum(tokens).alias("tokens"))
+    g = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_success"), F.avg(ok.cast("double")).alias("success_share"), F.avg(latency).alias("mean_latency"), F.sum(tokens).alias("tokens"))
+    mid = percentiles(df, [latency], [0.5], keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(latency)[0].alias("median_latency"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return g.join(mid, same, "left").select(*keys, "n", "n_success", "success_share", "mean_latency", "median_latency", "tokens")
+
+
+def readability_summary(df: DataFrame, key: str, components: Sequence[str], level: str) -> DataFrame:
+    """Per group, null as ``unknown``: the number of rows, the mean of each component and the percentages of low, medium and high rows."""
+    share = lambda v: (100.0 * F.avg((F.col(level) == v).cast("double"))).alias(f"{v}_pct")
+    return df.groupBy(group_key(F.col(key).cast("string"), "unknown").alias(key)).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in components], *[share(v) for v in ("low", "medium", "high")])
 
 
 def population_sd(xs: Column) -> Column:
@@ -115,8 +128,28 @@ def words(text: Column) -> Column:
 
 
 def percentiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated percentiles of each column as arrays."""
-    return df.groupBy(*keys).agg(*[F.percentile(c, [float(p) for p in ps]).alias(c) for c in cols])
+    """Linearly interpolated percentiles of each column as arrays, null where a group has no value.
+
+    Values are counted, distinct values placed by distributed prefix sums, and the two ranks on either side of each percentile picked out: no task holds the values of a group.
+    """
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(cols)]))
+    counts = df.select(*keys, cell.alias("_z")).select(*keys, "_z._c", "_z._x").where(F.col("_x").isNotNull()).groupBy(*keys, "_c", "_x").agg(F.count("*").alias("_n"))
+    placed = prefix_sums(counts, [*keys, "_c"], "_x", "_n", "_before")
+    sizes = counts.groupBy(*keys, "_c").agg(F.sum("_n").alias("_all"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "_c")]
+    rows = placed.alias("a").join(sizes.alias("b"), reduce(and_, on)).select("a.*", "b._all")
+    at = lambda p: F.lit(float(p)) * (F.col("_all") - 1)
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_n"))
+    lo = [F.max(F.when(holds(F.floor(at(p))), F.col("_x"))) for p in ps]
+    hi = [F.max(F.when(holds(F.ceil(at(p))), F.col("_x"))) for p in ps]
+    part = [F.max(at(p) - F.floor(at(p))) for p in ps]
+    per = rows.groupBy(*keys, "_c").agg(F.array(*[a + (b - a) * w for a, b, w in zip(lo, hi, part, strict=True)]).alias("_q"))
+    wide = per.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == i, F.col("_q"))).alias(c) for i, c in enumerate(cols)])
+    if not keys:
+        return wide
+    groups = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()  # a group without any value keeps its row
+    same = reduce(and_, [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)])
+    return groups.join(wide, same, "left").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *cols)
 
 
 def mean_ci(df: DataFrame, keys: Sequence[str], x: str, z: float = 1.96) -> DataFrame:
@@ -136,7 +169,7 @@ def slope(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 2) ->
 
 def quadrants(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows by whether two measures reach their medians."""
-    mid = df.agg(F.median(a).alias("_ma"), F.median(b).alias("_mb"))
+    mid = percentiles(df, [a, b], [0.5]).select(F.col(a)[0].alias("_ma"), F.col(b)[0].alias("_mb"))
     q = F.concat(F.when(F.col(a) >= F.col("_ma"), "high").otherwise("low"), F.lit("_"), F.when(F.col(b) >= F.col("_mb"), "high").otherwise("low"))
     j = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).crossJoin(F.broadcast(mid)).groupBy(q.alias("quadrant")).agg(F.count("*").alias("n"), F.avg(a).alias(f"mean_{a}"), F.avg(b).alias(f"mean_{b}"))
     return j.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.operators.windows import average_ranks
+from folia.operators.windows import average_ranks, prefix_sums
+from folia.runtime import cut_lineage
 
 
 def pearson(x: str, y: str) -> Column:
@@ -85,24 +86,68 @@ def gwet(long: DataFrame, unit: str, rating: str, categories: int, weighted: boo
 
 
 def krippendorff(long: DataFrame, unit: str, rating: str, level: str = "nominal") -> DataFrame:
-    """Krippendorff's alpha, nominal, ordinal or interval; units with one rating don't count.
+    """``(alpha)``: Krippendorff's alpha, nominal, ordinal or interval; units with one rating don't count, and without any variation it is null.
 
-    Coincidences come from counts per unit and value (a unit has few values); what remains is a value-by-value table, small by nature of a rating scale.
+    Disagreement within a unit and over all ratings comes from counts and moments, so no table of value pairs is built. The ordinal distance of two values is the difference of their
+    mean ranks among the ratings that count, hence the interval form on ranks.
     """
     c = long.where(F.col(rating).isNotNull()).groupBy(unit, F.col(rating).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    u = c.groupBy(unit).agg(F.sum("n").alias("m"), F.collect_list(F.struct("v", "n")).alias("x")).where("m >= 2")
-    cell = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: F.struct(a["v"].alias("a"), b["v"].alias("b"), (a["n"] * F.when(a["v"] == b["v"], a["n"] - 1).otherwise(b["n"]) / (F.col("m") - 1)).alias("o")))))
-    o = u.select(F.explode(cell).alias("z")).groupBy("z.a", "z.b").agg(F.sum("z.o").alias("o"))
-    margins = o.groupBy(F.col("a").alias("v")).agg(F.sum("o").alias("n"))
-    run = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    margins = margins.withColumn("cum", run).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    a, b = margins.alias("ma"), margins.alias("mb")
-    grid = a.crossJoin(F.broadcast(b)).where(F.col("ma.v") != F.col("mb.v"))
-    hi = F.greatest("ma.cum", "mb.cum")
-    between = hi - F.least("ma.cum", "mb.cum")  # counts above the lower value, up to the higher
-    lower_n = F.when(F.col("ma.v") < F.col("mb.v"), F.col("ma.n")).otherwise(F.col("mb.n"))
-    higher_n = F.when(F.col("ma.v") < F.col("mb.v"), F.col("mb.n")).otherwise(F.col("ma.n"))
-    delta = {"nominal": F.lit(1.0), "interval": (F.col("ma.v") - F.col("mb.v")) ** 2, "ordinal": (between + lower_n - (lower_n + higher_n) / 2) ** 2}[level]
-    d = grid.select(F.col("ma.v").alias("a"), F.col("mb.v").alias("b"), (F.col("ma.n") * F.col("mb.n") / (F.col("ma.total") - 1)).alias("e"), delta.alias("d"))
-    j = d.join(o, ["a", "b"], "left").agg(F.sum(F.coalesce("o", F.lit(0.0)) * F.col("d")).alias("do"), F.sum(F.col("e") * F.col("d")).alias("de"))
-    return j.select((1 - F.try_divide("do", F.nullif("de", F.lit(0.0)))).alias("alpha"))
+    c = c.join(c.groupBy(unit).agg(F.sum("n").alias("m")).where("m >= 2"), unit)
+    if level == "nominal":
+        inside = c.groupBy(unit).agg(F.first("m").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum((F.col("m") ** 2 - F.col("same")) / (F.col("m") - 1)).alias("do"))
+        across = c.groupBy("v").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("t"), F.sum(F.col("n").cast("double") ** 2).alias("same")).select(((F.col("t") ** 2 - F.col("same")) / (F.col("t") - 1)).alias("de"))
+    else:
+        if level == "ordinal":
+            c = cut_lineage(c)
+            ranks = prefix_sums(c.groupBy("v").agg(F.sum("n").alias("_c")).withColumn("_o", F.lit(0)), ["_o"], "v", "_c", "_before")
+            c = c.join(ranks.select("v", (F.col("_before") + F.col("_c") / 2.0).alias("x")), "v")
+        else:
+            c = c.withColumn("x", F.col("v"))
+        moments = [F.sum("n").alias("t"), F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") ** 2).alias("q")]
+        spread = 2 * (F.col("t") * F.col("q") - F.col("s") ** 2) / (F.col("t") - 1)  # the sum over ordered pairs of squared differences, over t - 1
+        inside = c.groupBy(unit).agg(*moments).agg(F.sum(spread).alias("do"))
+        across = c.agg(*moments).select(spread.alias("de"))
+    return inside.crossJoin(F.broadcast(across)).select((1 - F.try_divide("do", F.nullif("de", F.lit(0.0)))).alias("alpha"))
+
+
+#: The measures of each type of field.
+METRICS = {"nominal": ("agreement", "ac1", "alpha_nominal"), "boolean": ("agreement", "ac1", "alpha_nominal"), "ordinal": ("agreement", "ac2", "alpha_ordinal", "icc_2_1"), "score": ("agreement", "ac2", "alpha_interval", "icc_2_1")}
+
+
+def field_metrics(long: DataFrame, item: str, rater: str, value: str, kind: str, categories: int = 2) -> DataFrame:
+    """``(metric, value)``: the measures that suit the type of a field (A27). Nominal values may be text; ordinal ones and scores are whole numbers from 0 to ``categories - 1``."""
+    ok = long.where(F.col(value).isNotNull())
+    if kind in ("nominal", "boolean"):
+        levels = ok.select(value).distinct().withColumn("_z", F.xxhash64(value).cast("double"))  # names as numbers: only equality matters
+        ok = ok.join(levels, value).drop(value).withColumnRenamed("_z", value)
+    out = pair_agreement(ok.withColumn("_all", F.lit(1)), item, ["_all"], value).select(F.lit("agreement").alias("metric"), F.col("agreement").alias("value"))
+    for name in METRICS[kind][1:]:
+        if name == "ac1":
+            one = gwet_nominal(ok, item, value).select(F.col("ac"))
+        elif name == "ac2":
+            one = gwet(ok, item, value, categories, weighted=True).select("ac")
+        elif name == "icc_2_1":
+            one = icc(ok, item, rater, value).select("icc_2_1")
+        else:
+            one = krippendorff(ok, item, value, name.removeprefix("alpha_"))
+        out = out.unionByName(one.toDF("value").select(F.lit(name).alias("metric"), "value"))
+    return out
+
+
+def gwet_nominal(long: DataFrame, unit: str, rating: str) -> DataFrame:
+    """AC1 for any number of categories, those that occur: from counts, without a column per category."""
+    c = long.where(F.col(rating).isNotNull()).groupBy(unit, rating).agg(F.count("*").alias("n"))
+    u = c.groupBy(unit).agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
+    pa = u.agg(F.avg(F.when(F.col("m") >= 2, F.col("same") / (F.col("m") * (F.col("m") - 1)))).alias("pa"), F.count("*").alias("units"))
+    p = c.join(u.select(unit, "m"), unit).groupBy(rating).agg(F.sum(F.col("n") / F.col("m")).alias("s")).crossJoin(F.broadcast(pa)).select((F.col("s") / F.col("units")).alias("p"), "pa", "units")
+    g = p.agg(F.first("units").alias("n"), F.first("pa").alias("pa"), F.sum(F.col("p") * (1 - F.col("p"))).alias("s"), F.count("*").alias("q"))
+    g = g.select("n", "pa", F.when(F.col("q") > 1, F.col("s") / (F.col("q") - 1)).otherwise(0.0).alias("pe"))
+    return g.select("n", "pa", "pe", F.try_divide(F.col("pa") - F.col("pe"), 1 - F.col("pe")).alias("ac"))
+
+
+def roll_up(metrics: DataFrame, group: str, field: str) -> DataFrame:
+    """``(group, n_fields, mean)`` over fields: of each field AC2 if it has one, else AC1, else its plain agreement (A27). ``metrics(group, field, metric, value)``."""
+    best = metrics.where(F.col("metric").isin("ac2", "ac1", "agreement") & F.col("value").isNotNull())
+    order = F.when(F.col("metric") == "ac2", 0).when(F.col("metric") == "ac1", 1).otherwise(2)
+    per = best.groupBy(group, field).agg(F.min_by("value", order).alias("v"))
+    return per.groupBy(group).agg(F.count("*").alias("n_fields"), F.avg("v").alias("mean"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.runtime import cut_lineage
+
 
 def join_and_count(left: DataFrame, right: DataFrame, on: str, value: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``value`` was found, and one row ``(n_rows, n_matched, n_dropped)``."""
@@ -43,27 +45,51 @@ def tiered_lookup(left: DataFrame, key: str, tiers: Sequence[Column], lookups: S
 def similar_titles(values: DataFrame, titles: DataFrame, least: float = 0.94, min_length: int = 8) -> DataFrame:
     """``(value, title, ratio)``: for each distinct value the title of greatest gestalt ratio, if at least ``least``; the smaller title on ties.
 
-    A ratio of ``least`` needs ``2 * common characters >= least * (both lengths)``, so lengths must be close and the strings share most of their bigrams. Candidates come from an equi-join on
-    (length bucket, bigram) with a bound on shared bigrams, not from all pairs; the exact ratio follows.
+    The ratio is ``2 M / (n + m)`` for ``M`` matched characters in order. At ``least`` or more, ``e = n + m - 2 M <= (1 - least) (n + m)`` characters stay unmatched. Each one taken out or put in
+    destroys at most two bigrams, and the matched text has ``M - 1``; so of the ``k - 1`` bigrams of the shorter string, numbered where they recur, all but ``2 e`` at most are in the
+    other. By the prefix principle two such strings share one of the ``2 e + 1`` rarest numbered bigrams of each, and only those are joined, within near lengths. The exact ratio follows.
+    Null, short and single-word values have no row; strings so short that the bound says nothing are joined by length.
     """
     norm = lambda df, c: df.select(F.col(c).alias(c)).where(F.col(c).isNotNull()).distinct().where((F.length(c) >= min_length) & F.col(c).contains(" "))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(c), i, F.lit(2))))
-    v = norm(values, "value").withColumn("n", F.length("value")).withColumn("g", F.explode(grams("value")))
-    t = norm(titles, "title").withColumn("m", F.length("title")).withColumn("g", F.explode(grams("title")))
+    v, t = cut_lineage(norm(values, "value").withColumn("n", F.length("value"))), cut_lineage(norm(titles, "title").withColumn("n", F.length("title")))
+
+    def numbered(df: DataFrame, c: str) -> DataFrame:
+        """The n-th occurrence of a bigram is a token of its own."""
+        at = df.select(c, "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))).alias("i", "g"))
+        return at.select(c, "n", F.struct("g", F.row_number().over(Window.partitionBy(c, "g").orderBy("i")).alias("nth")).alias("g"))
+
+    tv, tt = numbered(v, "value"), numbered(t, "title")
+    rarity = tt.groupBy("g").agg(F.count("*").alias("f"))
+    # the greatest number of unmatched characters for a string of length n: its partner is at most n (2 - least) / least long
+    missing = F.floor((1 - least) * (F.col("n") + F.floor(F.col("n") * (2 - least) / least + 1e-9)) + 1e-9)
+
+    def prefix(df: DataFrame, c: str) -> DataFrame:
+        ranked = df.join(rarity, "g", "left").withColumn("k", F.row_number().over(Window.partitionBy(c).orderBy(F.coalesce("f", F.lit(0)), "g")))
+        near = ranked.where(F.col("k") <= 2 * missing + 1).select(c, "n", F.struct(F.lit(False).alias("short"), "g").alias("key"))
+        none = F.struct(F.lit("").alias("g"), F.lit(0).alias("nth"))
+        # where the bound allows that no bigram is shared, strings meet by their length alone
+        short = df.select(c, "n").distinct().where(F.col("n") - 1 <= 2 * missing).select(c, "n", F.struct(F.lit(True).alias("short"), none.alias("g")).alias("key"))
+        return near.unionByName(short)
+
+    pv, pt = prefix(tv, "value"), prefix(tt, "title").withColumnRenamed("n", "m")
     n, m = F.col("n"), F.col("m")
-    shared = v.join(t, "g").where((2 * F.least(n, m)) >= least * (n + m)).groupBy("value", "title", "n", "m").agg(F.count("*").alias("c"))
-    # each differing stretch costs at most two bigrams per side, repeated bigrams count once: a loose, safe bound
-    cand = shared.where(F.col("c") >= 0.5 * least * F.least(n, m) - 4)
+    cand = pv.join(pt, "key").where(2 * F.least(n, m) >= least * (n + m) - 1e-9).select("value", "title").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
         for b in batches:
-            r = [SequenceMatcher(None, x, y).ratio() for x, y in zip(b["value"], b["title"], strict=True)]
-            out = pd.DataFrame({"value": b["value"], "title": b["title"], "ratio": r})
-            yield out[out["ratio"] >= least]
-
-    got = cand.select("value", "title").mapInPandas(score, "value string, title string, ratio double")
+            keep, match, last = [], SequenceMatcher(None, "", ""), None
+            for x, y in zip(b["value"], b["title"], strict=True):
+                if y != last:  # what is known of the second string is kept
+                    match.set_seq2(y)
+                    last = y
+                match.set_seq1(x)
+                if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
+                    keep.append((x, y, r))
+            yield pd.DataFrame(keep, columns=["value", "title", "ratio"])
+
+    got = cand.mapInPandas(score, "value string, title string, ratio double")
     best = got.groupBy("value").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "title")).alias("b"))
     return best.select("value", F.col("b.title").alias("title"), (-F.col("b.r")).alias("ratio"))
 
@@ -164,3 +190,26 @@ def box_neighbours(df: DataFrame, boxes: str) -> DataFrame:
 def first_containing(pages: Column, needle: Column) -> Column:
     """The 1-based place of the first page that contains a text, 0 for none."""
     return F.array_position(F.transform(pages, lambda p: p.contains(needle)), True).cast("int")
+
+
+def locate(texts: DataFrame, pages: DataFrame, doc: str, key: str, text: str, page: str, body: str, windows: Sequence[int] = (12, 9, 7, 5), least: int = 16) -> DataFrame:
+    """``(doc, key, page, how)``: the first page that contains a text, else the first that contains a telling stretch of its words (with a digit or mathematical sign), longer stretches first.
+
+    ``how`` is whole, the number of words, or none. Texts meet only the pages of their document, by an equi-join, and a page is searched for the whole and for all stretches of one length at once. Texts of under
+    ``least`` characters aren't looked for.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    t = texts.select(doc, key, plain(F.col(text)).alias("_q"))
+    w = F.split("_q", " ")
+
+    def stretches(n: int) -> Column:
+        all_ = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.filter(all_, lambda x: (F.length(x) >= least) & x.rlike(r"[0-9=+\-*/×÷∑∏√∫∂∇≤≥≈≠±%]"))
+
+    t = t.select("*", *[stretches(n).alias(f"_w{n}") for n in windows])
+    p = pages.select(doc, F.col(page).alias("_p"), plain(F.col(body)).alias("_b"))
+    j = t.where(F.length("_q") >= least).join(p, doc)
+    hit = lambda tier, name: F.when(tier, F.struct(F.lit(name[0]).alias("tier"), F.col("_p").alias("p"), F.lit(name[1]).alias("how")))
+    tiers = [hit(F.col("_b").contains(F.col("_q")), (0, "whole"))] + [hit(F.exists(f"_w{n}", lambda x: F.col("_b").contains(x)), (i, str(n))) for i, n in enumerate(windows, 1)]
+    best = j.select(doc, key, F.coalesce(*tiers).alias("_h")).groupBy(doc, key).agg(F.min("_h").alias("_h"))
+    return t.select(doc, key).join(best, [doc, key], "left").select(doc, key, F.col("_h.p").alias(page), F.coalesce("_h.how", F.lit("none")).alias("how"))
