@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folia.operators.aggregates import percentiles
+from folia.operators.agreement import spearman
 from folia.operators.windows import average_ranks, prefix_sums
 from folia.runtime import cut_lineage
 
@@ -55,29 +59,47 @@ def residualise_one(df: DataFrame, cat: str, y: str, out: str) -> DataFrame:
     return df.join(means, df[cat].eqNullSafe(means[cat])).drop(means[cat]).crossJoin(F.broadcast(grand)).withColumn(out, F.col("_g") + F.col(y) - F.col("_m")).drop("_m", "_g")
 
 
-def residualise(df: DataFrame, cats: Sequence[str], nums: Sequence[str], y: str, out: str, max_levels: int = 300) -> DataFrame:
-    """``y`` adjusted for several categories (one-hot, at most ``max_levels`` levels each) and standardised numbers (M1)."""
-    x: list[Column] = [F.lit(1.0)]
-    for c in cats:
-        levels = [r[0] for r in df.select(c).distinct().limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels")
-        x += [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for v in sorted(v for v in levels if v is not None)]
+def residualise(df: DataFrame, cats: Sequence[str], nums: Sequence[str], y: str, out: str, max_levels: int = 300, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """``y`` adjusted for several categories (one-hot, a null is a level of its own with no column) and standardised numbers with missing indicators (M1).
+
+    Up to ``max_levels`` levels in all the normal equations are solved. Beyond that the same least-squares fit is reached by sweeps: the means of each category and the slopes of the
+    numbers are taken out of the rest in turn until nothing of the ``tolerance`` of y's deviation is left to take, so a category may have any number of levels.
+    """
+    z: list[Column] = []
     if nums:
         m = df.agg(*[e for c in nums for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
         for c in nums:
-            x += [F.coalesce((F.col(c) - m[f"m_{c}"]) / (m[f"s_{c}"] or 1.0), F.lit(0.0)), F.col(c).isNull().cast("double")]
-    beta = ols(df, x, F.col(y))
-    fitted = sum((F.lit(float(b)) * e for b, e in zip(beta, x, strict=True)), F.lit(0.0))
+            z += [F.coalesce((F.col(c) - m[f"m_{c}"]) / (m[f"s_{c}"] or 1.0), F.lit(0.0)), F.col(c).isNull().cast("double")]
     grand = df.agg(F.avg(y)).first()[0]
-    return df.withColumn(out, F.lit(grand) + F.col(y) - fitted)
+    levels = {c: [r[0] for r in df.select(c).distinct().limit(max_levels + 2).collect()] for c in cats}
+    if sum(map(len, levels.values())) <= max_levels:
+        x = [F.lit(1.0), *[F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c in cats for v in sorted(v for v in levels[c] if v is not None)], *z]
+        beta = ols(df, x, F.col(y))
+        fitted = sum((F.lit(float(b)) * e for b, e in zip(beta, x, strict=True)), F.lit(0.0))
+        return df.withColumn(out, F.lit(grand) + F.col(y) - fitted)
+    d = cut_lineage(df.withColumn("_e", (F.col(y) - F.lit(grand)).cast("double")))
+    scale = d.agg(F.stddev_pop("_e")).first()[0] or 1.0
+    for _ in range(rounds):
+        moved = 0.0
+        for c in cats:
+            means = d.groupBy(F.col(c).alias("_k")).agg(F.avg("_e").alias("_m"))  # with null as a level: the same fit, as there is an intercept
+            d = cut_lineage(d.join(means, F.col(c).eqNullSafe(F.col("_k"))).withColumn("_step", F.coalesce("_m", F.lit(0.0))).drop("_k", "_m"))
+            moved = max(moved, d.agg(F.max(F.abs("_step"))).first()[0] or 0.0)
+            d = d.withColumn("_e", F.col("_e") - F.col("_step")).drop("_step")
+        x = [F.lit(1.0), *z]
+        beta = ols(d, x, F.col("_e"))
+        step = sum((F.lit(float(b)) * e for b, e in zip(beta, x, strict=True)), F.lit(0.0))
+        d = cut_lineage(d.withColumn("_e", F.col("_e") - step))
+        if max(moved, float(np.abs(beta).max())) <= tolerance * scale:
+            break
+    return d.withColumn(out, F.lit(grand) + F.col("_e")).drop("_e")
 
 
 def percentile_scale(df: DataFrame, features: dict[str, bool], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """Adds ``n_<feature>``: 0 to 1 between two percentiles, reversed where asked; 0.5 where they are equal (M2). One aggregate, then expressions."""
-    p = df.agg(*[F.percentile(c, [lo, hi]).alias(c) for c in features]).first()
+    """Adds ``n_<feature>``: 0 to 1 between two percentiles, reversed where asked; 0.5 where they are equal (M2). Percentiles by prefix sums, then expressions."""
+    p = percentiles(df, list(features), [lo, hi]).first()
     for c, reverse in features.items():
-        if p[c] is None:
+        if p is None or p[c] is None:
             df = df.withColumn(f"n_{c}", F.lit(None).cast("double"))
             continue
         a, b = p[c]
@@ -115,25 +137,37 @@ def jumps(yearly: DataFrame, key: str, year: str, mean: str, n: str, least: int
 
 
 def random_intercept(df: DataFrame, x: Sequence[Column], y: str, group: str, grid: int = 60) -> dict[str, object]:
-    """A linear model with a random intercept per group by profile maximum likelihood.
+    """A linear model with a random intercept per group by profile maximum likelihood, with standard errors, normal p-values and 95 % intervals.
 
-    Per group only sums go back (n, sums of x and y, the shared X'X and X'y), so the fit reads the data once. One variance ratio is searched on a log grid and refined.
+    A group enters the likelihood by its size, its sums of x and y and their products. Groups of one size share their weight at any variance ratio, so Spark adds up the products by size: what
+    comes back is one row per distinct group size (fewer than the root of twice the rows), however many groups there are. The ratio is searched on a log grid and refined.
     """
     k = len(x)
-    cols = [c.cast("double").alias(f"x{i}") for i, c in enumerate(x)] + [F.col(y).cast("double").alias("y"), F.col(group).alias("g")]
+    names = [f"x{i}" for i in range(k)]
+    cols = [c.cast("double").alias(n) for n, c in zip(names, x, strict=True)] + [F.col(y).cast("double").alias("y"), F.col(group).alias("g")]
     d = df.select(*cols).dropna()
-    a, b, n = normal_equations(d, [F.col(f"x{i}") for i in range(k)], F.col("y"))
+    a, b, n = normal_equations(d, [F.col(c) for c in names], F.col("y"))
     yy = d.agg(F.sum(F.col("y") ** 2)).first()[0] or 0.0
-    g = d.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(k)]).toPandas()  # one row per group, not per record
-    ns, sy, sx = g["n"].to_numpy(float), g["sy"].to_numpy(float), g[[f"s{i}" for i in range(k)]].to_numpy(float)
+    sums = d.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), *[F.sum(c).alias(f"s{c}") for c in names])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    per = sums.groupBy("n").agg(
+        F.count("*").alias("groups"),
+        F.sum(F.col("sy") ** 2).alias("yy"),
+        *[F.sum(F.col(f"sx{i}") * F.col("sy")).alias(f"b{i}") for i in range(k)],
+        *[F.sum(F.col(f"sx{i}") * F.col(f"sx{j}")).alias(f"a{i}_{j}") for i, j in pairs],
+    ).collect()
+    ns, m = np.array([r["n"] for r in per], float), np.array([r["groups"] for r in per], float)
+    gyy, gxy, gxx = np.array([r["yy"] for r in per], float), np.array([[r[f"b{i}"] for i in range(k)] for r in per], float).reshape(len(per), k), np.zeros((len(per), k, k))
+    for i, j in pairs:
+        gxx[:, i, j] = gxx[:, j, i] = [r[f"a{i}_{j}"] for r in per]
 
     def profile(theta: float):
         c = theta / (1 + ns * theta)
-        xx, xy, ysq = a - (sx * c[:, None]).T @ sx, b - (sx * c[:, None]).T @ sy, yy - float(c @ sy**2)
+        xx, xy, ysq = a - np.tensordot(c, gxx, 1), b - c @ gxy, yy - float(c @ gyy)
         beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
         rss = max(1e-12, ysq - float(beta @ xy))
-        ll = -0.5 * (n * np.log(2 * np.pi * rss / n) + np.log1p(ns * theta).sum() + n)
-        return ll, beta, rss / n, xx
+        ll = -0.5 * (n * np.log(2 * np.pi * rss / max(1, n)) + float(m @ np.log1p(ns * theta)) + n)
+        return ll, beta, rss / max(1, n), xx
 
     thetas = np.concatenate([[0.0], np.exp(np.linspace(-8, 4, grid))])
     best = max(thetas, key=lambda t: profile(t)[0])
@@ -141,31 +175,103 @@ def random_intercept(df: DataFrame, x: Sequence[Column], y: str, group: str, gri
         best = max([best, *(best * np.exp(np.linspace(-width, width, 21)))], key=lambda t: profile(t)[0])
     ll, beta, s2, xx = profile(best)
     se = np.sqrt(np.clip(np.diag(np.linalg.pinv(xx)) * s2, 0, None))
-    return {"beta": beta, "se": se, "sigma2": s2, "tau2": best * s2, "loglik": ll, "aic": 2 * (k + 2) - 2 * ll, "n": n, "groups": len(g)}
+    p = np.array([math.erfc(abs(v / e) / math.sqrt(2)) if e > 0 else float("nan") for v, e in zip(beta, se, strict=True)])
+    return {"beta": beta, "se": se, "p": p, "lo": beta - 1.959964 * se, "hi": beta + 1.959964 * se, "sigma2": s2, "tau2": best * s2, "loglik": ll, "aic": 2 * (k + 2) - 2 * ll, "n": n, "groups": int(m.sum())}
+
+
+def dummies(df: DataFrame, col: str, drop_first: bool = True, least: int = 0, max_levels: int = 300, other: str = "other") -> tuple[DataFrame, dict[str, Column]]:
+    """The table with rare levels (fewer than ``least`` rows) and nulls of ``col`` lumped, and one 0/1 column per level in order (F45). More than ``max_levels`` levels are an error: lump them."""
+    counts = df.groupBy(col).agg(F.count("*").alias("n")).where((F.col("n") >= least) & F.col(col).isNotNull()).orderBy(F.desc("n"), col).limit(max_levels + 1).collect()
+    if len(counts) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} levels")
+    kept = [r[col] for r in counts]
+    lumped = df.withColumn(col, F.when(F.col(col).isin(kept), F.col(col)).otherwise(F.lit(other)) if kept else F.lit(other))
+    levels = sorted({*kept, *([other] if lumped.where(F.col(col) == other).limit(1).count() else [])}, key=str)
+    return lumped, {v: (F.col(col) == v).cast("double") for v in levels[1 if drop_first else 0 :]}
+
+
+def cubic_basis(c: str, knots: Sequence[float]) -> list[Column]:
+    """A natural cubic spline's columns for given knots: linear beyond the outer ones (M7). ``len(knots) - 1`` columns, the first of them ``c`` itself."""
+    cube = lambda t: F.pow(F.greatest(F.col(c) - F.lit(float(t)), F.lit(0.0)), F.lit(3.0))
+    last, before = knots[-1], knots[-2]
+    tail = lambda t: (cube(t) - cube(last)) / F.lit(float(last - t))
+    return [F.col(c).cast("double"), *[tail(t) - tail(before) for t in knots[:-2]]]
 
 
-def beta_regression(df: DataFrame, x: Sequence[Column], y: str, rounds: int = 40) -> dict[str, object]:
-    """Beta regression with logit link; ``y`` in [0, 1] is squeezed by ``(y (N - 1) + 1/2) / N`` (M8). Fisher scoring: each round is one aggregate over all rows."""
-    n = df.where(F.col(y).isNotNull()).count()
+def beta_regression(df: DataFrame, x: Sequence[Column], y: str, rounds: int = 60) -> dict[str, object]:
+    """Beta regression with logit link by maximum likelihood, with standard errors (M8): Newton steps on the likelihood of the mean's coefficients and the log precision.
+
+    ``y`` in [0, 1] is squeezed by ``(y (N - 1) + 1/2) / N`` with N the rows that take part. Each round is one pass of Arrow batches that give their score and information, summed by Spark.
+    """
     k = len(x)
-    s = (F.col(y) * (n - 1) + 0.5) / n
-    d = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)], s.alias("y")).dropna()
+    d = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)], F.col(y).cast("double").alias("y")).dropna()
+    n = d.count()
+    d = d.withColumn("y", (F.col("y") * (n - 1) + 0.5) / n)
     beta = ols(d, [F.col(f"x{i}") for i in range(k)], F.log(F.col("y") / (1 - F.col("y"))))
-    phi = 10.0
+    start = d.select(F.avg("y").alias("m"), F.var_pop("y").alias("v")).first()
+    phi = max(0.5, start["m"] * (1 - start["m"]) / max(1e-9, start["v"]) - 1) if n else 1.0
+    par = np.append(beta, np.log(phi))
+    size = 1 + (k + 1) + (k + 1) ** 2
+
+    def one_pass(at: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for b in batches:
+                total += beta_terms(b[[f"x{i}" for i in range(k)]].to_numpy(float), b["y"].to_numpy(float), at)
+            yield pd.DataFrame([total], columns=[f"t{i}" for i in range(size)])
+
+        r = d.mapInPandas(run, ", ".join(f"t{i} double" for i in range(size))).agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(size)]).first()
+        return np.array([r[i] or 0.0 for i in range(size)])
+
+    now = one_pass(par)
     for _ in range(rounds):
-        eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
-        mu = 1 / (1 + F.exp(-eta))
-        w = mu * (1 - mu)
-        # quasi-score of the mean, moment estimate of the precision
-        e = d.select("*", mu.alias("mu"), w.alias("w"))
-        r = e.agg(*[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(k)], *[F.sum((F.col("y") - F.col("mu")) * F.col(f"x{i}")).alias(f"b{i}") for i in range(k)], F.avg((F.col("y") - F.col("mu")) ** 2 / F.col("w")).alias("v")).first()
-        a = np.array([[r[f"a{i}_{j}"] for j in range(k)] for i in range(k)])
-        step = np.linalg.lstsq(a, np.array([r[f"b{i}"] for i in range(k)]), rcond=None)[0]
-        beta = beta + step
-        phi = max(1e-6, 1 / max(1e-9, r["v"]) - 1)
-        if np.abs(step).max() < 1e-8:
+        info = now[k + 2 :].reshape(k + 1, k + 1)
+        step = np.linalg.lstsq(info, now[1 : k + 2], rcond=None)[0]
+        for half in range(20):  # a step that doesn't raise the likelihood is halved
+            new = one_pass(par + step / 2**half)
+            if new[0] >= now[0] - 1e-9:
+                break
+        par, now, moved = par + step / 2**half, new, np.abs(step / 2**half).max()
+        if moved < 1e-8:
             break
-    return {"beta": beta, "phi": phi, "n": n}
+    cov = np.linalg.pinv(now[k + 2 :].reshape(k + 1, k + 1))
+    return {"beta": par[:k], "se": np.sqrt(np.clip(np.diag(cov)[:k], 0, None)), "phi": float(np.exp(par[k])), "loglik": float(now[0]), "n": n}
+
+
+def _digamma(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log gamma, digamma and trigamma of positive numbers: raised above 8 by the recurrence, then the asymptotic series."""
+    x = np.asarray(x, float)
+    lift, d, t = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
+    z = x.copy()
+    for _ in range(8):
+        low = z < 8
+        lift, d, t = lift + np.where(low, np.log(np.where(low, z, 1.0)), 0), d - np.where(low, 1 / z, 0), t + np.where(low, 1 / z**2, 0)
+        z = z + low
+    i, i2 = 1 / z, 1 / z**2
+    lg = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + i / 12 - i * i2 / 360 + i * i2**2 / 1260 - i * i2**3 / 1680
+    di = np.log(z) - i / 2 - i2 / 12 + i2**2 / 120 - i2**3 / 252 + i2**4 / 240
+    tri = i + i2 / 2 + i * i2 / 6 - i * i2**2 / 30 + i * i2**3 / 42 - i * i2**4 / 30
+    return lg - lift, di + d, tri + t
+
+
+def beta_terms(x: np.ndarray, y: np.ndarray, par: np.ndarray) -> np.ndarray:
+    """Log likelihood, score and expected information of a beta regression at ``(coefficients, log precision)``, in one vector."""
+    k = x.shape[1]
+    mu = np.clip(1 / (1 + np.exp(-np.clip(x @ par[:k], -30, 30))), 1e-9, 1 - 1e-9)
+    phi = float(np.exp(np.clip(par[k], -20, 20)))
+    a, b = mu * phi, (1 - mu) * phi
+    (la, da, ta), (lb, db, tb), (lp, dp, tp) = _digamma(a), _digamma(b), _digamma(np.array([phi]))
+    ly, l1y = np.log(y), np.log1p(-y)
+    ll = float((lp[0] - la - lb + (a - 1) * ly + (b - 1) * l1y).sum())
+    w = mu * (1 - mu)
+    star = (ly - l1y) - (da - db)
+    g_beta = x.T @ (phi * star * w)
+    g_phi = phi * float((mu * star + l1y - db + dp[0]).sum())
+    h_bb = (x * (phi**2 * (ta + tb) * w**2)[:, None]).T @ x
+    h_bp = x.T @ (phi**2 * (ta * mu - tb * (1 - mu)) * w)
+    h_pp = phi**2 * float((ta * mu**2 + tb * (1 - mu) ** 2 - tp[0]).sum())
+    info = np.block([[h_bb, h_bp[:, None]], [h_bp[None], np.array([[h_pp]])]])
+    return np.concatenate([[ll], g_beta, [g_phi], info.ravel()])
 
 
 def rank_correlation_grid(df: DataFrame, parts: Sequence[str], target: str, steps: int = 20) -> DataFrame:
@@ -192,25 +298,85 @@ def fold_of(key: str, k: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int")
 
 
-def cross_validated_ridge(df: DataFrame, key: str, x: Sequence[str], y: str, lams: Sequence[float] = (0.1, 1.0, 10.0, 100.0), folds: int = 5) -> dict[str, float]:
-    """Held-out R squared of a ridge, the penalty chosen by held-out error (M3)."""
-    d = df.withColumn("_f", fold_of(key, folds))
-    best = None
-    for lam in lams:
-        sse = sst = 0.0
-        for f in range(folds):
-            coef = ridge(d.where(F.col("_f") != f), x, y, lam)
-            r = d.where((F.col("_f") == f) & F.col(y).isNotNull()).select(((F.col(y) - predict({c: v for c, v in coef.items()})) ** 2).alias("e"), F.col(y).alias("y")).agg(F.sum("e"), F.var_pop("y") * F.count("y")).first()
-            sse, sst = sse + (r[0] or 0.0), sst + (r[1] or 0.0)
-        if best is None or sse < best[1]:
-            best = (lam, sse, sst)
-    return {"lambda": best[0], "r2": 1 - best[1] / best[2] if best[2] else float("nan")}
-
-
-def ablation(df: DataFrame, key: str, families: dict[str, Sequence[str]], y: str, lam: float = 1.0, folds: int = 3) -> list[tuple[str, float]]:
-    """Held-out R squared of each family of features, best first."""
-    got = [(n, cross_validated_ridge(df, key, c, y, (lam,), folds)["r2"]) for n, c in families.items()]
-    return sorted(got, key=lambda x: -x[1])
+class FoldMoments:
+    """Sums of products of ``[1, values, presence]`` and y by (outer, inner) fold: one pass, from which any ridge on any folds follows. A missing value counts as the training mean."""
+
+    def __init__(self, df: DataFrame, key: str, x: Sequence[str], y: str, outer: int, inner: int):
+        self.k, self.outer, self.inner = len(x), outer, inner
+        q = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in x], *[F.col(c).isNotNull().cast("double") for c in x]]
+        n = len(q)
+        d = df.where(F.col(y).isNotNull()).select(fold_of(key, outer).alias("o"), fold_of(key, inner, 43).alias("i"), F.col(y).cast("double").alias("y"), *[c.alias(f"q{j}") for j, c in enumerate(q)])
+        sums = [F.sum(F.col(f"q{a}") * F.col(f"q{b}")).alias(f"g{a}_{b}") for a in range(n) for b in range(a, n)] + [F.sum(F.col(f"q{a}") * F.col("y")).alias(f"h{a}") for a in range(n)] + [F.sum(F.col("y") ** 2).alias("yy")]
+        self.cells: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, float]] = {}
+        for r in d.groupBy("o", "i").agg(*sums).collect():
+            g = np.zeros((n, n))
+            for a in range(n):
+                for b in range(a, n):
+                    g[a, b] = g[b, a] = r[f"g{a}_{b}"]
+            self.cells[r["o"], r["i"]] = (g, np.array([r[f"h{a}"] for a in range(n)]), r["yy"])
+
+    def of(self, keep) -> tuple[np.ndarray, np.ndarray, float]:
+        n = 1 + 2 * self.k
+        g, h, yy = np.zeros((n, n)), np.zeros(n), 0.0
+        for (o, i), (a, b, c) in self.cells.items():
+            if keep(o, i):
+                g, h, yy = g + a, h + b, yy + c
+        return g, h, yy
+
+    def fit(self, g: np.ndarray, h: np.ndarray, lam: float) -> np.ndarray:
+        """Coefficients on ``[1, values, presence]`` of a ridge on standardised regressors."""
+        k = self.k
+        u, p = slice(1, 1 + k), slice(1 + k, 1 + 2 * k)
+        there = np.maximum(g[0, p], 1e-300)
+        mean = g[0, u] / there
+        sd = np.sqrt(np.maximum(np.diag(g[u, u]) / there - mean**2, 0.0))
+        sd = np.where(sd > 1e-12, sd, 1.0)
+        z = (g[u, u] - mean[:, None] * g[p, u] - g[u, p] * mean + mean[:, None] * g[p, p] * mean) / np.outer(sd, sd)
+        ybar = h[0] / max(g[0, 0], 1e-300)
+        zy = (h[u] - mean * h[p]) / sd  # standardised values sum to nothing, so y needs no centring here
+        w = np.linalg.solve(z + lam * np.eye(k), zy) / sd
+        return np.concatenate([[ybar], w, -w * mean])
+
+    @staticmethod
+    def error(c: np.ndarray, part: tuple[np.ndarray, np.ndarray, float]) -> float:
+        g, h, yy = part
+        return float(yy - 2 * c @ h + c @ g @ c)
+
+
+def nested_ridge(df: DataFrame, key: str, x: Sequence[str], y: str, lams: Sequence[float] = (0.1, 1.0, 10.0, 100.0), outer: int = 5, inner: int = 3) -> dict[str, object]:
+    """Nested cross-validation of a ridge (M3): the penalty of each outer fold is the one of least inner error on its training part, held-out rows never have a say in it.
+
+    ``{"lambdas", "r2", "spearman", "sd", "n"}``: penalties by outer fold, held-out R squared over all rows, mean and deviation over outer folds of Spearman's correlation of prediction and y.
+    """
+    m = FoldMoments(df, key, x, y, outer, inner)
+    chosen, pred, sse, d = [], None, 0.0, df.where(F.col(y).isNotNull()).withColumn("_f", fold_of(key, outer))
+    for f in range(outer):
+        err = {lam: sum(m.error(m.fit(*m.of(lambda o, i, j=j: o != f and i != j)[:2], lam), m.of(lambda o, i, j=j: o != f and i == j)) for j in range(inner)) for lam in lams}
+        lam = min(lams, key=lambda v: err[v])
+        c = m.fit(*m.of(lambda o, i: o != f)[:2], lam)
+        sse += m.error(c, m.of(lambda o, i: o == f))
+        chosen.append(lam)
+        k = len(x)
+        e = F.lit(float(c[0])) + sum((F.coalesce(F.col(v).cast("double") * float(c[1 + j]) + float(c[1 + k + j]), F.lit(0.0)) for j, v in enumerate(x)), F.lit(0.0))
+        pred = F.when(F.col("_f") == f, e) if pred is None else pred.when(F.col("_f") == f, e)
+    g, h, yy = m.of(lambda o, i: True)
+    n = g[0, 0]
+    sst = yy - h[0] ** 2 / n if n else 0.0
+    rho = [r["spearman"] for r in spearman(d.select("_f", F.round(pred, 9).alias("_p"), F.col(y).cast("double").alias("_y")), ["_f"], "_p", "_y").collect() if r["spearman"] is not None]
+    return {"lambdas": chosen, "r2": 1 - sse / sst if sst > 0 else float("nan"), "spearman": float(np.mean(rho)) if rho else float("nan"), "sd": float(np.std(rho)) if rho else float("nan"), "n": int(n)}
+
+
+def ablation(df: DataFrame, key: str, families: dict[str, Sequence[str]], y: str, baselines: dict[str, Column] | None = None, **how) -> list[tuple[str, str, int, float, float]]:
+    """``(kind, name, features, spearman, sd)``: the nested cross-validation of each family of features, best first, then direct baselines: measures taken as the prediction."""
+    got = []
+    for n, cols in families.items():
+        r = nested_ridge(df, key, cols, y, **how)
+        got.append(("ridge", n, len(cols), r["spearman"], r["sd"]))
+    got.sort(key=lambda r: (-r[3], r[1]))
+    for n, c in (baselines or {}).items():
+        r = spearman(df.select(F.lit(0).alias("_o"), F.round(c.cast("double"), 9).alias("_p"), F.col(y).cast("double").alias("_y")), ["_o"], "_p", "_y").first()
+        got.append(("baseline", n, 1, float(r["spearman"]) if r and r["spearman"] is not None else float("nan"), 0.0))
+    return got
 
 
 def trend_table(df: DataFrame, key: str, year: str, y: str, least_cell: int = 20, least_group: int = 100) -> DataFrame:
@@ -226,23 +392,43 @@ def global_trend(df: DataFrame, year: str, y: str, lo: int, hi: int, least: int
     return df.where(F.col(year).between(lo, hi) & F.col(y).isNotNull()).groupBy(year).agg(F.count("*").alias("n"), F.avg(y).alias("mean")).where(F.col("n") >= least)
 
 
-def robustness(df: DataFrame, key: str, year: str, y: str, group: str, permutations: int = 5) -> list[tuple[str, float]]:
-    """The slope of ``y`` on the year under variations: trimmed, without the largest group, adjusted, and with years drawn anew (M9, in part: README, Limits)."""
-
-    def slope_of(d: DataFrame) -> float:
-        r = d.where(F.col(y).isNotNull() & F.col(year).isNotNull()).agg(F.covar_pop(year, y), F.var_pop(year)).first()
-        return (r[0] / r[1]) if r[1] else float("nan")
+def robustness(df: DataFrame, key: str, year: str, y: str, group: str, domain: str, controls: Sequence[str], flagged: DataFrame, holdout: int, permutations: int = 5, tail: float = 0.1) -> list[tuple[str, str, float]]:
+    """``(check, measure, value)``: the year's coefficient in a mixed model (domain and controls fixed, random intercept per group) under the variations of M9.
 
-    q = df.agg(F.percentile(y, [0.05, 0.95])).first()[0]
-    top = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).first()[0]
-    out = [("all", slope_of(df)), ("trimmed", slope_of(df.where(F.col(y).between(*q)))), ("without_largest", slope_of(df.where(~F.col(group).eqNullSafe(top)))), ("adjusted", slope_of(residualise_one(df, group, y, "_a").drop(y).withColumnRenamed("_a", y)))]
-    years = df.where(F.col(year).isNotNull()).groupBy(year).count().orderBy(year).collect()
-    total = sum(r["count"] for r in years)
+    A the whole; B without the lowest ``tail`` of each control; C the middle band of the first control; D without the groups of ``flagged(group)``; E without controls; F correlations of the
+    second control with the year and with y; G ``permutations`` of the years; H years up to ``holdout``, and the later years' means.
+    """
+    d = df.where(F.col(year).isNotNull() & F.col(y).isNotNull())
+    for c in controls:
+        d = d.where(F.col(c).isNotNull())
+    first = d.agg(F.min(year)).first()[0] or 0
+    d, levels = dummies(cut_lineage(d.withColumn("_year", (F.col(year) - first).cast("double"))), domain)
+    q = percentiles(d, list(controls), [tail, 1 - tail]).first()
+
+    def fit(part: DataFrame, label: str, with_controls: bool = True) -> list[tuple[str, str, float]]:
+        x = [F.lit(1.0), F.col("_year"), *levels.values(), *([F.col(c) for c in controls] if with_controls else [])]
+        m = random_intercept(part, x, y, group)
+        return [(label, n, float(v)) for n, v in (("n", m["n"]), ("year_coef", m["beta"][1]), ("ci_lo", m["lo"][1]), ("ci_hi", m["hi"][1]), ("p", m["p"][1]))]
+
+    low = d
+    for c in controls:
+        low = low.where(F.col(c) > q[c][0])
+    out = fit(d, "A_whole") + fit(low, "B_lowest_left_out") + fit(d.where(F.col(controls[0]).between(*q[controls[0]])), "C_middle_band")
+    out += fit(d.join(flagged.select(group).distinct(), group, "left_anti"), "D_flagged_groups_left_out") + fit(d, "E_no_controls", False)
+    r = d.agg(F.corr("_year", controls[-1]), F.corr(controls[-1], y)).first()
+    out += [("F_control", "corr_year", float(r[0])), ("F_control", "corr_y", float(r[1]))]
     for p in range(permutations):
-        # a year drawn by hash from the years' own distribution: a permutation without moving rows
-        u, e, acc = F.pmod(F.xxhash64(F.lit(p), F.col(key)), F.lit(1_000_003)) / 1_000_003.0, None, 0
-        for r in years:
-            acc += r["count"]
-            e = F.when(u < acc / total, F.lit(r[year])) if e is None else e.when(u < acc / total, F.lit(r[year]))
-        out.append((f"permuted_{p}", slope_of(df.withColumn(year, e.otherwise(F.lit(years[-1][year]))))))
-    return out
+        out += [(f"G_permuted_{p}", n, v) for _, n, v in fit(permuted(d, "_year", key, p), "") if n in ("year_coef", "p")]
+    out += fit(d.where(F.col(year) <= holdout), "H_up_to_holdout")
+    later = d.where(F.col(year) > holdout).groupBy(year).agg(F.avg(y).alias("m")).orderBy(year).collect()
+    return out + [("H_later_means", str(int(r[year])), float(r["m"])) for r in later]
+
+
+def permuted(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
+    """A column's values dealt out anew: rows in hash order get the values in the order of another hash, an exact permutation. Places are distributed prefix sums, so nothing is gathered."""
+    rows = df.withColumn("_r", F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()))
+    rows = cut_lineage(rows)
+    place = lambda d, o: prefix_sums(d.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0)), ["_all"], o, "_one", "_at").drop("_one", "_all")
+    to = place(rows.drop(col), "_r").drop("_r")
+    values = place(rows.select(F.col(col), F.xxhash64(F.lit(seed + 1_000_003), F.col("_r")).alias("_v")), "_v").select(col, "_at")
+    return to.join(values, "_at").drop("_at")
