@@ -50,3 +50,8 @@ def cells_entropy(boxes: Column, width: Column, height: Column, n: int = 3) -> C
 def clutter(*parts: Column) -> Column:
     """The mean of terms capped at 1."""
     return sum((F.least(p, F.lit(1.0)) for p in parts), F.lit(0.0)) / len(parts)
+
+
+def layout_flags(edge_density: Column, whitespace: Column, components: Column, clutter_score: Column, imbalance_score: Column) -> Column:
+    """Flags of an image that is hard to read (F29): many edges, little free space, many parts, clutter, imbalance. Thresholds are fixed values."""
+    return F.struct((edge_density >= 0.15).cast("int").alias("high_edge_density"), (whitespace <= 0.20).cast("int").alias("low_whitespace"), (components >= 500).cast("int").alias("high_component_count"), (clutter_score >= 0.50).cast("int").alias("high_visual_clutter"), (imbalance_score >= 0.50).cast("int").alias("layout_imbalance"))

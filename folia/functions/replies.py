@@ -76,8 +76,16 @@ def profile(c: Column) -> Column:
 
 
 def profile_error(p: Column) -> Column:
-    """The first thing wrong with a profile."""
-    return first_error([(p.isNotNull(), "not parsed"), (p["section_summaries"].isNotNull(), "no section_summaries"), (p["key_entities"].isNotNull(), "no key_entities"), (p["causal_relations"].isNotNull(), "no causal_relations")])
+    """The first thing wrong with a profile (F24): not parsed, a missing part, a section or entity that isn't there or lacks a field. Missing causal relations count as empty ones."""
+    rules = [(p.isNotNull(), "SRP root is not a JSON object")]
+    rules += [(p[k].isNotNull(), f"Missing top-level key: {k}") for k in ("doi", "title", "section_summaries", "key_entities")]
+    rules += [(p["section_summaries"][s].isNotNull(), f"section_summaries missing section: {s}") for s in SECTIONS]
+    for s in SECTIONS:
+        es = p["key_entities"][s]
+        rules.append((es.isNotNull(), f"key_entities missing section: {s}"))
+        whole = F.forall(es, lambda e: e.isNotNull() & e["entity"].isNotNull() & e["type"].isNotNull() & e["visual_proxies"].isNotNull())
+        rules.append((whole, f"An entity in {s} is incomplete"))
+    return first_error(rules)
 
 
 def profile_counts(p: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -194,3 +194,27 @@ def asset_kind(label: Column, kind: Column) -> Column:
     """Figure, table or scheme, by label first."""
     s = F.lower(F.coalesce(label, F.lit("")))
     return F.when(s.startswith("scheme"), "scheme").when(s.startswith("tab"), "table").when(s.startswith("fig"), "figure").otherwise(F.coalesce(F.lower(kind), F.lit("figure")))
+
+
+def record_fields(doc: Column, chains: dict[str, list[str]], clean: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """A struct of fields, each the first non-blank value of its chain of paths in a JSON document, in its clean form (F43). An array counts as its first element."""
+    out = []
+    for name, paths in chains.items():
+        found = []
+        for p in paths:
+            raw = F.trim(F.get_json_object(doc, f"$.{p}"))
+            first = F.when(raw.startswith("["), F.get_json_object(doc, f"$.{p}[0]")).otherwise(raw)
+            found.append(F.when(F.coalesce(F.trim(first), F.lit("")) != "", F.trim(first)))
+        value = F.coalesce(*found)
+        out.append((clean or {}).get(name, lambda c: c)(value).alias(name))
+    return F.struct(*out)
+
+
+#: Where a paper's fields may stand; an abstract may have to come from the introduction.
+PAPER_FIELDS = {
+    "doi": ["doi", "DOI", "metadata.doi", "ids.doi"],
+    "title": ["title", "metadata.title", "article_title", "display_name"],
+    "abstract": ["abstract", "metadata.abstract", "summary", "sections.introduction"],
+    "journal": ["journal", "journal_name", "container_title", "metadata.journal", "host_venue.display_name"],
+    "publisher": ["publisher", "metadata.publisher", "host_venue.publisher"],
+}
