@@ -320,11 +320,6 @@ def a10_grouping_sets(t):
     return aggregates.group_sets(t("stage1_ga_index"), [["publication_year"], ["domain"], ["article_type"], ["publication_year", "domain"]], [F.count("*").alias("n")]).select("publication_year", "domain", "article_type", "n")
 
 
-@query("SELECT unnest(['rows', 'papers', 'with_pdf', 'mean_year']) AS metric, unnest([CAST(count(*) AS DOUBLE), CAST(count(DISTINCT paper_id) AS DOUBLE), CAST(sum(has_pdf) AS DOUBLE), round(avg(publication_year), 6)]) AS value FROM stage1_ga_index")
-def a11_health(t):
-    return _rounded(aggregates.metric_rows(t("stage1_ga_index"), {"rows": F.count("*"), "papers": F.count_distinct("paper_id"), "with_pdf": F.sum("has_pdf"), "mean_year": F.avg("publication_year")}))
-
-
 @query("SELECT field, value, count(*) AS n FROM (SELECT 'oa_status' AS field, oa_status AS value FROM stage1_ga_index UNION ALL SELECT 'article_type', article_type FROM stage1_ga_index UNION ALL SELECT 'has_ga', CAST(has_ga AS VARCHAR) FROM stage1_ga_index) GROUP BY 1, 2")
 def a14_frequencies(t):
     return aggregates.frequencies(t("stage1_ga_index"), ["oa_status", "article_type", "has_ga"])
@@ -396,11 +391,6 @@ def a26_krippendorff(t):
     return a.crossJoin(F.broadcast(b))
 
 
-@query()
-def a26_krippendorff_ordinal(t):
-    return agreement.krippendorff(_raters(t), "vec_id", "v", "ordinal")
-
-
 @query("WITH x AS (SELECT doi, 'model' AS field, model AS v FROM srp WHERE doi IS NOT NULL AND model IS NOT NULL UNION ALL SELECT doi, 'srp_variant', srp_variant FROM srp WHERE doi IS NOT NULL AND srp_variant IS NOT NULL), c AS (SELECT doi, field, v, count(*) AS n FROM x GROUP BY 1, 2, 3), g AS (SELECT doi, field, sum(n) AS n, sum(n * (n - 1)) AS same FROM c GROUP BY 1, 2) SELECT field, CAST(sum(n * (n - 1)) / 2 AS BIGINT) AS n, round(sum(same) / CAST(sum(n * (n - 1)) AS DOUBLE), 6) AS agreement FROM g GROUP BY 1")
 def a27_field_agreement(t):
     long = t("srp").select("doi", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in ("model", "srp_variant")])).alias("x")).select("doi", "x.*").where("doi IS NOT NULL AND v IS NOT NULL")
@@ -499,7 +489,7 @@ def m03_ridge(t):
 @query("SELECT b.y AS y, b.n_name, b.n, round(b.m - a.m, 2) AS jump FROM (SELECT *, lag(y) OVER (PARTITION BY n_name ORDER BY y) AS py FROM (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20)) b JOIN (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20) a ON a.n_name = b.n_name AND a.y = b.py WHERE abs(b.m - a.m) >= 10000")
 def m12_jumps(t):
     c, n = t("customer"), t("nation")
-    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     y = o.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("m"))
     return models.jumps(y, "n_name", "y", "m", "n", 20, 10_000.0).where("flag").select("y", "n_name", "n", F.round("jump", 2).alias("jump"))
 
@@ -507,23 +497,65 @@ def m12_jumps(t):
 @query("SELECT n_name, y, n, CASE WHEN n < 30 THEN 'thin' END AS flag, round(m, 2) AS m FROM (SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)")
 def m13_thin_cells(t):
     c, n = t("customer"), t("nation")
-    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     return o.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("m")).select("n_name", "y", "n", F.when(F.col("n") < 30, "thin").alias("flag"), "m")
 
 
+def _terms(spark: SparkSession, names: list[str], m: dict) -> DataFrame:
+    """A mixed model's result as rows."""
+    rows = [(n, *(float(m[c][i]) for c in ("beta", "se", "p"))) for i, n in enumerate(names)] + [(n, float(m[n]), 0.0, 1.0) for n in ("tau2", "sigma2", "aic")]
+    return spark.createDataFrame(rows, "term string, estimate double, se double, p double")
+
+
+def _trend(t) -> DataFrame:
+    """Orders as the measured items of the models: a year, a domain, a group (customer), two controls and a measure."""
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select("o_orderkey", F.year("o_orderdate").alias("year"), (F.year("o_orderdate") - 1995).cast("double").alias("y0"), F.col("c_mktsegment").alias("domain"), F.col("o_custkey").alias("g"), F.log1p(F.abs("c_acctbal")).alias("size"), ((F.col("o_orderkey") % 97) / 97).alias("sharpness"), (F.col("o_totalprice") / 1000).alias("y"))
+
+
 @query()
 def m07_random_intercept(t):
-    spark = t("region").sparkSession
-    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("g"), (F.year("o_orderdate") - 1995).cast("double").alias("y0"), (F.col("o_totalprice") / 1000).alias("y"))
-    m = models.random_intercept(o, [F.lit(1.0), F.col("y0")], "y", "g")
-    return spark.createDataFrame([("intercept", float(m["beta"][0]), float(m["se"][0])), ("year", float(m["beta"][1]), float(m["se"][1])), ("tau2", float(m["tau2"]), 0.0), ("sigma2", float(m["sigma2"]), 0.0), ("aic", float(m["aic"]), 0.0)], "term string, estimate double, se double")
+    d, levels = models.dummies(_trend(t), "domain")
+    m = models.random_intercept(d, [F.lit(1.0), F.col("y0"), *levels.values(), F.col("size"), F.col("sharpness")], "y", "g")
+    return _terms(d.sparkSession, ["intercept", "year", *map(str, levels), "size", "sharpness"], m)
+
+
+@query()
+def m07_spline(t):
+    """A natural cubic spline of the year in place of the line; its AIC tells whether it is worth its parameters."""
+    d, levels = models.dummies(_trend(t), "domain")
+    d = d.withColumn("y0", F.col("y0") + 0.0)
+    knots = [-3.0, -1.0, 0.0, 1.0, 3.0]
+    basis = models.cubic_basis("y0", knots)
+    m = models.random_intercept(d, [F.lit(1.0), *basis, *levels.values()], "y", "g")
+    return _terms(d.sparkSession, ["intercept", *[f"spline_{i}" for i in range(len(basis))], *map(str, levels)], m)
+
+
+@query()
+def m07_domain_slopes(t):
+    """A slope of the year for each domain, beside each domain's level."""
+    d, levels = models.dummies(_trend(t), "domain", drop_first=False)
+    m = models.random_intercept(d, [*levels.values(), *[c * F.col("y0") for c in levels.values()]], "y", "g")
+    return _terms(d.sparkSession, [*map(str, levels), *[f"year:{v}" for v in levels]], m)
 
 
 @query()
 def m08_beta_regression(t):
     spark = t("region").sparkSession
     m = models.beta_regression(t("lineitem").select((F.col("l_quantity") / 50).alias("y"), (F.col("l_tax") * 10).alias("x")), [F.lit(1.0), F.col("x")], "y")
-    return spark.createDataFrame([("intercept", float(m["beta"][0])), ("x", float(m["beta"][1])), ("phi", float(m["phi"]))], "term string, estimate double")
+    return spark.createDataFrame([("intercept", float(m["beta"][0]), float(m["se"][0])), ("x", float(m["beta"][1]), float(m["se"][1])), ("phi", float(m["phi"]), 0.0), ("loglik", float(m["loglik"]), 0.0)], "term string, estimate double, se double")
+
+
+@query()
+def m10_completeness_model(t):
+    """Completeness of a record (share of its sections) on its readability (words a summary, scaled) and its domain, with an intercept for each model that wrote it."""
+    s = F.col("section_summaries")
+    n = sum((aggregates.words(s[x]) for x in replies.SECTIONS), F.lit(0))
+    domain = t("stage1_ga_index").groupBy(F.col("doi_normalized").alias("doi")).agg(F.min("domain").alias("domain"))
+    d = t("srp").join(domain, "doi", "left").select((aggregates.present_count(*[s[x].isNotNull() for x in replies.SECTIONS]) / 4).alias("y"), F.log1p(n).alias("readability"), values.primary(F.col("domain"), missing="unknown", slug=True).alias("domain"), F.coalesce("model", F.lit("unknown")).alias("g"))
+    d, levels = models.dummies(d, "domain", least=30)
+    m = models.random_intercept(d, [F.lit(1.0), F.col("readability"), *levels.values()], "y", "g")
+    return _terms(d.sparkSession, ["intercept", "readability", *map(str, levels)], m)
 
 
 # ---------------------------------------------------------------- windows
@@ -636,17 +668,6 @@ def f06_parse_labels(t):
     return t("figures").select("fig_row_id", p["kind"].alias("kind"), p["number"].alias("number"))
 
 
-@query()
-def f08_mentions(t):
-    return t("documents").select("doc_id", text.mention_numbers(F.col("text")).alias("figures"), text.mention_numbers(F.col("text"), "table").alias("tables")).where("size(figures) + size(tables) > 0")
-
-
-@query("SELECT fig_row_id, CASE WHEN s IS NOT NULL THEN s ELSE assigned_section END AS section, CASE WHEN s IS NOT NULL THEN 'mention' ELSE 'stored' END AS method FROM (SELECT f.fig_row_id, f.assigned_section, m.s FROM figures f LEFT JOIN (SELECT fig_row_id, arg_min(k, (-v, k)) AS s FROM (SELECT fig_row_id, unnest(map_keys(mentions_by_section)) AS k, unnest(map_values(mentions_by_section)) AS v FROM figures) GROUP BY 1) m ON f.fig_row_id = m.fig_row_id)")
-def f09_figure_sections(t):
-    d = F.when(F.size("mentions_by_section") > 0, aggregates.dominant(F.col("mentions_by_section")))
-    return t("figures").select("fig_row_id", F.coalesce(d, F.col("assigned_section")).alias("section"), F.when(d.isNotNull(), "mention").otherwise("stored").alias("method"))
-
-
 @query("SELECT doc_id, CASE WHEN section IS NULL THEN '2.1' ELSE lower(section) END AS heading, CASE WHEN section IN ('introduction', 'methods', 'results', 'discussion') THEN section END AS label, CASE WHEN section IN ('introduction', 'methods', 'results', 'discussion') THEN 'exact' ELSE 'none' END AS source FROM documents")
 def f11_headings(t):
     h = F.initcap(F.concat_ws(" ", F.lit("2.1"), F.col("section")))
@@ -654,16 +675,13 @@ def f11_headings(t):
     return t("documents").select("doc_id", text.normal_heading(h).alias("heading"), c["label"].alias("label"), c["source"].alias("source"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(?:revealed|showed|increased|decreased|reached|levelled off|gave|remained)\\b')) AS hits FROM documents WHERE text IS NOT NULL")
-def f12_content_hits(t):
-    return t("documents").where("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit(text.CONTENT_CUES["results"])).cast("bigint").alias("hits"))
+_CUE_SQL = " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))" for p in text.CONTENT_CUES["results"])
 
 
-@query()
-def f17_table_quality(t):
-    x = t("paper_tables").select("tab_row_id", F.posexplode("tables").alias("pos", "t")).where("t.text IS NOT NULL AND trim(t.text) <> ''")
-    s = text.table_stats(F.col("t.text"))
-    return x.select("tab_row_id", "pos", s.alias("s")).select("tab_row_id", "pos", "s.*", F.round(text.table_quality(F.col("s")), 6).alias("quality"))
+@query(f"SELECT doc_id, {_CUE_SQL} AS hits, round(({_CUE_SQL}) / greatest(1.0, length(text) / 1500.0), 6) AS score FROM documents WHERE text IS NOT NULL")
+def f12_content_hits(t):
+    hits = sum((F.regexp_count("text", F.lit(p)) for p in text.CONTENT_CUES["results"]), F.lit(0))
+    return t("documents").where("text IS NOT NULL").select("doc_id", hits.cast("bigint").alias("hits"), r6(text.content_scores(F.col("text"))["results"], "score"))
 
 
 @query("SELECT doc_id, len(w) AS n, round(len(list_filter(w, lambda x: regexp_full_match(regexp_replace(x, '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g'), '[A-Z]{2,}'))) / nullif(CAST(len(w) AS DOUBLE), 0), 6) AS acronym FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)")
@@ -771,7 +789,7 @@ def prj08_valid_rows(t):
     return x.where(values.flag(F.col("has_ga")) & values.flag(F.col("has_pdf")) & F.col("doi_normalized").isNotNull()).select("row_id")
 
 
-@query()
+@query("SELECT result_id, CAST(format('{:.2f}', avg_visual_proxies_per_entity) AS DOUBLE) AS rounded FROM results")
 def prj13_report_rounding(t):
     return t("results").select("result_id", values.py_round(F.col("avg_visual_proxies_per_entity"), 2).alias("rounded"))
 
@@ -799,7 +817,7 @@ def a05_coverage_breakdown(t):
 @query("SELECT n_name, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def a08_largest_domains(t):
     c, n = t("customer"), t("nation")
-    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     return o.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean")).orderBy(F.desc("n"), "n_name").limit(10)
 
 
@@ -812,7 +830,7 @@ def a12_visual_summary(t):
 @query("WITH p AS (SELECT quantile_cont(o_totalprice, 0.3333) AS a, quantile_cont(o_totalprice, 0.6667) AS b FROM orders) SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n, round(100 * avg(CAST(o_totalprice < a AS INTEGER)), 6) AS low_pct, round(100 * avg(CAST(o_totalprice >= b AS INTEGER)), 6) AS high_pct FROM orders, p GROUP BY 1")
 def a19_yearly_bands(t):
     o = t("orders")
-    p = o.agg(F.percentile("o_totalprice", [0.3333, 0.6667]).alias("q"))
+    p = aggregates.percentiles(o, ["o_totalprice"], [0.3333, 0.6667]).withColumnRenamed("o_totalprice", "q")
     x = o.crossJoin(F.broadcast(p))
     return x.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), r6(100 * F.avg((F.col("o_totalprice") < F.col("q")[0]).cast("int")), "low_pct"), r6(100 * F.avg((F.col("o_totalprice") >= F.col("q")[1]).cast("int")), "high_pct"))
 
@@ -832,21 +850,29 @@ def m05_screened(t):
 
 @query()
 def m09_robustness(t):
+    d = _trend(t)
+    flagged = d.groupBy("g").agg((F.max("y") - F.min("y")).alias("w")).where("w > 400").select("g")
+    return d.sparkSession.createDataFrame(models.robustness(d, "o_orderkey", "year", "y", "g", "domain", ["size", "sharpness"], flagged, 1999), "check string, measure string, value double")
+
+
+@query()
+def m03_nested_ridge(t):
+    r = models.nested_ridge(t("lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "k", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     spark = t("region").sparkSession
-    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.year("o_orderdate").cast("double").alias("y"), "o_totalprice", "c_mktsegment")
-    return spark.createDataFrame(models.robustness(o, "o_orderkey", "y", "o_totalprice", "c_mktsegment"), "variant string, slope double")
+    return spark.createDataFrame([*[(f"lambda_{i}", float(v)) for i, v in enumerate(r["lambdas"])], ("r2", float(r["r2"])), ("spearman", r["spearman"]), ("spearman_sd", r["sd"]), ("n", float(r["n"]))], "measure string, value double")
 
 
 @query()
 def m11_ablation(t):
-    spark = t("region").sparkSession
-    return spark.createDataFrame(models.ablation(t("lineitem"), "l_orderkey", {"quantity": ["l_quantity"], "rates": ["l_discount", "l_tax"], "all": ["l_quantity", "l_discount", "l_tax"]}, "l_extendedprice"), "family string, r2 double")
+    li = t("lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    got = models.ablation(li, "k", {"quantity": ["l_quantity"], "rates": ["l_discount", "l_tax"], "all": ["l_quantity", "l_discount", "l_tax"]}, "l_extendedprice", {"mean_of_parts": (F.col("l_quantity") / 50 + F.col("l_discount") * 10 + F.col("l_tax") * 10) / 3, "quantity": F.col("l_quantity")})
+    return li.sparkSession.createDataFrame(got, "kind string, name string, n_features int, spearman double, sd double")
 
 
 @query("WITH c AS (SELECT n_name, CAST(year(o_orderdate) AS DOUBLE) AS y, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 20) SELECT n_name, CAST(sum(n) AS BIGINT) AS n, count(*) AS years, round(regr_slope(m, y), 2) AS slope FROM c GROUP BY 1 HAVING sum(n) >= 100 AND count(*) >= 3")
 def m14_trend_table(t):
     c, n = t("customer"), t("nation")
-    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select("n_name", F.year("o_orderdate").cast("double").alias("y"), "o_totalprice")
+    o = t("orders").join(c, F.col("o_custkey") == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).select("n_name", F.year("o_orderdate").cast("double").alias("y"), "o_totalprice")
     return models.trend_table(o, "n_name", "y", "o_totalprice").select("n_name", "n", "years", F.round("slope", 2).alias("slope"))
 
 
@@ -879,12 +905,6 @@ def f02_glyphs(t):
     return t("documents").select("doc_id", F.size(text.private_use(F.coalesce("text", F.lit("")))).alias("unmapped"), F.length(text.nfkc(F.col("text"))).alias("n"))
 
 
-@query()
-def f03_equations(t):
-    line = F.concat(F.col("p_name"), F.lit(" = "), F.col("p_size"), F.lit("  ("), F.col("p_partkey") % 99, F.lit(")"))
-    return t("part").select("p_partkey", text.equation_number(line).alias("number"), text.clean_equation(line).alias("clean"), F.array_join(text.equation_reasons(line), ";").alias("reasons"))
-
-
 @query("SELECT doc_id, coalesce(len(regexp_extract_all(text, '(?i)\\b(?:fig(?:ure|s)?|tab(?:le|les)?|sch(?:eme|emes)?)\\b\\s*\\.?\\s*\\d{1,3}')), 0) AS n FROM documents WHERE text IS NOT NULL")
 def f07_anchors(t):
     return t("documents").where("text IS NOT NULL").select("doc_id", F.size(text.anchors(F.col("text"))).cast("bigint").alias("n"))
@@ -932,11 +952,6 @@ def f23_coercion(t):
     return r.select("result_id", replies.enum_value(F.col("status"), ["success", "api_error", "schema_error"], {"json_parse_error": "schema_error"}).alias("kind"), replies.score_value(F.col("entity_count"), 1, 5).alias("score"))
 
 
-@query()
-def f25_simhash(t):
-    return duplicates.simhash(t("documents"), "doc_id", "text")
-
-
 @query("SELECT fig_row_id, round((least(bounding_box.w * bounding_box.h / 200000, 1) + least(page / 10.0, 1)) / 2, 3) AS clutter FROM figures")
 def f29_clutter(t):
     b = F.col("bounding_box")

@@ -1,6 +1,7 @@
 """Every query with SQL equals it on the smallest tables; every other one runs."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -38,6 +39,11 @@ def test_equals_sql(spark, sf, db, name):
     assert norm([[r[c] for c in sorted(cols)] for r in df.collect()]) == want
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not n.startswith("p")))
+#: What has rows only in larger tables.
+EMPTY = {"q01_enqueue"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if not re.match(r"p\d+_", n)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    rows = QUERIES[name](spark, sf).collect()
+    assert rows or name in EMPTY
