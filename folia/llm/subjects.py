@@ -229,7 +229,7 @@ def widen_terms(docs: DataFrame, model: Terms, min_share: float = 2e-6) -> Terms
             if not t.which:
                 continue
             post, _ = m.posteriors(t)
-            post = np.where((post.max(1, keepdims=True) > 0.8) & (post > 1e-3), post, 0.0)  # zeros where a subject has next to no part: rows that pack well
+            post = np.where(post > 1e-3, post, 0.0)  # zeros where a subject has next to no part: rows that pack well
             out = pd.DataFrame(np.concatenate([post.sum(0)[None], t.counts(post)]), columns=cols)
             out.insert(0, "term", ["", *t.names])
             yield out[out[cols].sum(axis=1) > 0]
