@@ -133,21 +133,18 @@ class Check:
         return None
 
 
-def _views(df: DataFrame, text: str, id_cols: list[str], freq_of, thresholds: dict[str, float]) -> DataFrame:
-    """``(ids, view, n, tokens)``: one row for each text and view, with the prefix tokens in their order."""
+def _views(df: DataFrame, id_cols: list[str], freq_of, thresholds: dict[str, float]) -> DataFrame:
+    """``(ids, view, n, tokens)``: one row for each text and view of ``df(ids, h, g)``, with the prefix tokens in their order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         freq = freq_of()
         for b in batches:
-            rows = []
-            for rec in b.itertuples(index=False):
-                ids = tuple(getattr(rec, c) for c in id_cols)
-                for view, toks in token_sets(getattr(rec, text)).items():
-                    rows.append((*ids, view, len(toks), rarity_prefix(toks, freq, thresholds[view])))
+            ids = list(zip(*(b[c] for c in id_cols), strict=True))
+            rows = [(*i, view, len(toks), rarity_prefix(toks.tolist(), freq, thresholds[view])) for view in ("h", "g") for i, toks in zip(ids, b[view], strict=True)]
             yield pd.DataFrame(rows, columns=[*id_cols, "view", "n", "tokens"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
-    return df.select(*dict.fromkeys([*id_cols, text])).mapInPandas(run, f"{kinds}, view string, n int, tokens array<string>")
+    return df.select(*id_cols, "h", "g").mapInPandas(run, f"{kinds}, view string, n int, tokens array<string>")
 
 
 def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str, float] | None = None, small: int = 20_000, max_words: int = 1_000_000, values_per_task: int = 10_000) -> DataFrame:
@@ -160,18 +157,16 @@ def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str,
     thresholds = thresholds or {"h": 0.5, "g": 0.35}
     spark = values.sparkSession
 
-    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(x,) for s in b["norm"] for toks in token_sets(s).values() for x in toks], columns=["token"])
-
     def normalise(col: str, keep: list[str], kinds: str):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = b[keep].copy()
                 out["norm"] = [normal(x) for x in b[col]]
-                yield out[out["norm"] != ""]
+                out = out[out["norm"] != ""]
+                sets = [token_sets(x) for x in out["norm"]]
+                yield out.assign(h=[x["h"] for x in sets], g=[x["g"] for x in sets])
 
-        return run, f"{kinds}, norm string"
+        return run, f"{kinds}, norm string, h array<string>, g array<string>"
 
     entry_kind = reference.schema["entry"].dataType.simpleString()
     run, schema = normalise("value", ["value"], "value string")
@@ -181,14 +176,15 @@ def best_entries(values: DataFrame, reference: DataFrame, thresholds: dict[str,
     is_small = refs.limit(small + 1).count() <= small
 
     # global rarity; only tokens of the list can join, so only those are counted, all others come first in the order
-    of_list = refs.select("norm").mapInPandas(tokenise, "token string").groupBy("token").agg(F.count("*").alias("r"))
-    of_vals = vals.select("norm").mapInPandas(tokenise, "token string").groupBy("token").agg(F.count("*").alias("v"))
+    tokens = F.explode(F.concat("h", "g")).alias("token")
+    of_list = refs.select(tokens).groupBy("token").agg(F.count("*").alias("r"))
+    of_vals = vals.select(tokens).groupBy("token").agg(F.count("*").alias("v"))
     counts = of_list.join(of_vals, "token", "left").select("token", (F.col("r") + F.coalesce("v", F.lit(0))).alias("n"))
     freq = spark.sparkContext.broadcast({r["token"]: r["n"] for r in counts.toLocalIterator()})
     # values are spread once, with their tokens in one row: candidates then arise, are made distinct and are checked where the value lies
     tasks = max(spark.sparkContext.defaultParallelism, vals.count() // values_per_task)
-    left = _views(vals, "norm", ["value", "norm"], lambda: freq.value, thresholds).repartition(tasks, "value").select("value", "norm", "view", "n", F.posexplode("tokens").alias("at", "token"))
-    right = _views(refs, "norm", ["entry", "norm"], lambda: freq.value, thresholds).select("entry", F.col("norm").alias("rnorm"), "view", F.col("n").alias("rn"), F.posexplode("tokens").alias("rat", "token"))
+    left = _views(vals, ["value", "norm"], lambda: freq.value, thresholds).repartition(tasks, "value").select("value", "norm", "view", "n", F.posexplode("tokens").alias("at", "token"))
+    right = _views(refs, ["entry", "norm"], lambda: freq.value, thresholds).select("entry", F.col("norm").alias("rnorm"), "view", F.col("n").alias("rn"), F.posexplode("tokens").alias("rat", "token"))
     if is_small:
         right = F.broadcast(right)
     t = F.when(F.col("view") == "h", thresholds["h"]).otherwise(thresholds["g"])
