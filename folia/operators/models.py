@@ -191,13 +191,24 @@ def dummies(df: DataFrame, col: str, drop_first: bool = True, least: int = 0, ma
 
 
 def cubic_basis(c: str, knots: Sequence[float]) -> list[Column]:
-    """A natural cubic spline's columns for given knots: linear beyond the outer ones (M7). ``len(knots) - 1`` columns, the first of them ``c`` itself."""
-    cube = lambda t: F.pow(F.greatest(F.col(c) - F.lit(float(t)), F.lit(0.0)), F.lit(3.0))
+    """A natural cubic spline's columns for given knots: linear beyond the outer ones (M7). ``len(knots) - 1`` columns, the first of them ``c`` itself, the others on its scale."""
+    wide = float(knots[-1] - knots[0])
+    cube = lambda t: F.pow(F.greatest((F.col(c) - F.lit(float(t))) / F.lit(wide), F.lit(0.0)), F.lit(3.0)) * F.lit(wide)
     last, before = knots[-1], knots[-2]
-    tail = lambda t: (cube(t) - cube(last)) / F.lit(float(last - t))
+    tail = lambda t: (cube(t) - cube(last)) / F.lit(float(last - t) / wide)
     return [F.col(c).cast("double"), *[tail(t) - tail(before) for t in knots[:-2]]]
 
 
+def spline_knots(df: DataFrame, c: str, n: int = 5) -> list[float]:
+    """Up to ``n`` distinct knots at even quantiles from 5 to 95 % of a column (M7); its least and greatest value if those are fewer than two."""
+    q = percentiles(df, [c], [0.05 + 0.9 * i / (n - 1) for i in range(n)]).first()
+    knots = sorted(set(q[0] or [])) if q else []
+    if len(knots) < 3:
+        r = df.agg(F.min(c), F.avg(c), F.max(c)).first()
+        knots = sorted({float(v) for v in r if v is not None})
+    return knots
+
+
 def beta_regression(df: DataFrame, x: Sequence[Column], y: str, rounds: int = 60) -> dict[str, object]:
     """Beta regression with logit link by maximum likelihood, with standard errors (M8): Newton steps on the likelihood of the mean's coefficients and the log precision.
 

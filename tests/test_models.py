@@ -121,3 +121,15 @@ def test_a_permutation_keeps_the_values(spark):
     got = models.permuted(d, "v", "k", 1).collect()
     assert sorted(r["v"] for r in got) == sorted(float(i % 7) for i in range(200)) and len({r["k"] for r in got}) == 200
     assert sum(r["v"] == r["k"] % 7 for r in got) < 80
+
+
+def test_a_natural_spline_is_linear_beyond_its_knots(spark):
+    d = spark.createDataFrame([(float(v),) for v in range(-20, 41)], "x double")
+    knots = models.spline_knots(d, "x")
+    assert np.allclose(knots, [-17.0, -3.5, 10.0, 23.5, 37.0])
+    got = d.select("x", *[c.alias(f"b{i}") for i, c in enumerate(models.cubic_basis("x", knots))]).orderBy("x").toPandas()
+    b = got.drop(columns="x").to_numpy()
+    assert b.shape[1] == 4 and np.linalg.matrix_rank(b) == 4
+    assert np.allclose(np.diff(b[got.x >= 37], n=2, axis=0), 0, atol=1e-9) and np.allclose(np.diff(b[got.x <= -17], n=2, axis=0), 0, atol=1e-9)
+    bend = np.diff(b[(got.x > -17) & (got.x < 37)], n=2, axis=0)
+    assert np.abs(bend).max() > 1e-3
