@@ -25,20 +25,31 @@ def _formulas(t):
     return p.select(F.floor(n / 10).alias("doc"), n.alias("pos"), kind.alias("raw"), F.lit("methods").alias("section"))
 
 
-@query("WITH f AS (SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS doc, p_partkey AS n, p_partkey % 10 AS k, p_partkey % 99 AS m, p_size FROM part) SELECT doc, CAST(count(*) FILTER (k NOT IN (5, 6)) + count(*) FILTER (k = 3) AS BIGINT) AS n_equations, CAST(count(*) FILTER (k = 3) * 2 AS BIGINT) + CAST(coalesce(sum(CASE WHEN k = 4 AND nx IS NOT NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_repaired FROM (SELECT *, lead(k) OVER (PARTITION BY doc ORDER BY n) AS nx FROM f) GROUP BY doc HAVING count(*) FILTER (k NOT IN (5, 6)) > 0")
+@query(
+    "WITH f AS (SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS doc, p_partkey AS n, p_partkey % 10 AS k, p_partkey % 99 AS m, p_size FROM part) SELECT "
+    "doc, CAST(count(*) FILTER (k NOT IN (5, 6)) + count(*) FILTER (k = 3) AS BIGINT) AS n_equations, CAST(count(*) FILTER (k = 3) * 2 AS BIGINT) + "
+    "CAST(coalesce(sum(CASE WHEN k = 4 AND nx IS NOT NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_repaired FROM (SELECT *, lead(k) OVER (PARTITION BY doc "
+    "ORDER BY n) AS nx FROM f) GROUP BY doc HAVING count(*) FILTER (k NOT IN (5, 6)) > 0"
+)
 def f05_equations(t):
     e = equations.extract_equations(_formulas(t), "doc", "pos", "raw", "section")
     return e.groupBy("doc").agg(F.count("*").alias("n_equations"), F.count_if(F.col("confidence") == "repaired").alias("n_repaired"))
 
 
-@query(f"SELECT p_partkey, CAST(p_partkey % 99 AS INTEGER) AS number, concat('y = ', CAST(p_size AS VARCHAR), ' x + ', CAST(p_partkey AS VARCHAR), ' (', CAST(p_partkey % 99 AS VARCHAR), ')') AS clean, false AS rejected FROM part")
+@query(
+    f"SELECT p_partkey, CAST(p_partkey % 99 AS INTEGER) AS number, concat('y = ', CAST(p_size AS VARCHAR), ' x + ', CAST(p_partkey AS VARCHAR), ' (', "
+    f"CAST(p_partkey % 99 AS VARCHAR), ')') AS clean, false AS rejected FROM part"
+)
 def f04_equation_parts(t):
     n = F.col("p_partkey")
     line = F.concat(F.lit(" y=  "), F.col("p_size"), F.lit(" x+"), n, F.lit(" ("), n % 99, F.lit(") "))
     return t("part").select("p_partkey", equations.printed_number(line).alias("number"), equations.clean_equation(line).alias("clean"), equations.rejections(line)["rejected"].alias("rejected"))
 
 
-@query("SELECT p_partkey, concat('[Equation ', CAST(p_partkey AS VARCHAR), CASE WHEN p_size % 2 = 0 THEN ', low-confidence' ELSE '' END, ': ', CASE WHEN p_size % 2 = 0 THEN 'formula not recovered' ELSE concat('a = ', CAST(p_size AS VARCHAR)) END, ']') AS block FROM part")
+@query(
+    "SELECT p_partkey, concat('[Equation ', CAST(p_partkey AS VARCHAR), CASE WHEN p_size % 2 = 0 THEN ', low-confidence' ELSE '' END, ': ', CASE WHEN "
+    "p_size % 2 = 0 THEN 'formula not recovered' ELSE concat('a = ', CAST(p_size AS VARCHAR)) END, ']') AS block FROM part"
+)
 def f03_equation_blocks(t):
     f = F.when(F.col("p_size") % 2 == 0, F.lit(" ")).otherwise(F.concat(F.lit("a="), F.col("p_size")))
     return t("part").select("p_partkey", equations.equation_block(F.col("p_partkey"), f).alias("block"))
@@ -47,7 +58,10 @@ def f03_equation_blocks(t):
 # ---------------------------------------------------------------- captions and mentions
 
 
-@query("SELECT srp_id, 3 AS n, 'fig_01,table_02,fig_S3' AS ids, length('Fig. 1. ') + length(trim(title, ' ')) AS n_first FROM srp WHERE title IS NOT NULL AND regexp_full_match(title, '[A-Za-z0-9 -]*[A-Za-z]') AND NOT regexp_matches(title, '(?i)\\b(fig|tab|sch|suppl|online|appendix|extended)')")
+@query(
+    "SELECT srp_id, 3 AS n, 'fig_01,table_02,fig_S3' AS ids, length('Fig. 1. ') + length(trim(title, ' ')) AS n_first FROM srp WHERE title IS NOT NULL AND "
+    "regexp_full_match(title, '[A-Za-z0-9 -]*[A-Za-z]') AND NOT regexp_matches(title, '(?i)\\b(fig|tab|sch|suppl|online|appendix|extended)')"
+)
 def f07_merged_captions(t):
     s = t("srp").where(F.col("title").rlike(r"^[A-Za-z0-9 -]*[A-Za-z]$") & ~F.col("title").rlike(r"(?i)\b(fig|tab|sch|suppl|online|appendix|extended)"))
     merged = F.concat(F.lit("Page head. Fig. 1. short. Table 2 Values; Figure S3: Rest. Fig. 1. "), F.trim("title"), F.lit("."))
@@ -79,7 +93,12 @@ def f09_figure_sections(t):
     return figures.map_to_sections(f, "doi", "fig_row_id", "page", "mentions_by_section", starts).select("fig_row_id", "section", "method")
 
 
-@query("WITH d AS (SELECT doi, coalesce(section, 'none') AS s, text FROM documents WHERE doi IS NOT NULL), f AS (SELECT doi, fig_row_id, 1 + fig_row_id % 4 AS n FROM figures WHERE doi IS NOT NULL), c AS (SELECT doi, s, n, count(*) AS c FROM (SELECT doi, s, unnest([1, 2, 3]) AS n FROM d UNION ALL SELECT doi, s, 4 FROM d WHERE s = 'results') GROUP BY 1, 2, 3) SELECT fig_row_id, CAST(count(*) AS INTEGER) AS n_sections, CAST(sum(c) AS BIGINT) AS n_mentions FROM f JOIN c ON f.doi = c.doi AND f.n = c.n GROUP BY 1")
+@query(
+    "WITH d AS (SELECT doi, coalesce(section, 'none') AS s, text FROM documents WHERE doi IS NOT NULL), f AS (SELECT doi, fig_row_id, 1 + fig_row_id % 4 "
+    "AS n FROM figures WHERE doi IS NOT NULL), c AS (SELECT doi, s, n, count(*) AS c FROM (SELECT doi, s, unnest([1, 2, 3]) AS n FROM d UNION ALL SELECT "
+    "doi, s, 4 FROM d WHERE s = 'results') GROUP BY 1, 2, 3) SELECT fig_row_id, CAST(count(*) AS INTEGER) AS n_sections, CAST(sum(c) AS BIGINT) AS "
+    "n_mentions FROM f JOIN c ON f.doi = c.doi AND f.n = c.n GROUP BY 1"
+)
 def f09_mentions(t):
     d = t("documents").where("doi IS NOT NULL").select("doi", F.coalesce("section", F.lit("none")).alias("section"), F.concat(F.lit("As shown in Figs. 1-3, it rose. "), F.when(F.col("section") == "results", "Fig. 4 agrees.").otherwise("")).alias("body"))
     f = t("figures").where("doi IS NOT NULL").select("doi", "fig_row_id", F.concat(F.lit("Fig. "), F.col("fig_row_id") % 4 + 1).alias("label"))
@@ -87,7 +106,11 @@ def f09_mentions(t):
     return m.select("fig_row_id", F.size("mentions").alias("n_sections"), F.aggregate(F.map_values("mentions"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_mentions"))
 
 
-@query("SELECT srp_id, CASE WHEN trim(coalesce(title, '')) = '' THEN 'missing' WHEN srp_id % 2 = 0 THEN 'suspicious' WHEN len(regexp_extract_all(title, '[\\p{L}\\p{N}_]+')) < 5 THEN 'suspicious' WHEN regexp_matches(title, '(?i)\\breferences\\b') THEN 'suspicious' ELSE 'good' END AS quality FROM srp WHERE title IS NULL OR NOT regexp_matches(title, '[^ -~]')")
+@query(
+    "SELECT srp_id, CASE WHEN trim(coalesce(title, '')) = '' THEN 'missing' WHEN srp_id % 2 = 0 THEN 'suspicious' WHEN len(regexp_extract_all(title, "
+    "'[\\p{L}\\p{N}_]+')) < 5 THEN 'suspicious' WHEN regexp_matches(title, '(?i)\\breferences\\b') THEN 'suspicious' ELSE 'good' END AS quality FROM srp "
+    "WHERE title IS NULL OR NOT regexp_matches(title, '[^ -~]')"
+)
 def f19_caption_issues(t):
     c = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "").when(F.col("srp_id") % 2 == 0, F.concat("title", F.lit(". References to others follow"))).otherwise(F.col("title"))
     return t("srp").where(F.col("title").isNull() | ~F.col("title").rlike(r"[^ -~]")).select("srp_id", captions.caption_issues(c)["quality"].alias("quality"))
@@ -100,21 +123,30 @@ def f19_sanitised(t):
     return t("figures").select("fig_row_id", captions.sanitise(c).alias("caption"))
 
 
-@query("SELECT fig_row_id, replace(x, cap, '[FIG]') AS body FROM (SELECT fig_row_id, concat('Before. ', cap, chr(10), 'After it all.') AS x, cap FROM (SELECT fig_row_id, concat('Fig. 1 Values of the quantity ', CAST(fig_row_id AS VARCHAR), ' over time.') AS cap FROM figures))")
+@query(
+    "SELECT fig_row_id, replace(x, cap, '[FIG]') AS body FROM (SELECT fig_row_id, concat('Before. ', cap, chr(10), 'After it all.') AS x, cap FROM (SELECT "
+    "fig_row_id, concat('Fig. 1 Values of the quantity ', CAST(fig_row_id AS VARCHAR), ' over time.') AS cap FROM figures))"
+)
 def f19_leakage_removed(t):
     cap = F.concat(F.lit("Fig. 1 Values of the quantity "), F.col("fig_row_id"), F.lit(" over time."))
     body = F.concat(F.lit("Before. "), F.regexp_replace(cap, "the quantity", "the\nquantity"), F.lit("\nAfter it all."))
     return t("figures").select("fig_row_id", F.regexp_replace(captions.remove_leaked(body, F.array(cap), F.array(F.lit("[FIG]"))), r" (\[FIG\]) ", "$1").alias("body")).withColumn("body", F.regexp_replace("body", r"Before\.(?! )", "Before. "))
 
 
-@query("SELECT doi, CAST(min(k) AS INTEGER) AS page, 'abstract,contact' AS classes FROM (SELECT DISTINCT doi, 1 + length(doi) % 9 AS k FROM documents WHERE doi IS NOT NULL) WHERE k <= 8 GROUP BY doi")
+@query(
+    "SELECT doi, CAST(min(k) AS INTEGER) AS page, 'abstract,contact' AS classes FROM (SELECT DISTINCT doi, 1 + length(doi) % 9 AS k FROM documents WHERE "
+    "doi IS NOT NULL) WHERE k <= 8 GROUP BY doi"
+)
 def f20_front_matter(t):
     d = t("documents").where("doi IS NOT NULL").select("doi").distinct()
     pages = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.when(i == F.length("doi") % 9 + 1, "Abstract. Write to a.b@c.org").otherwise("Plain text"))
     return d.select("doi", F.explode(captions.front_matter_pages(pages)).alias("x")).select("doi", "x.page", F.array_join("x.classes", ",").alias("classes"))
 
 
-@query("SELECT fig_row_id, CASE WHEN fig_row_id % 3 = 0 THEN 'Fig. 2. Found on its page.' WHEN fig_row_id % 3 = 1 THEN 'Figure 2: Found on the next' || chr(10) || 'in two lines.' END AS caption FROM figures")
+@query(
+    "SELECT fig_row_id, CASE WHEN fig_row_id % 3 = 0 THEN 'Fig. 2. Found on its page.' WHEN fig_row_id % 3 = 1 THEN 'Figure 2: Found on the next' || "
+    "chr(10) || 'in two lines.' END AS caption FROM figures"
+)
 def f36_captions_from_pages(t):
     k = F.col("fig_row_id") % 3
     pages = F.array(F.when(k == 0, "Text.\nFig. 2. Found on its page.\n\nMore.").otherwise("Only Fig. 21 is here."), F.when(k == 1, "Figure 2: Found on the next\nin two lines.\n\nMore.").otherwise("None."), F.lit("Fig. 2. Too late."))
@@ -132,7 +164,10 @@ _LINES_SQL = "(SELECT tab_row_id, pos, caption, text, list_filter(list_transform
 _DIGITS_SQL = "length(regexp_replace(x, '[^0-9%.,+\\-−–—/()<>±=×:]', '', 'g')) / greatest(length(x), 1)"
 
 
-@query(f"SELECT tab_row_id, CAST(pos AS INTEGER) AS pos, CAST(len(list_filter(l, lambda x: {_DIGITS_SQL} >= 0.10)) AS INTEGER) AS n_digit_lines, CAST(len(l) AS INTEGER) AS n FROM {_LINES_SQL}")
+@query(
+    f"SELECT tab_row_id, CAST(pos AS INTEGER) AS pos, CAST(len(list_filter(l, lambda x: {_DIGITS_SQL} >= 0.10)) AS INTEGER) AS n_digit_lines, CAST(len(l) "
+    f"AS INTEGER) AS n FROM {_LINES_SQL}"
+)
 def f17_line_kinds(t):
     lines = tables.lines_of(F.col("text"))
     return _bodies(t).select("tab_row_id", "pos", F.size(F.filter(lines, lambda x: tables.digit_share(x) >= 0.10)).alias("n_digit_lines"), F.size(lines).alias("n"))
@@ -151,7 +186,11 @@ def f17_caption_lines(t):
     return t("part").select("p_partkey", tables.caption_number(line).alias("number"), tables.is_mention(line).alias("mention"))
 
 
-@query("SELECT tab_row_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (c <> '') AS BIGINT) AS n_captions FROM (SELECT tab_row_id, coalesce(t.caption, '') AS c, t.text FROM (SELECT tab_row_id, unnest(tables) AS t FROM paper_tables) WHERE trim(coalesce(t.text, ''), ' ') <> '') GROUP BY 1")
+@query(
+    "SELECT tab_row_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (c <> '') AS BIGINT) AS n_captions FROM (SELECT tab_row_id, "
+    "coalesce(t.caption, '') AS c, t.text FROM (SELECT tab_row_id, unnest(tables) AS t FROM paper_tables) WHERE trim(coalesce(t.text, ''), ' ') <> '') "
+    "GROUP BY 1"
+)
 def f16_merged_tables(t):
     """Each table cut in two halves as over a page break, captured from page lines and merged again by number."""
     b = _bodies(t).select("tab_row_id", (F.col("pos") + 1).alias("num"), F.coalesce("caption", F.lit("")).alias("caption"), "text")
@@ -171,13 +210,20 @@ def _judgements(t):
     return r.select("result_id", j.alias("j"))
 
 
-@query("SELECT result_id, lower(status) AS status, CAST(causal_relations_present AS INTEGER) AS relations, CAST(greatest(entity_count, 1) AS INTEGER) AS entities, coalesce(stage2_ready, false) AS ready, 0 AS n_labels, coalesce(model, '') AS model, 2 + CAST(status IS NOT NULL AS INTEGER) + CAST(entity_count IS NOT NULL AS INTEGER) + CAST(model IS NULL AS INTEGER) AS n_changed FROM results")
+@query(
+    "SELECT result_id, lower(status) AS status, CAST(causal_relations_present AS INTEGER) AS relations, CAST(greatest(entity_count, 1) AS INTEGER) AS "
+    "entities, coalesce(stage2_ready, false) AS ready, 0 AS n_labels, coalesce(model, '') AS model, 2 + CAST(status IS NOT NULL AS INTEGER) + "
+    "CAST(entity_count IS NOT NULL AS INTEGER) + CAST(model IS NULL AS INTEGER) AS n_changed FROM results"
+)
 def f23_coerced_strict(t):
     c = coercion.coerce(F.col("j"), _JUDGE)
     return _judgements(t).select("result_id", c.alias("c")).select("result_id", "c.status", "c.relations", "c.entities", "c.ready", F.size("c.labels").alias("n_labels"), "c.model", "c.n_changed")
 
 
-@query("SELECT result_id, CASE WHEN lower(status) IN ('json_parse_error', 'schema_error') THEN 'schema_error' ELSE lower(status) END AS status, CAST(least(greatest(causal_relations_present, 1), 2) AS INTEGER) AS relations FROM results")
+@query(
+    "SELECT result_id, CASE WHEN lower(status) IN ('json_parse_error', 'schema_error') THEN 'schema_error' ELSE lower(status) END AS status, "
+    "CAST(least(greatest(causal_relations_present, 1), 2) AS INTEGER) AS relations FROM results"
+)
 def f23_coerced_alias(t):
     schema = coercion.Schema(enums=_JUDGE.enums, scores={"relations": (1, 2)})
     c = coercion.coerce(F.col("j"), schema, coercion.Policy(aliases={"status": {"json_parse_error": "schema_error"}}, clamp=True))
@@ -190,13 +236,20 @@ def f23_coerced_default(t):
     return _judgements(t).select("result_id", c.alias("c")).select("result_id", "c.status", "c.relations")
 
 
-@query("SELECT result_id, CASE WHEN entity_count IS NULL THEN 'missing or unreadable entities' WHEN status IS NULL OR lower(status) NOT IN ('success', 'api_error', 'schema_error', 'json_parse_error', 'empty_response_error') THEN 'status invalid value' WHEN causal_relations_present IS NULL OR causal_relations_present > 3 THEN 'relations not an int in [0,3]' END AS error FROM results")
+@query(
+    "SELECT result_id, CASE WHEN entity_count IS NULL THEN 'missing or unreadable entities' WHEN status IS NULL OR lower(status) NOT IN ('success', "
+    "'api_error', 'schema_error', 'json_parse_error', 'empty_response_error') THEN 'status invalid value' WHEN causal_relations_present IS NULL OR "
+    "causal_relations_present > 3 THEN 'relations not an int in [0,3]' END AS error FROM results"
+)
 def f24_first_errors(t):
     c = coercion.coerce(F.col("j"), _JUDGE)
     return _judgements(t).select("result_id", c.alias("c")).select("result_id", coercion.first_error(F.col("c"), _JUDGE).alias("error"))
 
 
-@query("SELECT srp_id, concat_ws('|', section_summaries.introduction, section_summaries.methods, section_summaries.discussion) AS texts FROM srp WHERE section_summaries IS NOT NULL")
+@query(
+    "SELECT srp_id, concat_ws('|', section_summaries.introduction, section_summaries.methods, section_summaries.discussion) AS texts FROM srp WHERE "
+    "section_summaries IS NOT NULL"
+)
 def f23_section_keys(t):
     s = F.col("section_summaries")
     j = F.to_json(F.struct(s["introduction"].alias("Background"), s["methods"].alias("Materials and Methods"), s["discussion"].alias("other")))
@@ -204,7 +257,10 @@ def f23_section_keys(t):
     return t("srp").where("section_summaries IS NOT NULL").select("srp_id", F.concat_ws("|", m["introduction"], m["methods"], m["discussion"]).alias("texts"))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(title, ''), ' ') = '' THEN 'skipped' WHEN length(title) % 5 = 0 THEN 'api_error' ELSE 'success' END AS status FROM srp) GROUP BY 1")
+@query(
+    "SELECT status, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(title, ''), ' ') = '' THEN 'skipped' WHEN length(title) % 5 = 0 THEN 'api_error' "
+    "ELSE 'success' END AS status FROM srp) GROUP BY 1"
+)
 def x02_context_retry(t):
     """A model whose context holds 60 tokens: long prompts are asked again for fewer, every fifth length fails for good."""
 
@@ -242,32 +298,50 @@ def _pages(t):
     return f.groupBy("doi", "page", "extraction_timestamp").agg(F.collect_list("bounding_box").alias("b"), F.min("fig_row_id").alias("fig_row_id"))
 
 
-@query(f"SELECT min(k) AS fig_row_id, round(sum(greatest(least(b.x + b.w, 333.0) - greatest(b.x, 0.0), 0) * greatest(least(b.y + b.h, 333.0) - greatest(b.y, 0.0), 0)) / nullif(sum(greatest(least(b.x + b.w, 1000.0) - greatest(b.x, 0.0), 0) * greatest(least(b.y + b.h, 1000.0) - greatest(b.y, 0.0), 0)), 0), 6) AS first_cell FROM {_PAGES} GROUP BY doi, page, z")
+@query(
+    f"SELECT min(k) AS fig_row_id, round(sum(greatest(least(b.x + b.w, 333.0) - greatest(b.x, 0.0), 0) * greatest(least(b.y + b.h, 333.0) - greatest(b.y, "
+    f"0.0), 0)) / nullif(sum(greatest(least(b.x + b.w, 1000.0) - greatest(b.x, 0.0), 0) * greatest(least(b.y + b.h, 1000.0) - greatest(b.y, 0.0), 0)), 0), "
+    f"6) AS first_cell FROM {_PAGES} GROUP BY doi, page, z"
+)
 def f42_grid_weights(t):
     w = figures.grid_weights(F.col("b"), F.lit(1000.0), F.lit(1000.0))
     total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
     return _pages(t).select("fig_row_id", F.when(total > 0, r6(w[0])).alias("first_cell"))
 
 
-@query(f"WITH p AS (SELECT min(k) AS fig_row_id, list(b) AS bs FROM {_PAGES} GROUP BY doi, page, z), c AS (SELECT fig_row_id, x, y, len(list_filter(bs, lambda b: b.x <= x AND x < b.x + b.w AND b.y <= y AND y < b.y + b.h)) > 0 AS hit FROM p, (SELECT (unnest(range(60)) + 0.5) * (1000 / 60.0) AS x), (SELECT (unnest(range(60)) + 0.5) * (1000 / 60.0) AS y)) SELECT fig_row_id, round(count(*) FILTER (hit) / 3600.0, 6) AS share FROM c GROUP BY 1")
+@query(
+    f"WITH p AS (SELECT min(k) AS fig_row_id, list(b) AS bs FROM {_PAGES} GROUP BY doi, page, z), c AS (SELECT fig_row_id, x, y, len(list_filter(bs, lambda "
+    f"b: b.x <= x AND x < b.x + b.w AND b.y <= y AND y < b.y + b.h)) > 0 AS hit FROM p, (SELECT (unnest(range(60)) + 0.5) * (1000 / 60.0) AS x), (SELECT "
+    f"(unnest(range(60)) + 0.5) * (1000 / 60.0) AS y)) SELECT fig_row_id, round(count(*) FILTER (hit) / 3600.0, 6) AS share FROM c GROUP BY 1"
+)
 def f27_union_share(t):
     """The share of the page covered by its boxes together, on a grid of 60 by 60 here."""
     return _pages(t).select("fig_row_id", r6(figures.union_share(F.col("b"), F.lit(1000.0), F.lit(1000.0), 60), "share"))
 
 
-@query("SELECT fig_row_id, concat_ws(';', CASE WHEN b IS NULL THEN 'no_box' END, CASE WHEN least(b.w, b.h) < 50 THEN 'small_side' END, CASE WHEN b.w * b.h < 5000 THEN 'small_area' END, CASE WHEN greatest(b.w, b.h) / least(b.w, b.h) > 10 THEN 'extreme_aspect' END, CASE WHEN b IS NOT NULL AND n > 1 THEN 'repeated_box' END) AS reasons FROM (SELECT fig_row_id, bounding_box AS b, count(*) OVER (PARTITION BY doi, bounding_box) AS n FROM figures)")
+@query(
+    "SELECT fig_row_id, concat_ws(';', CASE WHEN b IS NULL THEN 'no_box' END, CASE WHEN least(b.w, b.h) < 50 THEN 'small_side' END, CASE WHEN b.w * b.h < "
+    "5000 THEN 'small_area' END, CASE WHEN greatest(b.w, b.h) / least(b.w, b.h) > 10 THEN 'extreme_aspect' END, CASE WHEN b IS NOT NULL AND n > 1 THEN "
+    "'repeated_box' END) AS reasons FROM (SELECT fig_row_id, bounding_box AS b, count(*) OVER (PARTITION BY doi, bounding_box) AS n FROM figures)"
+)
 def f32_suspects_with_repeats(t):
     return figures.suspects(t("figures"), "doi", "fig_row_id", "bounding_box").select("fig_row_id", F.array_join("reasons", ";").alias("reasons"))
 
 
-@query("SELECT doi, page, max(bounding_box.w * bounding_box.h) AS area FROM figures WHERE doi IS NOT NULL AND page IS NOT NULL AND bounding_box.w * bounding_box.h >= 0.02 * 1000000 GROUP BY 1, 2")
+@query(
+    "SELECT doi, page, max(bounding_box.w * bounding_box.h) AS area FROM figures WHERE doi IS NOT NULL AND page IS NOT NULL AND bounding_box.w * "
+    "bounding_box.h >= 0.02 * 1000000 GROUP BY 1, 2"
+)
 def f37_largest_boxes(t):
     f = t("figures").where("doi IS NOT NULL AND page IS NOT NULL").select(F.struct("doi", "page").alias("p"), "bounding_box")
     b = F.col("bounding_box")
     return figures.recover_box(f, "p", "bounding_box", 1_000_000.0).select("p.doi", "p.page", (b["w"] * b["h"]).alias("area"))
 
 
-@query("SELECT doc_id, CASE WHEN section IN ('introduction', 'methods', 'results', 'discussion') THEN section WHEN section IS NULL THEN 'unknown' ELSE trim(regexp_replace(lower(section), '[^a-z0-9]+', '_', 'g'), '_') END AS key FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN section IN ('introduction', 'methods', 'results', 'discussion') THEN section WHEN section IS NULL THEN 'unknown' ELSE "
+    "trim(regexp_replace(lower(section), '[^a-z0-9]+', '_', 'g'), '_') END AS key FROM documents"
+)
 def f39_section_keys(t):
     return t("documents").select("doc_id", figures.section_key(figures.guess_role(F.col("section")), F.col("section")).alias("key"))
 
@@ -301,14 +375,23 @@ def a27_field_metrics(t):
     return m.select("g", "field", "metric", r6(F.col("value"), "value")).unionByName(agreement.roll_up(m, "g", "field").select("g", F.lit("*").alias("field"), F.lit("roll_up").alias("metric"), r6(F.col("mean"), "value")))
 
 
-@query("SELECT coalesce(nullif(trim(domain, ' '), ''), 'unknown') AS domain, count(*) AS n, round(avg(has_ga), 6) AS mean_has_ga, round(avg(has_pdf), 6) AS mean_has_pdf, round(100.0 * avg(CAST(l = 'low' AS INTEGER)), 6) AS low_pct, round(100.0 * avg(CAST(l = 'medium' AS INTEGER)), 6) AS medium_pct, round(100.0 * avg(CAST(l = 'high' AS INTEGER)), 6) AS high_pct FROM (SELECT *, CASE row_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS l FROM stage1_ga_index) GROUP BY 1")
+@query(
+    "SELECT coalesce(nullif(trim(domain, ' '), ''), 'unknown') AS domain, count(*) AS n, round(avg(has_ga), 6) AS mean_has_ga, round(avg(has_pdf), 6) AS "
+    "mean_has_pdf, round(100.0 * avg(CAST(l = 'low' AS INTEGER)), 6) AS low_pct, round(100.0 * avg(CAST(l = 'medium' AS INTEGER)), 6) AS medium_pct, "
+    "round(100.0 * avg(CAST(l = 'high' AS INTEGER)), 6) AS high_pct FROM (SELECT *, CASE row_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END "
+    "AS l FROM stage1_ga_index) GROUP BY 1"
+)
 def a13_readability(t):
     x = t("stage1_ga_index").withColumn("l", F.when(F.col("row_id") % 3 == 0, "low").when(F.col("row_id") % 3 == 1, "medium").otherwise("high"))
     g = aggregates.readability_summary(x, "domain", ["has_ga", "has_pdf"], "l")
     return g.select("domain", "n", *[r6(F.col(c), c) for c in ("mean_has_ga", "mean_has_pdf", "low_pct", "medium_pct", "high_pct")])
 
 
-@query("SELECT fig_row_id, CAST(row_number() OVER (PARTITION BY doi ORDER BY s, n, fig_row_id) AS BIGINT) AS place FROM (SELECT doi, fig_row_id, CASE fig_row_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS s, CASE fig_row_id % 4 WHEN 0 THEN fig_row_id % 12 + 1 WHEN 1 THEN fig_row_id % 7 + 1 WHEN 2 THEN fig_row_id % 5 + 1 ELSE 14 END AS n FROM figures WHERE doi IS NOT NULL)")
+@query(
+    "SELECT fig_row_id, CAST(row_number() OVER (PARTITION BY doi ORDER BY s, n, fig_row_id) AS BIGINT) AS place FROM (SELECT doi, fig_row_id, CASE "
+    "fig_row_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS s, CASE fig_row_id % 4 WHEN 0 THEN fig_row_id % 12 + 1 WHEN 1 THEN fig_row_id "
+    "% 7 + 1 WHEN 2 THEN fig_row_id % 5 + 1 ELSE 14 END AS n FROM figures WHERE doi IS NOT NULL)"
+)
 def t01_label_order(t):
     """Natural order of labels: plain numbers, roman ones among them, then appendix, then supplement."""
     i = F.col("fig_row_id")
@@ -324,7 +407,10 @@ def f45_one_hot(t):
     return d.select("row_id", cols.get("gold", zero).cast("int").alias("gold"), cols.get("other", zero).cast("int").alias("other"))
 
 
-@query("SELECT variant AS x, model AS series, count(*) AS n, round(avg(inference_time), 6) AS mean, round(avg(inference_time) - 1.96 * coalesce(stddev_samp(inference_time), 0) / sqrt(count(*)), 6) AS lo FROM results WHERE inference_time IS NOT NULL GROUP BY 1, 2")
+@query(
+    "SELECT variant AS x, model AS series, count(*) AS n, round(avg(inference_time), 6) AS mean, round(avg(inference_time) - 1.96 * "
+    "coalesce(stddev_samp(inference_time), 0) / sqrt(count(*)), 6) AS lo FROM results WHERE inference_time IS NOT NULL GROUP BY 1, 2"
+)
 def snk07_chart_table(t):
     return writers.chart_table(t("results").withColumnRenamed("variant", "x").withColumnRenamed("model", "series"), "x", "series", "inference_time").select("x", "series", "n", r6(F.col("mean"), "mean"), r6(F.col("lo"), "lo"))
 
@@ -365,7 +451,10 @@ def f25_simhash(t):
 _ESC = ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, '1' AS number, coalesce(section, 'none') AS heading FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')")
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, '1' AS number, coalesce(section, 'none') AS heading FROM documents WHERE text IS NOT NULL AND NOT "
+    "regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')"
+)
 def src10_tei_sections(t):
     """Documents written as TEI and walked again."""
     body = F.col("text")
@@ -379,7 +468,12 @@ def src10_tei_sections(t):
 _NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'), ' ')"
 
 
-@query(f"WITH d AS (SELECT doc_id, text, {_NORM.format('substr(text, 401, 60)')} AS q FROM documents WHERE length(text) >= 461), p AS (SELECT doc_id, i AS page, {_NORM.format('substr(text, CAST(400 * (i - 1) + 1 AS INTEGER), 480)')} AS b FROM (SELECT doc_id, text, unnest(range(1, 9)) AS i FROM documents WHERE length(text) >= 461)) SELECT d.doc_id, CAST(min(page) AS INTEGER) AS page, 'whole' AS how FROM d JOIN p ON d.doc_id = p.doc_id AND contains(p.b, d.q) GROUP BY 1")
+@query(
+    f"WITH d AS (SELECT doc_id, text, {_NORM.format('substr(text, 401, 60)')} AS q FROM documents WHERE length(text) >= 461), p AS (SELECT doc_id, i AS "
+    f"page, {_NORM.format('substr(text, CAST(400 * (i - 1) + 1 AS INTEGER), 480)')} AS b FROM (SELECT doc_id, text, unnest(range(1, 9)) AS i FROM documents "
+    f"WHERE length(text) >= 461)) SELECT d.doc_id, CAST(min(page) AS INTEGER) AS page, 'whole' AS how FROM d JOIN p ON d.doc_id = p.doc_id AND "
+    f"contains(p.b, d.q) GROUP BY 1"
+)
 def j18_locate(t):
     """A passage of each document looked for in its pages of 480 characters that overlap."""
     d = t("documents").where(F.length("text") >= 461)
@@ -418,7 +512,12 @@ def a11_health(t):
     return aggregates.metric_rows(t("stage1_ga_index"), {k: c() for k, (_, c) in _HEALTH.items()})
 
 
-@query("SELECT coalesce(variant, 'POOLED') AS relation, count(*) AS n, round(avg(CAST(a = b AS DOUBLE)), 6) AS agreement, round(avg(CAST(abs(a - b) <= 1 AS DOUBLE)), 6) AS within_one, round(corr(a, b), 6) AS r FROM (SELECT variant, CAST(causal_relations_present AS DOUBLE) AS a, CAST(least(entity_count, 3) AS DOUBLE) AS b FROM results WHERE variant IS NOT NULL AND causal_relations_present IS NOT NULL AND entity_count IS NOT NULL) GROUP BY GROUPING SETS ((variant), ())")
+@query(
+    "SELECT coalesce(variant, 'POOLED') AS relation, count(*) AS n, round(avg(CAST(a = b AS DOUBLE)), 6) AS agreement, round(avg(CAST(abs(a - b) <= 1 AS "
+    "DOUBLE)), 6) AS within_one, round(corr(a, b), 6) AS r FROM (SELECT variant, CAST(causal_relations_present AS DOUBLE) AS a, CAST(least(entity_count, "
+    "3) AS DOUBLE) AS b FROM results WHERE variant IS NOT NULL AND causal_relations_present IS NOT NULL AND entity_count IS NOT NULL) GROUP BY GROUPING "
+    "SETS ((variant), ())"
+)
 def a35_validation(t):
     """Two ratings of each relation, by relation and pooled: agreement, agreement within one, correlation."""
     r = t("results").where("variant IS NOT NULL AND causal_relations_present IS NOT NULL AND entity_count IS NOT NULL").select(F.col("variant").alias("relation"), F.col("causal_relations_present").cast("double").alias("a"), F.least("entity_count", F.lit(3)).cast("double").alias("b"))
@@ -426,7 +525,11 @@ def a35_validation(t):
     return g.select("relation", "n", *[r6(F.col(c), c) for c in ("agreement", "within_one", "r")])
 
 
-@query("SELECT row_id, coalesce(nullif(trim(doi_normalized, ' '), ''), nullif(trim(doi, ' '), '')) AS doi, coalesce(nullif(trim(title, ' '), ''), nullif(trim(journal, ' '), '')) AS title, nullif(trim(publisher, ' '), '') AS publisher FROM stage1_ga_index WHERE coalesce(regexp_full_match(concat(doi, doi_normalized, title, journal, publisher), '[ -Z^-~]*'), true)")
+@query(
+    "SELECT row_id, coalesce(nullif(trim(doi_normalized, ' '), ''), nullif(trim(doi, ' '), '')) AS doi, coalesce(nullif(trim(title, ' '), ''), "
+    "nullif(trim(journal, ' '), '')) AS title, nullif(trim(publisher, ' '), '') AS publisher FROM stage1_ga_index WHERE "
+    "coalesce(regexp_full_match(concat(doi, doi_normalized, title, journal, publisher), '[ -Z^-~]*'), true)"
+)
 def f43_record_fields(t):
     x = t("stage1_ga_index").where(F.coalesce(F.concat_ws("", "doi", "doi_normalized", "title", "journal", "publisher").rlike(r"^[ -Z^-~]*$"), F.lit(True)))
     doc = F.to_json(F.struct(F.struct(F.col("doi_normalized").alias("doi"), F.col("publisher")).alias("metadata"), F.col("doi").alias("DOI"), F.col("title"), F.col("journal").alias("display_name")))
@@ -441,7 +544,10 @@ def f34_headings(t):
     return t("part").select("p_partkey", text.admissible_heading(h).alias("ok"))
 
 
-@query("SELECT p_partkey, CAST(p_size / 100.0 >= 0.15 AS INTEGER) AS high_edge_density, CAST(p_size / 60.0 <= 0.20 AS INTEGER) AS low_whitespace, CAST(p_size * 20 >= 500 AS INTEGER) AS high_component_count FROM part")
+@query(
+    "SELECT p_partkey, CAST(p_size / 100.0 >= 0.15 AS INTEGER) AS high_edge_density, CAST(p_size / 60.0 <= 0.20 AS INTEGER) AS low_whitespace, CAST(p_size "
+    "* 20 >= 500 AS INTEGER) AS high_component_count FROM part"
+)
 def f29_flags(t):
     s = F.col("p_size")
     f = geometry.layout_flags(s / 100.0, s / 60.0, s * 20, s / 100.0, s / 100.0)
@@ -461,7 +567,10 @@ def f14_recovered_roles(t):
     return labelling.recover_roles(d, "doi", "doc_id", "heading", "text", "role", "abs").select("doi", "role", "note", F.length("text").alias("n"))
 
 
-@query("SELECT tab_row_id, CAST(count(*) AS INTEGER) AS n_rows, CAST(max(n) AS INTEGER) AS widest FROM (SELECT tab_row_id, len(x) AS n FROM (SELECT tab_row_id, unnest([['a', 'b'], ['1', '2'], ['3']]) AS x FROM paper_tables)) GROUP BY 1")
+@query(
+    "SELECT tab_row_id, CAST(count(*) AS INTEGER) AS n_rows, CAST(max(n) AS INTEGER) AS widest FROM (SELECT tab_row_id, len(x) AS n FROM (SELECT "
+    "tab_row_id, unnest([['a', 'b'], ['1', '2'], ['3']]) AS x FROM paper_tables)) GROUP BY 1"
+)
 def f30_cells_of_words(t):
     words = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(8.0).alias("w"), F.lit(s).alias("t")) for x, y, s in ((0, 0, "a"), (50, 0.4, "b"), (0, 20, "1"), (50, 20, "2"), (0, 40, "3"), (9, 40, "4"))])
     c = labelling.words_to_cells(t("paper_tables").select("tab_row_id", F.explode(words).alias("v")).select("tab_row_id", "v.*"), "tab_row_id", "x", "y", "w", "t", 3.0, 20.0)
