@@ -155,39 +155,18 @@ def _key(f: Field, segment: str) -> str:
     return k
 
 
-#: Atoms and segments' keys of cells seen by this worker, by field and width: the rounds of learning and the decoding read the same cells.
-_CELLS: dict[tuple[str, int], dict[str, tuple]] = {}
-
-
-def _segments(s: str, f: Field, wide: int) -> tuple[list[tuple[int, int, str]], list[list[tuple[int, str]]]]:
-    """A cell's atoms and, for each end, the segments ``(start, key)`` that may end there."""
-    own = _CELLS.get((f.uid, wide))
-    if own is None:
-        if len(_CELLS) >= 8:
-            _CELLS.clear()
-        own = _CELLS[f.uid, wide] = {}
-    got = own.get(s)
-    if got is None:
-        a = atoms(s, f.delimiters)
-        got = a, [[(i, _key(f, s[a[i][0] : a[j][1]])) for i in range(j, max(-1, j - wide), -1)] for j in range(len(a))]
-        if len(a) <= 64:  # long cells hardly recur
-            if len(own) > 30_000:
-                own.clear()
-            own[s] = got
-    return got
-
-
 def _lattice(s: str, f: Field, m: Model, widest: int | None = None):
     """Atoms, and for each end the segments ``(start, weight, key)`` that may end there: of the same width in cells of any length, so the work is in proportion to the atoms."""
-    a, segments = _segments(s, f, widest or f.widest)
+    a, wide = atoms(s, f.delimiters), widest or f.widest
     usual = (math.log(0.8), math.log(0.2))
     cuts = [m.cuts.get(x[2], usual) for x in a]
     ends, last = [], len(a) - 1
-    for j, starts in enumerate(segments):
+    for j in range(len(a)):
         got, inner, out = [], 0.0, cuts[j][0] if j < last else 0.0
-        for i, key in starts:
+        for i in range(j, max(-1, j - wide), -1):
             if i < j:
                 inner += cuts[i][1]
+            key = _key(f, s[a[i][0] : a[j][1]])
             got.append((i, m.score(key, j - i) + inner + out, key))
         ends.append(got)
     return a, ends
