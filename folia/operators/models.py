@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folia.operators.aggregates import percentiles
 from folia.operators.agreement import spearman
-from folia.operators.windows import average_ranks, prefix_sums
+from folia.operators.windows import prefix_sums
 from folia.runtime import cut_lineage
 
 
@@ -285,23 +287,97 @@ def beta_terms(x: np.ndarray, y: np.ndarray, par: np.ndarray) -> np.ndarray:
     return np.concatenate([[ll], g_beta, [g_phi], info.ravel()])
 
 
-def rank_correlation_grid(df: DataFrame, parts: Sequence[str], target: str, steps: int = 20) -> DataFrame:
+def _score(w: Sequence[float], x: np.ndarray) -> np.ndarray:
+    """Weighted sums of the columns, to nine places: beyond 2**53 of them a double has none left to round."""
+    with np.errstate(invalid="ignore"):
+        s = sum((v * x[:, j] for j, v in enumerate(w)), np.zeros(len(x)))
+    small = np.abs(s) < 2**53 / 1e9
+    s[small] = np.round(s[small], 9)
+    return s
+
+
+def _ties(s: np.ndarray, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct scores in order, those that are no number last, and the sums of ``n`` and ``c`` over each."""
+    o = np.argsort(s)
+    s = s[o]
+    at = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))])
+    return s[at], np.add.reduceat(n[o], at), np.add.reduceat(c[o], at)
+
+
+def _rank_sums(n: np.ndarray, c: np.ndarray) -> tuple[float, float, float, float]:
+    """Rows, sum of ``c``, and the sums of squares of the scores' ranks and of their products with ``c``, ranks centred on these rows."""
+    rank = np.cumsum(n) - n + (n - n.sum()) / 2
+    return float(n.sum()), float(c.sum()), float((n * rank * rank).sum()), float((rank * c).sum())
+
+
+def rank_correlation_grid(df: DataFrame, parts: Sequence[str], target: str, steps: int = 20, held: int = 10_000_000, bucket: int = 500_000) -> DataFrame:
     """``(weights, spearman)`` of weighted sums of ``parts`` with ``target`` for all weights on a simplex grid, best first; the first weights win ties (M4).
 
-    The target is ranked once. Per grid point rows are counted by score, with the sums of their target's ranks; ranks come from those counts by prefix sums, so no task sorts a grid point.
+    Equal rows are counted once and the target is ranked once, by prefix sums. If that table has at most ``held`` numbers, each task reads all of it and ranks some of the grid points, so that no
+    score is moved. Of a larger one the scores of each grid point are sent packed to ranges of about ``bucket`` scores, are ranked there and shifted by the rows below: no task holds a grid point,
+    but up to 24 bytes are shuffled for each row and grid point. The ranges come from a few scores, which only balances them.
     """
     spark = df.sparkSession
-    grid = spark.createDataFrame([(i, [float(v) for v in w]) for i, w in enumerate(simplex_grid(len(parts), steps))], "i int, w array<double>")
-    rows = df.where(F.col(target).isNotNull() & sum((F.col(c).isNull().cast("int") for c in parts), F.lit(0)).eqNullSafe(0)).select(*parts, F.col(target).alias("_t"), F.lit(0).alias("_o"))
-    rows = cut_lineage(rows.join(average_ranks(rows, ["_o"], "_t", "_b").drop("n"), ["_o", "_t"]))
-    score = sum((F.col("w")[j] * F.col(c) for j, c in enumerate(parts)), F.lit(0.0))
-    x = rows.crossJoin(F.broadcast(grid)).select("i", F.round(score, 9).alias("s"), "_b")
-    x = cut_lineage(x.groupBy("i", "s").agg(F.count("*").alias("n"), F.sum("_b").alias("sb"), F.sum(F.col("_b") ** 2).alias("sbb")))
-    x = prefix_sums(x, ["i"], "s", "n", "_before").withColumn("a", F.col("_before") + (F.col("n") + 1) / 2.0)
-    r = x.groupBy("i").agg(*[F.sum(e).alias(c) for c, e in {"n": F.col("n"), "sa": F.col("n") * F.col("a"), "saa": F.col("n") * F.col("a") ** 2, "sb": F.col("sb"), "sbb": F.col("sbb"), "sab": F.col("a") * F.col("sb")}.items()])
-    cov, va, vb = (F.col("n") * F.col(f"s{p}{q}") - F.col(f"s{p}") * F.col(f"s{q}") for p, q in ("ab", "aa", "bb"))
-    g = r.select("i", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("spearman")).join(F.broadcast(grid), "i")
-    return g.orderBy(F.desc("spearman"), "i").select(F.col("w").alias("weights"), "spearman")
+    grid = simplex_grid(len(parts), steps)
+    p = [f"_p{j}" for j in range(len(parts))]
+    whole = F.col(target).isNotNull() & sum((F.col(c).isNull().cast("int") for c in parts), F.lit(0)).eqNullSafe(0)
+    rows = df.where(whole).select(*[F.col(c).cast("double").alias(a) for a, c in zip(p, parts, strict=True)], F.col(target).alias("_t"))
+    rows = cut_lineage(rows.groupBy(*p, "_t").agg(F.count("*").alias("_n")))
+    counts = rows.withColumn("_o", F.lit(0)).groupBy("_o", "_t").agg(F.sum("_n").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    ranks = prefix_sums(counts, ["_o"], "_t", "_n", "_before").select("_t", (F.col("_before") + (F.col("_n") - total) / 2.0).alias("_b"))  # centred
+    rows = cut_lineage(rows.join(ranks, "_t").select(*p, F.col("_n").cast("double").alias("_n"), (F.col("_n") * F.col("_b")).alias("_c")))
+    size, vb = rows.agg(F.count("*"), F.sum((4 * F.col("_c") * F.col("_c") / F.col("_n")).cast("decimal(38,0)"))).first()  # doubled ranks are whole: added up without rounding
+    vb = float(vb or 0) / 4
+
+    def ranked(own: list[int]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x = [b.to_numpy(float) for b in batches if len(b)]
+            if x:
+                x = np.concatenate(x)
+                yield pd.DataFrame([(i, *_rank_sums(*_ties(_score(grid[i], x), x[:, -2], x[:, -1])[1:])) for i in own], columns=["i", "n", "c", "aa", "ab"])
+
+        return run
+
+    sums = "i int, n double, c double, aa double, ab double"
+    if size * (len(p) + 2) <= held:
+        tasks = min(len(grid), spark.sparkContext.defaultParallelism, 48)
+        one = rows.coalesce(1)
+        # the exchange of a few rows keeps the branches apart: a union of single partitions would be one task
+        x = functools.reduce(DataFrame.unionAll, [one.mapInPandas(ranked(list(range(k, len(grid), tasks))), sums).repartition(1) for k in range(tasks)])
+    else:
+        ranges = -(-size // bucket)
+        some = rows.select(*p).where(F.pmod(F.xxhash64(*p), F.lit(max(1, size // max(20_000, 50 * ranges)))) == 0).toPandas().to_numpy(float)
+        cuts = []
+        for w in grid:
+            s = np.sort(_score(w, some))
+            s = np.unique(s[[len(s) * k // ranges for k in range(1, ranges)]]) if len(s) else s
+            cuts.append(s[~np.isnan(s)])
+
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, n = [], 0
+            for b in itertools.chain(batches, [None]):
+                if b is not None:
+                    x.append(b.to_numpy(float))
+                    n += len(b)
+                if n and (b is None or n >= 200_000):
+                    at, x, n = np.concatenate(x), [], 0
+                    for i, w in enumerate(grid):
+                        got = _ties(_score(w, at), at[:, -2], at[:, -1])
+                        ends = np.searchsorted(got[0], cuts[i]).tolist()
+                        yield pd.DataFrame([(i, k, *(v[a:z].tobytes() for v in got)) for k, (a, z) in enumerate(zip([0, *ends], [*ends, len(got[0])], strict=True)) if z > a], columns=["i", "k", "s", "n", "c"])
+
+        def merged(g: pd.DataFrame) -> pd.DataFrame:
+            s, n, c = (np.frombuffer(b"".join(g[v])) for v in "snc")
+            return pd.DataFrame([(g["i"].iloc[0], g["k"].iloc[0], *_rank_sums(*_ties(s, n, c)[1:]))], columns=["i", "k", "n", "c", "aa", "ab"])
+
+        x = rows.mapInPandas(packed, "i int, k int, s binary, n binary, c binary").groupBy("i", "k").applyInPandas(merged, sums.replace("i int,", "i int, k int,"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        x = x.withColumn("_d", below + (F.col("n") - total) / 2.0)  # from the range's centre to that of all rows
+        x = x.groupBy("i").agg(F.sum(F.col("aa") + F.col("_d") * F.col("_d") * F.col("n")).alias("aa"), F.sum(F.col("ab") + F.col("_d") * F.col("c")).alias("ab"))
+    of = F.broadcast(spark.createDataFrame([(i, [float(v) for v in w]) for i, w in enumerate(grid)], "i int, weights array<double>"))
+    g = x.select("i", F.when((F.col("aa") > 0) & (F.lit(vb) > 0), F.col("ab") / F.sqrt(F.col("aa") * F.lit(vb))).alias("spearman"))
+    return g.join(of, "i").orderBy(F.desc("spearman"), "i").select("weights", "spearman")
 
 
 def fold_of(key: str, k: int, seed: int = 42) -> Column:

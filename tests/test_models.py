@@ -26,6 +26,41 @@ def test_weight_search_tries_steps_of_a_twentieth(spark, sf):
     assert entry.queries()["m04_simplex_weights"](spark, sf).count() == 231
 
 
+def test_weight_search_is_the_same_held_or_by_ranges(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    d = pd.DataFrame({"a": rng.integers(0, 5, 900).astype(float), "b": rng.normal(size=900).round(2), "t": rng.integers(0, 40, 900).astype(float)})
+    d = pd.concat([d, d[:200], pd.DataFrame({"a": [1.0, None, float("inf")], "b": [None, 1.0, 3e7], "t": [1.0, 1.0, 50.0]})])
+    df = spark.createDataFrame(d.astype(object).where(d.notna(), None).values.tolist(), "a double, b double, t double")
+    d = d.dropna()
+    want = {w: _spearman(sum((v * d[c] for v, c in zip(w, "ab", strict=True)), 0.0 * d.t).round(9).fillna(float("inf")), d.t) for w in models.simplex_grid(2)}
+    for held in (10_000_000, 0):
+        got = models.rank_correlation_grid(df, ["a", "b"], "t", held=held, bucket=100).collect()
+        assert len(got) == 21 and all(abs(r["spearman"] - want[tuple(r["weights"])]) < 1e-12 for r in got)
+        assert [r["spearman"] for r in got] == sorted((r["spearman"] for r in got), reverse=True)
+        assert models.rank_correlation_grid(df.where("false"), ["a", "b"], "t", held=held).count() == 0
+        tied = df.select(F.lit(1.0).alias("a"), F.lit(2.0).alias("b"), "t")
+        assert {r["spearman"] for r in models.rank_correlation_grid(tied, ["a", "b"], "t", held=held, bucket=100).collect()} == {None}
+
+
+def test_weight_search_keeps_no_row_by_grid_point(spark, monkeypatch):
+    from folia.operators import windows
+    from folia.runtime import cut_lineage
+
+    kept = []
+
+    def cut(df):
+        df = cut_lineage(df)
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(models, "cut_lineage", cut)
+    monkeypatch.setattr(windows, "cut_lineage", cut)
+    df = spark.range(3000).select((F.col("id") % 1009 / 1009).alias("a"), (F.col("id") % 1013 / 1013).alias("b"), (F.col("id") % 1019 / 1019).alias("c"), (F.col("id") % 997).cast("double").alias("t"))
+    assert models.rank_correlation_grid(df, ["a", "b", "c"], "t").count() == 231 and max(kept) <= 3000
+
+
 def test_robustness_has_all_checks(spark, sf):
     rows = entry.queries()["m09_robustness"](spark, sf).collect()
     got = {r["check"] for r in rows}
