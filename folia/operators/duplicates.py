@@ -99,18 +99,20 @@ def jaccard_pairs(sets: DataFrame, key: str, s: str, least: float) -> DataFrame:
 
     Two such sets share one of the ``n - ceil(least * n) + 1`` rarest elements of each, so candidates come from an equi-join on those; the exact similarity follows. Elements of one set only come
     first in that order and can't join, so they are only counted.
+
+    Spark takes an array for one element when it guesses sizes, so it would broadcast sets and elements that don't fit the driver: these joins are by shuffle and sort, whatever it guesses.
     """
     x = sets.select(F.col(key).alias("k"), F.size(s).alias("n"), F.explode(s).alias("g"))
     usual = x.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    rare = x.join(usual, "g").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    rare = x.join(usual.hint("merge"), "g").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     left = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("o"))).cast("int")
     side = rare.where(left > 0).select("k", "n", F.explode(F.slice("o", F.lit(1), left)).alias("e")).select("k", "n", F.col("e.g").alias("g"))
     a, b = side.alias("a"), side.alias("b")
     near = (F.col("a.n") >= least * F.col("b.n") - 1e-9) & (F.col("b.n") >= least * F.col("a.n") - 1e-9)
-    cand = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")) & near).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+    cand = a.join(b.hint("merge"), (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")) & near).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
     of = lambda c: sets.select(F.col(key).alias(c), F.col(s).alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return cand.join(of("a"), "a").join(of("b"), "b").where(both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    return cand.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where(both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
 def near_clusters(df: DataFrame, key: str, text: str, least: float = 0.8, words: int = 5, salts: int = 16) -> DataFrame:

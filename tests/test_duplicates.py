@@ -37,6 +37,19 @@ def test_near_clusters_hold_copies_and_edited_copies(spark):
     assert duplicates.near_clusters(df.where("false"), "k", "t").count() == 0
 
 
+def test_jaccard_pairs_broadcast_no_sets(spark):
+    rng = random.Random(5)
+    sets = {k: set(rng.sample(range(400), 20)) for k in range(60)}
+    for k in range(60, 90):
+        sets[k] = {*sorted(sets[k - 60])[rng.randint(0, 4) :], 500 + k}
+    df = duplicates.cut_lineage(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "k long, s array<long>"))
+    pairs = duplicates.jaccard_pairs(df, "k", "s", 0.8)
+    got = [tuple(r) for r in pairs.collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert len(got) == len(want) > 10 and set(got) == want
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hamming_members_hold_every_row(spark):
     rng = random.Random(9)
     hs = [rng.getrandbits(63) for _ in range(12)]
